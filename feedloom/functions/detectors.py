@@ -113,10 +113,18 @@ def _override_mode(rule: str, overrides: dict[str, str] | None) -> str:
     return (overrides or {}).get(rule, TURN_RULE_DEFAULT_MODES.get(rule, DETECTOR_DEFAULT_MODES.get(rule, "block")))
 
 
-def turn_rule_fires(
-    turns: DataFrame, keep: Sequence[str], overrides: dict[str, str] | None = None
-) -> DataFrame:
-    """Turn-level rules over rows with ``response`` and ``tools array<string>``.
+def tool_flags(name: Column) -> dict[str, Column]:
+    """Boolean Columns over one tool name, to be counted per turn."""
+    return {
+        "research": matches_ascii(name, RESEARCH_TOOL),
+        "graph": matches_ascii(name, GRAPH_TOOL, ignore_case=False),
+        "graph_write": matches_ascii(name, GRAPH_WRITE_TOOL, ignore_case=False),
+        "forbidden": matches_ascii(name, FORBIDDEN_TOOL_NAME),
+    }
+
+
+def turn_rule_fires(turns: DataFrame, keep: Sequence[str], overrides: dict[str, str] | None = None) -> DataFrame:
+    """Turn-level rules over ``response, n_tools, n_research, n_graph, n_graph_write, n_forbidden``.
 
     silent_completion   the turn used a tool and said less than 15 characters
     graph_bypass        two research tools or more and no graph lookup
@@ -125,21 +133,15 @@ def turn_rule_fires(
     """
     said = F.coalesce(F.col("response"), F.lit(""))
     said_length = F.length(strip(said))
-    tools = F.coalesce(F.col("tools"), F.array().cast("array<string>"))
-
-    def used(pattern: str, ignore_case: bool) -> Column:
-        return F.exists(tools, lambda name: matches_ascii(name, pattern, ignore_case))
-
-    research = F.size(F.filter(tools, lambda name: matches_ascii(name, RESEARCH_TOOL)))
-    researched = research >= RESEARCH_TOOL_THRESHOLD
+    researched = F.col("n_research") >= RESEARCH_TOOL_THRESHOLD
     rules = {
-        "silent_completion": (said_length < 15) & (F.size(tools) > 0),
-        "graph_bypass": researched & ~used(GRAPH_TOOL, False),
+        "silent_completion": (said_length < 15) & (F.col("n_tools") > 0),
+        "graph_bypass": researched & (F.col("n_graph") == 0),
         "writeback_skipped": researched
-        & ~used(GRAPH_WRITE_TOOL, False)
+        & (F.col("n_graph_write") == 0)
         & (said_length > 200)
         & matches_ascii(said, DURABLE_CLAIM),
-        "tool_misuse": used(FORBIDDEN_TOOL_NAME, True),
+        "tool_misuse": F.col("n_forbidden") > 0,
     }
     hits = []
     for rule, fired in rules.items():

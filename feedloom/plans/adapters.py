@@ -92,7 +92,7 @@ FROM {events}
 """
 
 TRANSCRIPT = f"""
-SELECT CAST(conv_id AS STRING) AS session, turn * 2 AS seq, role AS type,
+SELECT CAST(conv_id AS STRING) AS session, turn * 3 AS seq, role AS type,
  CASE WHEN role = 'assistant' AND (conv_id + turn) % 7 = 0 THEN 'ok.'
    WHEN role = 'assistant' THEN concat(text, ' ', {case("(conv_id * 5 + turn) % 12", PHRASES)})
    ELSE text END AS text,
@@ -101,7 +101,10 @@ SELECT CAST(conv_id AS STRING) AS session, turn * 2 AS seq, role AS type,
      "Edit", "", "WebFetch,Task,mcp__jira-context__get"])} ELSE '' END AS tools
 FROM {{conversations}}
 UNION ALL
-SELECT CAST(conv_id AS STRING), turn * 2 + 1, 'user', '', '' FROM {{conversations}} WHERE role = 'assistant'
+SELECT CAST(conv_id AS STRING), turn * 3 + 1, 'user', '', '' FROM {{conversations}} WHERE role = 'assistant'
+UNION ALL
+SELECT CAST(conv_id AS STRING), turn * 3 + 2, 'tool_result', concat('result ', CAST(turn AS STRING), ': ', text), ''
+FROM {{conversations}} WHERE role = 'assistant' AND turn % 4 <> 3
 """
 
 PROMPTS = f"""

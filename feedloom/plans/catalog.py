@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import queries_measure  # noqa: F401
+from feedloom.plans import queries_measure, queries_turns  # noqa: F401
 from feedloom.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
