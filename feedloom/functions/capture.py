@@ -23,7 +23,7 @@ from feedloom.fixed_values import (
     SKILL_STOPWORDS,
     SYSTEM_TEXT,
 )
-from feedloom.functions.regex import ascii_regex, matches_ascii, strip
+from feedloom.functions.regex import any_regex, ascii_regex, matches_ascii, strip
 
 
 def explicit_rating(prompt: Column) -> Column:
@@ -50,11 +50,7 @@ def explicit_rating(prompt: Column) -> Column:
 
 
 def is_system_text(prompt: Column) -> Column:
-    text = strip(prompt)
-    hit = F.lit(False)
-    for pattern in SYSTEM_TEXT:
-        hit = hit | matches_ascii(text, pattern)
-    return hit
+    return matches_ascii(strip(prompt), any_regex(SYSTEM_TEXT))
 
 
 def is_too_short(prompt: Column) -> Column:

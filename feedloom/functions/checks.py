@@ -135,43 +135,76 @@ def covered_patterns(checks: Sequence[CheckSpec] = CHECKS) -> list[str]:
     return sorted({c.pattern for c in checks})
 
 
-def score(
-    df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec] = CHECKS, fired_only: bool = True
-) -> DataFrame:
-    """Long results: the ``keep`` columns plus ``eval_id, pattern, applied, passed``.
+def _staged(df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec]) -> DataFrame:
+    """``keep``, the text, one gate per check and the shared evidence.
 
-    ``passed`` is null where the check did not apply; such rows appear only with
-    ``fired_only=False``.
+    Separate projections keep the text, the gates and the evidence from being expanded
+    into every place that uses them.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    gates = [c.gate(body).alias(f"_g{i}") for i, c in enumerate(checks)]
-    step = df.select(*keep, body.alias("_text"), *gates)
-
+    body = F.col("_text")
+    step = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    step = step.select("*", *[c.gate(body).alias(f"_g{i}") for i, c in enumerate(checks)])
     shared = []
     for name, build in SHARED.items():
         needed = F.lit(False)
         for i, c in enumerate(checks):
             if name in c.evidence:
                 needed = needed | F.col(f"_g{i}")
-        shared.append(F.when(needed, build(F.col("_text"))).otherwise(False).alias(f"_{name}"))
-    step = step.select("*", *shared)
+        shared.append(F.when(needed, build(body)).otherwise(False).alias(f"_{name}"))
+    return step.select("*", *shared)
+
+
+def _outcome(check: CheckSpec) -> Column:
+    passed = F.lit(False)
+    for name in check.evidence:
+        passed = passed | F.col(f"_{name}")
+    if check.test is not None:
+        passed = passed | check.test(F.col("_text"))
+    return passed
+
+
+def score(
+    df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec] = CHECKS, fired_only: bool = True
+) -> DataFrame:
+    """Long results: the ``keep`` columns plus ``eval_id, pattern, applied, passed``.
 
+    ``passed`` is null where the check did not apply; such rows appear only with
+    ``fired_only=False``.
+    """
     rows = []
     for i, c in enumerate(checks):
-        passed = F.lit(False)
-        for name in c.evidence:
-            passed = passed | F.col(f"_{name}")
-        if c.test is not None:
-            passed = passed | c.test(F.col("_text"))
         gate = F.col(f"_g{i}")
         row = F.struct(
             F.lit(c.eval_id).alias("eval_id"),
             F.lit(c.pattern).alias("pattern"),
             gate.alias("applied"),
-            F.when(gate, passed).alias("passed"),
+            F.when(gate, _outcome(c)).alias("passed"),
         )
         rows.append(F.when(gate, row) if fired_only else row)
     # The outer form keeps the optimizer from adding a size() filter that would
     # evaluate every gate a second time below the projection.
-    out = step.select(*keep, F.inline_outer(F.array_compact(F.array(*rows))))
+    out = _staged(df, text, keep, checks).select(*keep, F.inline_outer(F.array_compact(F.array(*rows))))
     return out.where(F.col("eval_id").isNotNull())
+
+
+def score_map(df: DataFrame, text: str, checks: Sequence[CheckSpec] = CHECKS, name: str = "scored") -> DataFrame:
+    """Add a map from every check id to struct(applied, passed)."""
+    entries = []
+    for i, c in enumerate(checks):
+        gate = F.col(f"_g{i}")
+        entries += [F.lit(c.eval_id), F.struct(gate.alias("applied"), F.when(gate, _outcome(c)).alias("passed"))]
+    return _staged(df, text, df.columns, checks).select(*df.columns, F.create_map(*entries).alias(name))
+
+
+def score_or_captured(ratings: DataFrame, keep: Sequence[str], checks: Sequence[CheckSpec] = CHECKS) -> DataFrame:
+    """Captured ``eval_results`` where a rating has them, else a fresh score of its preview.
+
+    One pass: the text of a row with captured results is never scored.
+    """
+    captured = F.coalesce(F.size("eval_results"), F.lit(-1)) > 0
+    marked = ratings.withColumn("_captured", captured)
+    stored = marked.where("_captured").select(
+        *keep, F.explode("eval_results").alias("eval_id", "_r")
+    ).select(*keep, "eval_id", F.coalesce("_r.pattern", F.lit("")).alias("pattern"), F.lit(True).alias("applied"), "_r.passed")
+    fresh = score(marked.where(~F.col("_captured")), "response_preview", keep, checks)
+    return stored.unionByName(fresh)

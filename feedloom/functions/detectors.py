@@ -99,9 +99,9 @@ def enforce(
     The mode table holds at most one row per detector, a size fixed by the registry,
     so it is broadcast.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    hits = [F.when(d.fires(body), F.lit(d.pattern)) for d in detectors]
-    fired = df.select(*keep, F.explode_outer(F.array_compact(F.array(*hits))).alias("pattern"))
+    staged = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    hits = [F.when(d.fires(F.col("_text")), F.lit(d.pattern)) for d in detectors]
+    fired = staged.select(*keep, F.explode_outer(F.array_compact(F.array(*hits))).alias("pattern"))
     return (
         fired.where(F.col("pattern").isNotNull())
         .join(F.broadcast(armed), "pattern")

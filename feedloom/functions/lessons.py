@@ -16,7 +16,7 @@ from feedloom.fixed_values import (
     SLUDGE,
     TEMPLATE_RULE,
 )
-from feedloom.functions.regex import matches, strip
+from feedloom.functions.regex import any_regex, matches, strip
 
 
 def _clean(rule: Column) -> Column:
@@ -57,10 +57,7 @@ def is_template_rule(rule: Column) -> Column:
 
 def is_sludge(description: Column) -> Column:
     d = _clean(description)
-    hit = F.length(d) < 24
-    for pattern in SLUDGE:
-        hit = hit | matches(d, pattern)
-    return hit
+    return (F.length(d) < 24) | matches(d, any_regex(SLUDGE))
 
 
 def guess_section(pattern: Column, rule: Column) -> Column:

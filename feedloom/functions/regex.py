@@ -47,3 +47,8 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for word in words:
         hit = hit | text.contains(word)
     return hit
+
+
+def any_regex(patterns: list[str]) -> str:
+    """One expression that matches where any of the patterns does."""
+    return "|".join(f"(?:{p})" for p in patterns)

@@ -16,7 +16,7 @@ from feedloom.fixed_values import (
     SYMBOL,
     SYSTEM_WORDS,
 )
-from feedloom.functions.regex import ascii_regex, count_matches, matches, matches_ascii, strip
+from feedloom.functions.regex import any_regex, ascii_regex, count_matches, matches, matches_ascii, strip
 
 
 def tokens(text: Column, stopwords: list[str]) -> Column:
@@ -28,10 +28,7 @@ def tokens(text: Column, stopwords: list[str]) -> Column:
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | matches_ascii(text, pattern)
-    return hit
+    return matches_ascii(text, any_regex(patterns))
 
 
 def learning_category(content: Column, comment: Column | None = None) -> Column:

@@ -20,12 +20,11 @@ def merged_taxonomy(general: Taxonomy) -> dict[str, list[str]]:
     return {**{k: list(v) for k, v in general.items()}, **REVIEW_TAXONOMY, **DATA_TAXONOMY}
 
 
-def matched_patterns(text: Column, taxonomy: Taxonomy) -> Column:
-    """Patterns with a keyword that occurs literally in the lower-case text.
+def matched_patterns(low: Column, taxonomy: Taxonomy) -> Column:
+    """Patterns with a keyword that occurs literally in the text, given in lower case.
 
     Keywords are plain text even where they look like an expression.
     """
-    low = F.lower(text)
     hits = [F.when(contains_any(low, list(words)), F.lit(p)) for p, words in taxonomy.items()]
     return F.array_compact(F.array(*hits))
 
@@ -61,7 +60,8 @@ def classify(ratings: DataFrame, taxonomy: Taxonomy, reclass: DataFrame | None =
     text = _joined(
         ["sentiment_summary", "comment", "response_preview", "skill", "tools_used", "files_touched", "repo"], ratings
     )
-    found = matched_patterns(text, taxonomy)
+    staged = ratings.withColumn("_text", F.lower(text))
+    found = matched_patterns(F.col("_text"), taxonomy)
     if "eval_results" in ratings.columns:
         failed = F.transform(
             F.filter(
@@ -73,9 +73,9 @@ def classify(ratings: DataFrame, taxonomy: Taxonomy, reclass: DataFrame | None =
         found = F.array_distinct(F.concat(found, failed))
     found = or_other(found)
     if reclass is None:
-        return ratings.withColumn("patterns", found)
-    joined = ratings.join(latest_overrides(reclass), ["session_id", "timestamp"], "left")
-    return joined.withColumn("patterns", F.coalesce("_override", found)).drop("_override")
+        return staged.withColumn("patterns", found).drop("_text")
+    joined = staged.join(latest_overrides(reclass), ["session_id", "timestamp"], "left")
+    return joined.withColumn("patterns", F.coalesce("_override", found)).drop("_override", "_text")
 
 
 def classify_for_source(df: DataFrame, source: str, general: Taxonomy) -> DataFrame:
@@ -87,7 +87,8 @@ def classify_for_source(df: DataFrame, source: str, general: Taxonomy) -> DataFr
         "failures": merged_taxonomy(general),
     }[source]
     text = _joined(["sentiment_summary", "comment", "response_preview"], df)
-    return df.withColumn("patterns", or_other(matched_patterns(text, taxonomy)))
+    staged = df.withColumn("_text", F.lower(text))
+    return staged.withColumn("patterns", or_other(matched_patterns(F.col("_text"), taxonomy))).drop("_text")
 
 
 def domain_flags(name: Column) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import ATTRIBUTION_FLOOR, GENERAL_SKILL, JUNK_PATTERNS, LOW_RATING
-from feedloom.functions.regex import matches, strip
+from feedloom.functions.regex import any_regex, matches, strip
 from feedloom.functions.text import learning_category
 from feedloom.scale import top_k
 
@@ -88,10 +88,10 @@ def where_it_happens(ratings: DataFrame, k: int = 3) -> DataFrame:
     """Top repos, tools and skills of each pattern over low ratings."""
     facets = F.concat(
         F.array(
-            F.struct(F.lit("repo").alias("facet"), F.col("repo").alias("value")),
-            F.struct(F.lit("skill").alias("facet"), F.col("skill").alias("value")),
+            F.named_struct(F.lit("facet"), F.lit("repo"), F.lit("value"), F.col("repo")),
+            F.named_struct(F.lit("facet"), F.lit("skill"), F.lit("value"), F.col("skill")),
         ),
-        F.transform("tools_used", lambda t: F.struct(F.lit("tool").alias("facet"), t.alias("value"))),
+        F.transform("tools_used", lambda t: F.named_struct(F.lit("facet"), F.lit("tool"), F.lit("value"), t)),
     )
     counts = (
         ratings.where(is_low())
@@ -109,14 +109,10 @@ def is_junk() -> Column:
     shown = F.concat(
         F.coalesce(F.col("response_preview"), F.lit("")), F.lit(" "), F.coalesce(F.col("sentiment_summary"), F.lit(""))
     )
-    marked = F.lit(False)
-    for pattern in JUNK_PATTERNS:
-        marked = marked | matches(shown, pattern)
     junk = (
         F.col("rating").isNull()
-        | ((F.col("confidence") == 0) & shown.contains("INFERENCE_FAILED"))
         | ((F.length(strip(shown)) < 40) & (F.col("source") == "implicit"))
-        | marked
+        | matches(shown, any_regex(JUNK_PATTERNS))
     )
     return F.coalesce((F.col("source") != "explicit") & junk, F.col("rating").isNull())
 

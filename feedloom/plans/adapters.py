@@ -141,7 +141,7 @@ FROM {{events}}
 
 QUEUE = """
 SELECT o_orderkey AS record_id, o_orderpriority AS pattern, CAST(CAST(o_orderdate AS DATE) AS STRING) AS detected_at,
- CAST(round(o_totalprice / 1000000 - 0.2, 4) AS DOUBLE) AS delta, CAST(o_orderkey % 50 AS INT) AS after_n,
+ CAST(round(o_totalprice / 1000000 - 0.2, 4) AS DOUBLE) + 0.0 AS delta, CAST(o_orderkey % 50 AS INT) AS after_n,
  CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status,
  CASE o_custkey % 5 WHEN 0 THEN 'base' WHEN 1 THEN 'lesson_dedup' WHEN 2 THEN 'lesson_evolve'
    WHEN 3 THEN 'pattern_promotion' ELSE 'manual' END AS source,
@@ -177,10 +177,10 @@ UNION ALL SELECT concat('customer_', CAST(c_custkey AS STRING)), concat('nation_
 """
 
 FILES_NOW = """
-SELECT url AS path, CAST(page_id * 10 AS DOUBLE) AS mtime, CAST(length(html) AS BIGINT) AS size FROM {pages}
+SELECT concat(url, '#', CAST(page_id AS STRING)) AS path, CAST(page_id * 10 AS DOUBLE) AS mtime, CAST(length(html) AS BIGINT) AS size FROM {pages}
 """
 FILES_BEFORE = """
-SELECT url AS path, CAST(page_id * 10 AS DOUBLE) + CASE WHEN page_id % 11 = 0 THEN 0.5 ELSE 0 END AS mtime,
+SELECT concat(url, '#', CAST(page_id AS STRING)) AS path, CAST(page_id * 10 AS DOUBLE) + CASE WHEN page_id % 11 = 0 THEN 0.5 ELSE 0 END AS mtime,
  CAST(length(html) + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size
 FROM {pages} WHERE page_id % 10 <> 0
 """

@@ -69,13 +69,13 @@ x AS (SELECT pattern, baseline_date, CAST(date_diff('day', CAST(baseline_date AS
 y AS (SELECT *, {v('sb', 'sa', 'after_n', 'days_open')} AS verdict,
   CASE WHEN eval_covered THEN {v('obb', 'oaa', 'after_n', 'days_open')} ELSE 'no-eval' END AS obj_verdict,
   CASE WHEN judge_covered THEN {v('jb', 'ja', 'judge_after_n', 'days_open')} ELSE 'no-judge' END AS judge_verdict FROM x),
-eff AS (SELECT pattern, baseline_date, days_open, round(sb, 4) AS before_rate, round(sa, 4) AS after_rate, round(sa - sb, 4) AS delta,
+eff AS (SELECT pattern, baseline_date, days_open, round(sb, 4) AS before_rate, round(sa, 4) AS after_rate, round(sa - sb, 4) + 0 AS delta,
   before_n, after_n, verdict,
   ({K.in_list('verdict', REAL_VERDICTS)} OR {K.in_list('obj_verdict', REAL_VERDICTS)} OR {K.in_list('judge_verdict', REAL_VERDICTS)}) AS injectable,
   eval_covered, round(CASE WHEN eval_covered THEN obb ELSE 0 END, 4) AS obj_before, round(CASE WHEN eval_covered THEN oaa ELSE 0 END, 4) AS obj_after,
-  round(CASE WHEN eval_covered THEN oaa - obb ELSE 0 END, 4) AS obj_delta, obj_verdict, judge_covered,
+  round(CASE WHEN eval_covered THEN oaa - obb ELSE 0 END, 4) + 0 AS obj_delta, obj_verdict, judge_covered,
   round(CASE WHEN judge_covered THEN jb ELSE 0 END, 4) AS judge_before, round(CASE WHEN judge_covered THEN ja ELSE 0 END, 4) AS judge_after,
-  round(CASE WHEN judge_covered THEN ja - jb ELSE 0 END, 4) AS judge_delta, judge_verdict, judge_after_n FROM y),
+  round(CASE WHEN judge_covered THEN ja - jb ELSE 0 END, 4) + 0 AS judge_delta, judge_verdict, judge_after_n FROM y),
 esc AS (SELECT *, CASE WHEN eval_covered AND verdict IN ('flat','regressed') AND after_n >= 5 AND {K.in_list('pattern', ENFORCEABLE)}
   AND obj_verdict NOT IN ('regressed','flat') THEN verdict WHEN eval_covered THEN obj_verdict
   WHEN judge_covered THEN judge_verdict ELSE verdict END AS escalation_verdict FROM eff)"""

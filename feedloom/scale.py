@@ -60,3 +60,28 @@ def running_total(
 def keep_last(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """Newest n rows (``order`` is descending); a top-n per partition, then a merge."""
     return df.orderBy(*order).limit(n)
+
+
+def previous_value(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Lag of ``value`` per key in ``order`` without sorting a whole key in one task.
+
+    Inside a bucket it is a plain lag; the first row of a bucket takes the last value of
+    the bucket before it from a summary with one row per bucket.
+    """
+    keyed = df.withColumn("_bucket", bucket)
+    last = keyed.groupBy(*keys, "_bucket").agg(
+        F.max_by(F.struct(value), F.struct(*order)).alias("_last")
+    )
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = last.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), F.lag("_last").over(across).alias("_carry")
+    )
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inner = keyed.withColumn("_n", F.row_number().over(local)).withColumn("_lag", F.lag(value).over(local))
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = F.when(F.col("_n") > 1, F.col("_lag")).otherwise(F.col("_carry")[value])
+    return inner.join(carried, on).select(*df.columns, found.alias(name))
