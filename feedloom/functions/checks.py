@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import ARTIFACT_PATTERNS, CHECK_PATTERNS
 from feedloom.functions import artifacts
-from feedloom.functions.regex import matches
+from feedloom.functions.regex import column_contains_any, folded, matches, required_words
+from feedloom.scale import spread
 
 SHARED = {
     "weak": artifacts.weak_artifact,
@@ -48,19 +49,28 @@ def says(*names: str) -> Callable[[Column], Column]:
             hit = hit & matches(text, CHECK_PATTERNS[name])
         return hit
 
+    build.words = [required_words(CHECK_PATTERNS[n]) for n in names]
     return build
 
 
 def untagged(*names: str) -> Callable[[Column], Column]:
     """All named expressions occur and nothing marks the text as uncertain."""
     base = says(*names)
-    return lambda text: base(text) & ~matches(text, CHECK_PATTERNS["tagged_uncertain"])
+
+    def build(text: Column) -> Column:
+        return base(text) & ~matches(text, CHECK_PATTERNS["tagged_uncertain"])
+
+    build.words = [required_words(CHECK_PATTERNS[n]) for n in names]
+    return build
 
 
 def _first_person_fix(text: Column) -> Column:
     return says("change_badge")(text) | matches(text, ARTIFACT_PATTERNS["hotfix"])
 
 
+_first_person_fix.words = [required_words(CHECK_PATTERNS["change_badge"]) + required_words(ARTIFACT_PATTERNS["hotfix"])]
+
+
 
 _ANY_TRACE = ("research", "weak", "strong")
 
@@ -135,6 +145,15 @@ def covered_patterns(checks: Sequence[CheckSpec] = CHECKS) -> list[str]:
     return sorted({c.pattern for c in checks})
 
 
+def _guarded(check: CheckSpec) -> Column:
+    """The gate behind a literal search for words it cannot match without."""
+    gate = check.gate(F.col("_text"))
+    for words in getattr(check.gate, "words", ()):
+        if words:
+            gate = column_contains_any("_low", words) & gate
+    return gate
+
+
 def _staged(df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec]) -> DataFrame:
     """``keep``, the text, one gate per check and the shared evidence.
 
@@ -142,8 +161,9 @@ def _staged(df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[Chec
     into every place that uses them.
     """
     body = F.col("_text")
-    step = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    step = step.select("*", *[c.gate(body).alias(f"_g{i}") for i, c in enumerate(checks)])
+    step = spread(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    step = step.withColumn("_low", folded(body))
+    step = step.select("*", *[_guarded(c).alias(f"_g{i}") for i, c in enumerate(checks)])
     shared = []
     for name, build in SHARED.items():
         needed = F.lit(False)

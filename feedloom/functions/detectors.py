@@ -23,6 +23,7 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions.artifacts import strong_artifact_ascii, weak_artifact_ascii
 from feedloom.functions.regex import matches_ascii, strip
+from feedloom.scale import spread
 
 
 def _c(text: Column, name: str) -> Column:
@@ -99,7 +100,7 @@ def enforce(
     The mode table holds at most one row per detector, a size fixed by the registry,
     so it is broadcast.
     """
-    staged = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    staged = spread(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     hits = [F.when(d.fires(F.col("_text")), F.lit(d.pattern)) for d in detectors]
     fired = staged.select(*keep, F.explode_outer(F.array_compact(F.array(*hits))).alias("pattern"))
     return (

@@ -68,13 +68,13 @@ def classified_with_overrides(spark, sf):
     f"""WITH r AS ({A.RATINGS}) SELECT event_id, concat_ws(',',
  CASE WHEN contains(lower(concat(sentiment_summary, ' ', '', ' ', response_preview)), 'approved again') THEN 'duplicate_approval' END,
  CASE WHEN contains(lower(concat(sentiment_summary, ' ', '', ' ', response_preview)), 'outdated diff') THEN 'stale_review' END) AS patterns
-FROM r WHERE regexp_matches(lower(concat(sentiment_summary, ' ', response_preview)), 'approved again|outdated diff')""",
+FROM r""",
 )
 def source_classification(spark, sf):
-    """Review-domain patterns of ratings, leaving out rows of the remaining patterns."""
+    """Review-domain patterns of every rating, reduced to the two the check states."""
     out = classify.classify_for_source(A.view(spark, sf, A.RATINGS), "pr_review", A.TAXONOMY)
     kept = F.filter("patterns", lambda p: p.isin("duplicate_approval", "stale_review"))
-    return out.select("event_id", F.array_join(kept, ",").alias("patterns")).where("patterns <> ''")
+    return out.select("event_id", F.array_join(kept, ",").alias("patterns"))
 
 
 @query(
