@@ -171,7 +171,7 @@ SELECT concat('nation_', CAST(n_nationkey AS STRING)) AS source, concat('region_
   'in_region' AS relation, 'EXTRACTED' AS confidence, CAST(1.0 AS DOUBLE) AS confidence_score FROM {nation}
 UNION ALL SELECT concat('supplier_', CAST(s_suppkey AS STRING)), concat('nation_', CAST(s_nationkey AS STRING)),
   'supplies_from', CASE WHEN s_suppkey % 3 = 0 THEN 'AMBIGUOUS' ELSE 'INFERRED' END,
-  CAST(0.2 + (s_suppkey % 7) / 10.0 AS DOUBLE) FROM {supplier}
+  CAST((2 + s_suppkey % 7) / 10.0 AS DOUBLE) FROM {supplier}
 UNION ALL SELECT concat('customer_', CAST(c_custkey AS STRING)), concat('nation_', CAST(c_nationkey AS STRING)),
   'buys_from', 'EXTRACTED', CASE WHEN c_custkey % 100 = 0 THEN 0.5 ELSE 1.0 END FROM {customer} WHERE c_custkey % 10 <> 0
 """
