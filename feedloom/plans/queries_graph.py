@@ -83,8 +83,8 @@ def diversity_check(spark, sf):
     return similarity.diversity_check(A.view(spark, sf, _DIVERSE))
 
 
-_NAMES_G = "SELECT DISTINCT concat(lower(replace(p_type, ' ', '_')), '_', CAST(p_size AS STRING)) AS pattern FROM {part}"
-_NAMES_W = "SELECT DISTINCT concat(lower(replace(p_name, ' ', '_')), '_', lower(replace(p_type, ' ', '_'))) AS name FROM {part}"
+_NAMES_G = "SELECT DISTINCT concat(replace(p_name, ' ', '_'), '_', CAST(p_size AS STRING)) AS pattern FROM {part}"
+_NAMES_W = "SELECT DISTINCT concat('feedback_', replace(p_name, ' ', '_'), '_', lower(p_type)) AS name FROM {part}"
 
 
 @query(
@@ -349,12 +349,12 @@ def bfs_edges(spark, sf):
 
 @query(
     "shortest_path",
-    f"""WITH RECURSIVE {_UND}, p(id, depth, path) AS (SELECT 'supplier_1', 0, ['supplier_1'] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM p JOIN u ON u.src = p.id
- WHERE depth < 6 AND NOT list_contains(path, dst) AND (dst LIKE 'nation%' OR dst LIKE 'region%' OR dst = 'supplier_7')),
-b AS (SELECT path FROM p WHERE id = 'supplier_7' ORDER BY depth, path LIMIT 1) SELECT CAST(generate_subscripts(path, 1) - 1 AS INT) AS hop, unnest(path) AS id FROM b""",
+    f"""WITH RECURSIVE {_UND}, p(id, depth, path) AS (SELECT 'nation_0', 0, ['nation_0'] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM p JOIN u ON u.src = p.id
+ WHERE depth < 6 AND NOT list_contains(path, dst) AND (dst LIKE 'nation%' OR dst LIKE 'region%')),
+b AS (SELECT path FROM p WHERE id = 'nation_20' ORDER BY depth, path LIMIT 1) SELECT CAST(generate_subscripts(path, 1) - 1 AS INT) AS hop, unnest(path) AS id FROM b""",
 )
 def shortest_path(spark, sf):
-    return graph.shortest_path(edges(spark, sf), "supplier_1", "supplier_7")
+    return graph.shortest_path(edges(spark, sf), "nation_0", "nation_20")
 
 
 @query(
