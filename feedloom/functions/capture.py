@@ -18,6 +18,7 @@ from feedloom.fixed_values import (
     PRAISE_PHRASES,
     PRAISE_WORDS,
     RATING_BAD_SUFFIX,
+    RATING_NUMBER,
     RATING_PROMPT,
     RATING_SENTENCE,
     SKILL_STOPWORDS,
@@ -37,7 +38,7 @@ def explicit_rating(prompt: Column) -> Column:
     rest = strip(F.regexp_extract(text, RATING_PROMPT, 2))
     ok = (
         text.rlike(r"(?d)" + RATING_PROMPT.replace("$", r"\z"))
-        & ~text.rlike(RATING_BAD_SUFFIX)
+        & ~F.regexp_replace(text, RATING_NUMBER, "").rlike(RATING_BAD_SUFFIX)
         & ~matches_ascii(rest, RATING_SENTENCE)
     )
     return F.when(

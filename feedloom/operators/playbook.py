@@ -15,8 +15,9 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions.lessons import injection_section
 from feedloom.functions.text import bullet_id, tokens
-from feedloom.operators.similarity import bullet_edges, greedy_survivors
+from feedloom.operators.similarity import bullet_groups, greedy_survivors
 from feedloom.scale import top_k
+from feedloom.session import cut_lineage
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -91,23 +92,42 @@ def dedupe_signal() -> Column:
 def dedupe_bullets(rows: DataFrame) -> DataFrame:
     """Merge similar bullets into the strongest one; counters add up.
 
-    Similarity is taken on the original wording; a survivor's text is not compared again
-    after it absorbed another bullet.  ``rows`` hold one bullet per pattern.
+    A survivor takes over the wording of a better bullet it absorbs.  Similarity is taken
+    on the original wording and not compared again after that.  ``rows`` hold one bullet per pattern.
     """
     signal = rows.withColumn("_signal", dedupe_signal())
     ranked = signal.select(
         F.col("pattern").alias("id"), F.struct((-F.col("_signal")).alias("s"), F.col("pattern").alias("p")).alias("rank")
     )
-    survivor = greedy_survivors(ranked, bullet_edges(rows))
-    joined = rows.join(survivor.withColumnRenamed("id", "pattern"), "pattern")
+    members, edges = bullet_groups(rows.join(ranked.withColumnRenamed("id", "pattern"), "pattern"))
+    members = cut_lineage(members)
+    leaders = ranked.join(members.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
+    survivor = members.join(
+        greedy_survivors(leaders, edges).withColumnRenamed("id", "leader"), "leader"
+    ).select("pattern", "survivor")
+    joined = signal.join(survivor, "pattern")
+    own = F.col("pattern") == F.col("survivor")
+    best = F.min_by(
+        F.struct("description", "quality", own.alias("own")),
+        F.struct((-F.col("quality")).alias("q"), (~own).alias("o"), (-F.col("_signal")).alias("s"), F.col("pattern").alias("p")),
+    )
     merged = joined.groupBy("survivor").agg(
         F.sum("helpful").alias("helpful"),
         F.sum("harmful").alias("harmful"),
         (F.count(F.lit(1)) - 1).alias("merged"),
-        F.max("quality").alias("_best_quality"),
+        best.alias("_best"),
     )
     keep = rows.drop("helpful", "harmful").withColumnRenamed("pattern", "survivor")
-    return keep.join(merged, "survivor").withColumnRenamed("survivor", "pattern").drop("_best_quality")
+    # The strongest wording of the group is kept, except that a seed keeps its own.
+    swap = ~F.coalesce(F.col("seed"), F.lit(False)) & ~F.col("_best.own")
+    return (
+        keep.join(merged, "survivor")
+        .withColumn("description", F.when(swap, F.col("_best.description")).otherwise(F.col("description")))
+        .withColumn("quality", F.when(swap, F.col("_best.quality")).otherwise(F.col("quality")))
+        .withColumnRenamed("survivor", "pattern")
+        .withColumn("id", bullet_id(F.col("pattern"), F.col("description")))
+        .drop("_best")
+    )
 
 
 def lesson_text(pattern: Column, rule: Column) -> Column:

@@ -110,7 +110,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def merge_candidates(lessons: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """Lessons to merge: similar rules or similar names.
+    """Lessons to merge: similar rules or similar names, as all pairs of a small dimension.
+
+    For a large corpus use ``near_duplicates``, which lists a copy once.
 
     Two boilerplate rules share only boilerplate, so between them the name alone decides,
     at a stricter bar.  ``lessons``: pattern, rule, occurrence_count.
@@ -181,18 +183,32 @@ def name_overlap(generated: DataFrame, written: DataFrame, shared: int = 2) -> D
     )
 
 
-def bullet_edges(bullets: DataFrame) -> DataFrame:
-    """(a, b) of bullets alike enough to merge; names of one family need less overlap.
+def bullet_groups(bullets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, edges) for the greedy merge of ``pattern, description, rank``.
 
-    ``bullets``: pattern (unique), description.
+    Bullets with the same words and the same name family are linked to the same others,
+    so the best-ranked one leads and the rest follow it: ``members`` map pattern to
+    leader.  ``edges`` link leaders alike enough to merge; one family needs less overlap.
     """
-    sets = bullets.select(F.col("pattern").alias("id"), tokens(F.col("description"), STOPWORDS_PLAYBOOK).alias("tokens"))
-    family = lambda c: F.element_at(F.split(F.col(c), "_"), 1)
-    same_family = (family("a") == family("b")) & (F.length(family("a")) >= 4)
-    pairs = similar_pairs(sets, BULLET_THRESHOLD - FAMILY_DISCOUNT)
-    return pairs.where(
-        F.col("score") >= F.when(same_family, F.lit(BULLET_THRESHOLD - FAMILY_DISCOUNT)).otherwise(F.lit(BULLET_THRESHOLD))
-    ).select("a", "b")
+    words = tokens(F.col("description"), STOPWORDS_PLAYBOOK)
+    keyed = bullets.select(
+        "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), F.sort_array(words).alias("tokens")
+    ).withColumn(
+        "_sig", F.when(F.size("tokens") > 0, F.sha2(F.concat_ws(" ", "tokens"), 256)).otherwise(F.concat(F.lit("-"), "pattern"))
+    )
+    leaders = keyed.groupBy("_sig", "family").agg(F.min_by("pattern", "rank").alias("leader"))
+    members = keyed.join(leaders, ["_sig", "family"]).select("pattern", "leader")
+    sets = keyed.where(F.size("tokens") > 0).groupBy("_sig").agg(F.any_value("tokens").alias("tokens"))
+    low = BULLET_THRESHOLD - FAMILY_DISCOUNT
+    across = similar_pairs(sets.select(F.col("_sig").alias("id"), "tokens"), low)
+    la = leaders.select(F.col("_sig").alias("a"), F.col("leader").alias("_la"), F.col("family").alias("_fa"))
+    lb = leaders.select(F.col("_sig").alias("b"), F.col("leader").alias("_lb"), F.col("family").alias("_fb"))
+    same_family = (F.col("_fa") == F.col("_fb")) & (F.length("_fa") >= 4)
+    bar = F.when(same_family, F.lit(low)).otherwise(F.lit(BULLET_THRESHOLD))
+    linked = across.join(la, "a").join(lb, "b").where(F.col("score") >= bar).select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
+    # Equal words under different family names.
+    twins = la.join(lb, F.col("a") == F.col("b")).where(F.col("_fa") < F.col("_fb"))
+    return members, linked.unionByName(twins.select(F.col("_la").alias("a"), F.col("_lb").alias("b")))
 
 
 def greedy_survivors(ranked: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:

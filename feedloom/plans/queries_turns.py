@@ -20,6 +20,7 @@ from feedloom.fixed_values import (
     PRAISE_WORDS,
     PROMOTION_BRANCH,
     RATING_BAD_SUFFIX,
+    RATING_NUMBER,
     RATING_SENTENCE,
     RESEARCH_TOOL,
     SEED_DURABLE,
@@ -196,7 +197,7 @@ _PLAIN = f"""regexp_replace(lower({_P}), '[.!?,''"]', '', 'g')"""
     "prompt_routes",
     f"""WITH p AS ({A.PROMPTS}), n AS (SELECT *, {_P} AS t, {_PLAIN} AS plain,
  trim(regexp_extract({_P}, '^(10|[1-9])(?:\\s*[-:]\\s*|\\s+)?(.*)$', 2)) AS rest FROM p),
-m AS (SELECT *, regexp_matches(t, '^(10|[1-9])(?:\\s*[-:]\\s*|\\s+)?(.*)$') AND NOT regexp_matches(t, {K.lit(RATING_BAD_SUFFIX)})
+m AS (SELECT *, regexp_matches(t, '^(10|[1-9])(?:\\s*[-:]\\s*|\\s+)?(.*)$') AND NOT regexp_matches(regexp_replace(t, {K.lit(RATING_NUMBER)}, ''), {K.lit(RATING_BAD_SUFFIX)})
  AND NOT {K.re('rest', RATING_SENTENCE)} AS is_rating FROM n)
 SELECT conv_id, turn, CASE WHEN is_rating THEN CAST(regexp_extract(t, '^(10|[1-9])', 1) AS INT) END AS rating,
  CASE WHEN is_rating AND rest <> '' THEN rest END AS comment,
