@@ -24,6 +24,7 @@ from feedloom.fixed_values import (
     STALE_PENDING_DAYS,
 )
 from feedloom.scale import latest_by_key
+from feedloom.session import cut_lineage
 
 TOTAL = ""  # pattern label of the all-sessions row in a daily cube
 
@@ -166,7 +167,8 @@ def effectiveness(
     per pattern with ``baseline_date`` (empty means undated).
     """
     dated = lessons.where(F.coalesce(F.col("baseline_date"), F.lit("")) != "").select("pattern", "baseline_date")
-    daily = daily_low_hits(ratings)
+    # Written once: the cube is tiny and two later steps read it.
+    daily = cut_lineage(daily_low_hits(ratings))
     wide = (
         dated.join(totals_around(daily, dated), "baseline_date")
         .join(_split(daily.where(F.col("pattern") != TOTAL), dated, ["hits"], "s"), "pattern", "left")
@@ -349,7 +351,7 @@ def side_effects(ratings: DataFrame, lessons: DataFrame, min_side_n: int = SIDE_
     (lesson dates + 1) x patterns rows.
     """
     dated = lessons.where(F.coalesce(F.col("baseline_date"), F.lit("")) != "").select("pattern", "baseline_date")
-    daily = daily_low_hits(ratings)
+    daily = cut_lineage(daily_low_hits(ratings))
     totals = totals_around(daily, dated).where((F.col("before_n") >= min_side_n) & (F.col("after_n") >= min_side_n))
     lesson = dated.join(totals, "baseline_date").withColumnRenamed("pattern", "offending_lesson")
 

@@ -16,7 +16,7 @@ from feedloom.fixed_values import (
 from feedloom.functions.lessons import injection_section
 from feedloom.functions.text import bullet_id, tokens
 from feedloom.operators.similarity import bullet_groups, greedy_survivors
-from feedloom.scale import top_k
+from feedloom.scale import spread, top_k
 from feedloom.session import cut_lineage
 
 
@@ -141,7 +141,7 @@ def rank_lessons(prompts: DataFrame, lessons: DataFrame, scores: DataFrame, k: i
     Lessons are a small dimension, so its word lists are what gets broadcast, and only
     while they stay under the session's broadcast limit.
     """
-    p = prompts.select("prompt_id", F.explode(tokens(F.col("text"), STOPWORDS_REMINDER)).alias("token"))
+    p = spread(prompts).select("prompt_id", F.explode(tokens(F.col("text"), STOPWORDS_REMINDER)).alias("token"))
     weighted = lessons.join(scores.select("pattern", "verdict"), "pattern", "left").withColumn(
         "verdict", F.coalesce("verdict", F.lit("pending"))
     )

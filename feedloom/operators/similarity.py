@@ -22,6 +22,7 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions.lessons import is_template_rule
 from feedloom.functions.text import tokens
+from feedloom.scale import spread
 from feedloom.session import cut_lineage
 
 _SLACK = 1e-9  # keeps ceil() from being pushed up by rounding
@@ -36,31 +37,38 @@ def jaccard(a: Column, b: Column) -> Column:
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct sets, members): ``sets`` are ``id, tokens``; the lowest id represents copies."""
     keyed = sets.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens"))
-    keyed = keyed.withColumn("_sig", F.sha2(F.concat_ws(" ", "tokens"), 256))
+    keyed = cut_lineage(keyed.withColumn("_sig", F.sha2(F.concat_ws(" ", "tokens"), 256)))
     distinct = keyed.groupBy("_sig").agg(F.min("id").alias("rep"), F.any_value("tokens").alias("tokens"))
     members = keyed.select("id", "_sig").join(distinct.select("_sig", "rep"), "_sig").select("id", "rep")
     return distinct.select("rep", "tokens"), members
 
 
 def _rare_first(distinct: DataFrame) -> DataFrame:
-    """(rep, n, ordered): tokens by rising document frequency, ties by text."""
-    exploded = distinct.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    """(rep, n, ids): each set as numbers that rise with document frequency.
+
+    The vocabulary is range-sorted, so the row numbers Spark hands out follow the order
+    without a global window; it is written once because those numbers must not change.
+    """
+    exploded = distinct.select("rep", F.explode("tokens").alias("token"))
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"])
-    return exploded.join(frequency, "token").groupBy("rep", "n").agg(ordered.alias("ordered"))
+    numbered = frequency.orderBy("df", "token").select("token", F.monotonically_increasing_id().alias("number"))
+    vocabulary = cut_lineage(numbered)
+    listed = exploded.join(vocabulary, "token").groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("ids"))
+    return listed.select("rep", F.size("ids").alias("n"), "ids")
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score), a < b.  Copies appear once, against the lowest id of their group."""
     distinct, members = collapse_copies(sets)
-    ordered = _rare_first(distinct)
+    # Read several times below; writing it once saves tokenizing again.
+    ordered = cut_lineage(_rare_first(distinct))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - _SLACK).cast("int") + 1
-    prefix = ordered.select("rep", "n", F.posexplode(F.slice("ordered", 1, keep)).alias("pos", "token"))
+    prefix = ordered.select("rep", "n", F.posexplode(F.slice("ids", 1, keep)).alias("pos", "token"))
     a = prefix.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = prefix.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    need = F.col("_need")
-    longest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    # The position bound holds at the first shared prefix token, which is among the rows.
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - _SLACK)
+    # Shared prefix tokens plus what can still follow the last of them bounds the overlap.
+    possible = F.col("_c") + F.least(F.col("na") - F.col("_pa") - 1, F.col("nb") - F.col("_pb") - 1)
     candidates = (
         a.join(b, "token")
         .where(
@@ -68,19 +76,21 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             & (F.col("na") * threshold - _SLACK <= F.col("nb"))
             & (F.col("nb") * threshold - _SLACK <= F.col("na"))
         )
-        .withColumn("_need", F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - _SLACK))
-        .where(longest >= need)
-        .select("a", "b")
-        .distinct()
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb"))
+        .where(possible >= need)
     )
-    left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("_ta"))
-    right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("_tb"))
-    scored = (
-        candidates.join(left, "a")
+    left = ordered.select(F.col("rep").alias("a"), F.col("ids").alias("_ia"))
+    right = ordered.select(F.col("rep").alias("b"), F.col("ids").alias("_ib"))
+    overlap = (
+        candidates.select("a", "b", "na", "nb")
+        .join(left, "a")
         .join(right, "b")
-        .select("a", "b", jaccard(F.col("_ta"), F.col("_tb")).alias("score"))
-        .where(F.col("score") >= threshold)
+        .select("a", "b", "na", "nb", F.size(F.array_intersect("_ia", "_ib")).alias("_shared"))
     )
+    # The generator keeps the filter above it, so the overlap is computed once per pair.
+    score = F.col("_shared") / (F.col("na") + F.col("nb") - F.col("_shared"))
+    scored = overlap.select("a", "b", F.explode(F.array(score)).alias("score")).where(F.col("score") >= threshold)
     copies = members.where(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")
     )
@@ -104,7 +114,7 @@ def _oriented(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Near-copies among ``id, text, occurrence_count``."""
-    sets = docs.select("id", tokens(F.col("text"), STOPWORDS_LESSONS).alias("tokens"))
+    sets = spread(docs).select("id", tokens(F.col("text"), STOPWORDS_LESSONS).alias("tokens"))
     out = _oriented(similar_pairs(sets, threshold), docs)
     return out.select("survivor", "loser", F.round("score", 3).alias("score"), "survivor_n", "loser_n")
 
@@ -191,11 +201,12 @@ def bullet_groups(bullets: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader.  ``edges`` link leaders alike enough to merge; one family needs less overlap.
     """
     words = tokens(F.col("description"), STOPWORDS_PLAYBOOK)
-    keyed = bullets.select(
+    keyed = spread(bullets).select(
         "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), F.sort_array(words).alias("tokens")
     ).withColumn(
         "_sig", F.when(F.size("tokens") > 0, F.sha2(F.concat_ws(" ", "tokens"), 256)).otherwise(F.concat(F.lit("-"), "pattern"))
     )
+    keyed = cut_lineage(keyed)
     leaders = keyed.groupBy("_sig", "family").agg(F.min_by("pattern", "rank").alias("leader"))
     members = keyed.join(leaders, ["_sig", "family"]).select("pattern", "leader")
     sets = keyed.where(F.size("tokens") > 0).groupBy("_sig").agg(F.any_value("tokens").alias("tokens"))

@@ -28,7 +28,8 @@ def stream_view(spark: SparkSession, sf: str, sql: str, table: str) -> DataFrame
 )
 def stream_checks(spark, sf):
     responses = stream_view(spark, sf, A.RATINGS, "events").select("event_id", "response_preview")
-    scored = streams.stream_checks(responses, "response_preview", ["event_id"])
+    cores = spark.sparkContext.defaultParallelism
+    scored = streams.stream_checks(responses, "response_preview", ["event_id"], cores)
     return streams.run_available(scored).drop("applied")
 
 

@@ -399,4 +399,4 @@ SELECT event_id, allowed FROM w""",
 )
 def rate_limited(spark, sf):
     df = A.view(spark, sf, _APPROVALS)
-    return ratelimit.rate_limited(df, "host", "at_s", "event_id", gap=10, bucket=600).select("event_id", "allowed")
+    return ratelimit.rate_limited(df, "host", "at_s", "event_id", gap=10, bucket=21600).select("event_id", "allowed")

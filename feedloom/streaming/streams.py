@@ -65,9 +65,12 @@ def tail_log(spark: SparkSession, path: str, schema: StructType | str, files_per
 # --- stateless ---------------------------------------------------------------------------------
 
 
-def stream_checks(responses: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Fired checks of each response as it lands."""
-    return checks.score(responses, text, keep)
+def stream_checks(responses: DataFrame, text: str, keep: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Fired checks of each response as it lands.
+
+    ``partitions`` spreads batches that arrive as few large files.
+    """
+    return checks.score(responses.repartition(partitions) if partitions else responses, text, keep)
 
 
 def stream_fires(responses: DataFrame, text: str, keep: Sequence[str], armed: DataFrame) -> DataFrame:

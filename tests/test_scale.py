@@ -171,9 +171,11 @@ def test_deduped_bullets_match_a_direct_loop(spark):
                 k["helpful"] += r[3]
                 k["harmful"] += r[4]
                 k["merged"] += 1
+                if r[2] > k["quality"] and not k["row"][7]:
+                    k["quality"], k["text"] = r[2], r[1]
                 break
         else:
-            kept.append({"row": r, "helpful": r[3], "harmful": r[4], "merged": 0})
+            kept.append({"row": r, "helpful": r[3], "harmful": r[4], "merged": 0, "quality": r[2], "text": r[1]})
     got = playbook.dedupe_bullets(spark.createDataFrame(rows, schema)).collect()
     assert {(r["pattern"], r["helpful"], r["harmful"], r["merged"], r["quality"], r["description"]) for r in got} == {
         (k["row"][0], k["helpful"], k["harmful"], k["merged"], k["quality"], k["text"]) for k in kept
