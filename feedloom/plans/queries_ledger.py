@@ -528,3 +528,23 @@ SELECT * FROM hx""",
 def health(spark, sf):
     return health_ops.health_checks(scores(spark, sf), ratings(spark, sf), queue(spark, sf), AS_OF)
 
+
+
+@query(
+    "merged_evidence",
+    f"WITH l AS ({_PLAIN}), m AS ({_MERGES}) SELECT survivor AS pattern, loser AS merged_from, occurrence_count, rule FROM m JOIN l ON l.pattern = m.loser",
+)
+def merged_evidence(spark, sf):
+    return ledger.merged_evidence(A.view(spark, sf, _PLAIN), A.view(spark, sf, _MERGES))
+
+
+@query(
+    "labelled_entries",
+    f"""WITH lb AS (SELECT session_id, max(timestamp) AS timestamp FROM ({A.RATINGS}) GROUP BY session_id), e AS (SELECT session_id, timestamp, max(rating) AS rating FROM ({A.RATINGS}) GROUP BY ALL)
+SELECT lb.session_id, lb.timestamp, rating FROM lb LEFT JOIN e ON e.session_id = lb.session_id AND e.timestamp = lb.timestamp""",
+)
+def labelled_entries(spark, sf):
+    r = A.view(spark, sf, A.RATINGS)
+    labels = r.groupBy("session_id").agg(F.max("timestamp").alias("timestamp"))
+    entries = r.groupBy("session_id", "timestamp").agg(F.max("rating").alias("rating"))
+    return ledger.label_entries(labels, entries)

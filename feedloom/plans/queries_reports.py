@@ -29,6 +29,7 @@ from feedloom.plans import adapters as A
 from feedloom.plans import checker as K
 from feedloom.plans.queries_measure import ratings
 from feedloom.plans.registry import query
+from feedloom.scale import keep_last
 
 R = K.RATINGS_CTE
 
@@ -428,3 +429,62 @@ def compressed_notes(spark, sf):
     df = A.view(spark, sf, _NOTES)
     paragraphs = F.replace(F.col("body"), F.lit("\n"), F.lit("\n\n"))
     return df.select("doc_id", T.compress_episode(paragraphs, 400).alias("episode"))
+
+
+# --- lessons ---------------------------------------------------------------------------
+
+_BANK = [("schema", "formula", "Before merging a schema change, run `bq show` and never skip the check of a table.")]
+_HINT = ("without permission", "Draft, show, ask, wait, then post. Never post without approval of the owner.")
+_PLAIN_RULE = "When {phrase} risk appears: stop, gather tool evidence, then act on what it shows."
+_REFLECT = f"""
+SELECT p_partkey AS lesson_id, CASE WHEN p_partkey % 5 = 0 THEN 'schema' ELSE concat('tone_drift_', CAST(p_partkey AS STRING)) END AS pattern,
+ {A.case("p_partkey % 8", _RULES)} AS rule, CASE WHEN p_partkey % 3 = 0 THEN 'posted without permission' WHEN p_partkey % 3 = 1 THEN 'angry' ELSE 'Never push to the main branch while the owner is away today' END AS line,
+ CASE WHEN p_partkey % 2 = 0 THEN 'Check the schema with bq show before any change lands in a table' ELSE '' END AS root_cause, CASE WHEN p_partkey % 4 = 0 THEN 'repos: core' ELSE '' END AS where_
+FROM {{part}}
+"""
+
+
+def _reflect_sql() -> str:
+    q = lambda text: "(" + _QUALITY.replace("(t,", f"({text},").replace("(t)", f"({text})") + ")"
+    w = lambda text: "(" + _WEAK.replace("(t,", f"({text},").replace("(t)", f"({text})") + ")"
+    return f"""WITH l AS (SELECT *, trim(rule) AS t FROM ({_REFLECT})),
+e AS (SELECT *, {w('t')} AS weak, {q('t')} AS grade, CASE WHEN pattern = 'schema' THEN {K.lit(_BANK[0][2])} END AS bank,
+ CASE WHEN contains(line, 'without permission') THEN {K.lit(_HINT[1])} WHEN line <> 'angry' THEN line END AS ev FROM l),
+s AS (SELECT *, CASE WHEN NOT weak AND grade >= 3 THEN 'passthrough' WHEN bank IS NOT NULL THEN 'bank' WHEN ev IS NOT NULL AND NOT {w('ev')} THEN 'evidence'
+ WHEN length(root_cause) > 30 AND NOT {w('root_cause')} AND {q('root_cause')} >= 2 THEN 'evidence2' WHEN weak OR grade < 2 THEN 'heuristic' ELSE 'passthrough' END AS src FROM e),
+d AS (SELECT lesson_id, pattern, weak AS weak_input, bank, replace(src, '2', '') AS source, substring(CASE src WHEN 'bank' THEN bank WHEN 'evidence' THEN ev WHEN 'evidence2' THEN root_cause
+ WHEN 'heuristic' THEN concat('When ', replace(pattern, '_', ' '), ' risk appears: stop, gather tool evidence, then act on what it shows.', CASE WHEN where_ <> '' THEN concat(' Hotspots: ', where_, '.') ELSE '' END) ELSE t END, 1, 400) AS t FROM s)
+SELECT pattern, t AS description, CASE WHEN bank IS NOT NULL THEN 'formula' ELSE {_SECTION} END AS section, CAST({_QUALITY} AS INT) AS quality, source, weak_input FROM d"""
+
+
+@query("reflected_lessons", _reflect_sql())
+def reflected_lessons(spark, sf):
+    df = A.view(spark, sf, _REFLECT).withColumn("evidence", F.array("line"))
+    bank = spark.createDataFrame(_BANK, "pattern string, section string, description string")
+    return lesson_text.reflect(df, bank, [_HINT], [(".*", _PLAIN_RULE)])
+
+
+_FILES = """
+SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('---', chr(10)) END, 'name: x', chr(10), CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('description: y', chr(10)) END,
+ 'metadata:', chr(10), '---', chr(10), text, CASE WHEN doc_id % 5 = 0 THEN '```' ELSE '' END) AS content, concat(lang, CASE WHEN doc_id % 6 = 0 THEN '-Review-Finding' WHEN doc_id % 6 = 1 THEN '-dag-bronze' ELSE '' END) AS name FROM {documents}
+"""
+
+
+@query(
+    "lesson_format",
+    f"""WITH f AS ({_FILES}), p AS (SELECT doc_id, name, string_split(content, '---') AS s, content FROM f),
+b AS (SELECT *, array_to_string(s[3:], '---') AS body FROM p)
+SELECT doc_id, len(s) >= 3 AND contains(s[2], 'name:') AND contains(s[2], 'description:') AND contains(s[2], 'metadata:') AND (len(string_split(body, '```')) - 1) % 2 = 0 AS ok,
+ regexp_matches(lower(name), 'review|approved|approval|pr-|comment|finding|merge') AS is_review, regexp_matches(lower(name), 'dag|airflow|dataform|sqlx|pipeline|bronze|silver|mysql|bq|bigquery|schema') AS is_data FROM b""",
+)
+def lesson_format(spark, sf):
+    review, data = classify.domain_flags(F.col("name"))
+    return A.view(spark, sf, _FILES).select(
+        "doc_id", lesson_text.lesson_format_ok(F.col("content")).alias("ok"), review.alias("is_review"), data.alias("is_data")
+    )
+
+
+@query("capped_log", f"SELECT event_id, pattern FROM ({A.ENFORCEMENT}) ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def capped_log(spark, sf):
+    log = A.view(spark, sf, A.ENFORCEMENT)
+    return keep_last(log, [F.desc("ts"), F.desc("event_id")], 1000).select("event_id", "pattern")

@@ -99,3 +99,41 @@ def stream_turns(spark, sf):
     events = stream_view(spark, sf, A.TRANSCRIPT, "conversations")
     events = events.withColumn("tools", F.filter(F.split("tools", ","), lambda t: t != ""))
     return streams.run_available(streams.turn_state(events)).drop("tools")
+
+
+_STREAM_PROMPTS = f"""
+SELECT doc_id, {A.case("doc_id % 7", ["8 - nice", "Great job!", "ok", "tell me more", "10/10 would", "<system-reminder> 9", "7"])} AS prompt,
+ CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(1 + doc_id % 9 AS INT) END AS sentiment_rating, CAST((doc_id % 4) / 4.0 AS DOUBLE) AS sentiment_confidence, text AS response FROM {{documents}}
+"""
+
+
+@query(
+    "stream_prompt_routes",
+    f"""WITH p AS ({_STREAM_PROMPTS}), r AS (SELECT *, CASE WHEN doc_id % 7 IN (0, 1, 6) THEN 'keep' WHEN doc_id % 7 IN (2, 5) THEN 'drop' WHEN sentiment_rating IS NOT NULL AND sentiment_confidence >= 0.5 THEN 'keep'
+ WHEN length(trim(response, chr(10) || ' ')) >= 200 THEN 'judge' ELSE 'drop' END AS route FROM p)
+SELECT doc_id, route, CASE WHEN route <> 'keep' THEN NULL WHEN doc_id % 7 IN (0, 1) THEN 8 WHEN doc_id % 7 = 6 THEN 7 ELSE sentiment_rating END AS rating,
+ CASE WHEN doc_id % 7 IN (0, 6) THEN 'explicit' ELSE 'implicit' END AS source FROM r""",
+)
+def stream_prompt_routes(spark, sf):
+    prompts = stream_view(spark, sf, _STREAM_PROMPTS, "documents")
+    routed = streams.route_prompts(prompts).select("doc_id", "route", "rating", "source")
+    return streams.run_available(routed)
+
+
+_REMINDERS = """
+SELECT event_id, CAST(user_id % 5 AS STRING) AS host, event_id * 1500 + CAST(floor(value) AS BIGINT) % 3 AS at_ms,
+ CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN 'FAILURE PATTERN REMINDER again' ELSE 'fix it' END AS prompt FROM {events}
+"""
+
+
+@query(
+    "stream_reminders",
+    f"""WITH RECURSIVE e AS (SELECT * FROM ({_REMINDERS}) WHERE trim(prompt) <> '' AND NOT contains(prompt, 'FAILURE PATTERN REMINDER')),
+o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_ms, event_id) AS n FROM e),
+w(host, n, event_id, allowed, clock) AS (SELECT host, n, event_id, true, at_ms FROM o WHERE n = 1
+ UNION ALL SELECT o.host, o.n, o.event_id, o.at_ms - w.clock >= 30000, CASE WHEN o.at_ms - w.clock >= 30000 THEN o.at_ms ELSE w.clock END FROM w JOIN o ON o.host = w.host AND o.n = w.n + 1)
+SELECT event_id FROM w WHERE allowed""",
+)
+def stream_reminders(spark, sf):
+    prompts = stream_view(spark, sf, _REMINDERS, "events").withColumnRenamed("at_ms", "ts_millis")
+    return streams.run_available(streams.reminder_cooldown(prompts)).select("event_id")

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,15 +14,19 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of few partitions.
+    """Use all cores for costly per-row work on a small input.
 
-    Large inputs arrive in more partitions than there are cores and pass unchanged, so
-    the extra shuffle only ever moves a small input.
+    The decision is taken from the planner's size estimate, so nothing runs.  An input
+    that fills a quarter of a scan partition per core passes unchanged, which leaves the
+    extra shuffle to inputs that would otherwise sit on a few cores.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(re.sub(r"\D", "", spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * split // 4 else df
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
