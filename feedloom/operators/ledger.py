@@ -80,7 +80,7 @@ def status_path(queue: DataFrame) -> DataFrame:
     return running_total(
         queue.select("pattern", "record_id", "detected_at", "status"),
         ["pattern"],
-        F.substring("detected_at", 1, 7),
+        F.substring("detected_at", 1, 10),
         ["detected_at", "record_id"],
         {"position": F.lit(1).cast("long")},
     )
@@ -96,7 +96,7 @@ def queue_history(queue: DataFrame, audit: DataFrame) -> DataFrame:
         )
     )
     return previous_value(
-        events, ["pattern"], F.substring("at", 1, 7), ["at", "kind", "record_id"], "event", "previous"
+        events, ["pattern"], F.substring("at", 1, 10), ["at", "kind", "record_id"], "event", "previous"
     )
 
 

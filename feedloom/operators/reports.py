@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import ATTRIBUTION_FLOOR, GENERAL_SKILL, JUNK_PATTERNS, LOW_RATING
 from feedloom.functions.regex import any_regex, matches, strip
 from feedloom.functions.text import learning_category
-from feedloom.scale import top_k
+from feedloom.scale import running_total, top_k
 
 
 
@@ -356,20 +356,15 @@ def reclass_candidates(ratings: DataFrame, n: int = 40) -> DataFrame:
     )
 
 
-def running_cost(runs: DataFrame, day: str) -> DataFrame:
-    """Cumulative tokens per run.
+def running_cost(runs: DataFrame) -> DataFrame:
+    """Cumulative tokens per run, by ``run_at, run_id``.
 
-    Runs are summed per day first, so the unpartitioned window sees one row per day.
+    Runs are summed per hour first, so the unpartitioned window sees one row per hour.
     """
-    daily = runs.groupBy(day).agg(F.sum("input_tokens").alias("_i"), F.sum("output_tokens").alias("_o"))
-    before = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    carried = daily.select(
-        day, F.coalesce(F.sum("_i").over(before), F.lit(0)).alias("_ci"), F.coalesce(F.sum("_o").over(before), F.lit(0)).alias("_co")
-    )
-    within = Window.partitionBy(day).orderBy("run_at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        runs.join(carried, day)
-        .withColumn("total_input_tokens", F.sum("input_tokens").over(within) + F.col("_ci"))
-        .withColumn("total_output_tokens", F.sum("output_tokens").over(within) + F.col("_co"))
-        .drop("_ci", "_co")
+    return running_total(
+        runs,
+        [],
+        F.date_trunc("hour", "run_at"),
+        ["run_at", "run_id"],
+        {"total_input_tokens": F.col("input_tokens"), "total_output_tokens": F.col("output_tokens")},
     )

@@ -317,7 +317,7 @@ SELECT event_id AS run_id, ts AS run_at, CAST(CAST(ts AS DATE) AS STRING) AS day
  CAST(sum(output_tokens) OVER (ORDER BY run_at, run_id) AS BIGINT) AS total_output_tokens FROM c""",
 )
 def running_cost(spark, sf):
-    return reports.running_cost(A.view(spark, sf, _RUNS), "day").select("run_id", "total_input_tokens", "total_output_tokens")
+    return reports.running_cost(A.view(spark, sf, _RUNS)).select("run_id", "total_input_tokens", "total_output_tokens")
 
 
 # --- text ------------------------------------------------------------------------------
