@@ -65,9 +65,15 @@ SELECT start, start + INTERVAL 14 DAY AS "end", pattern, count(*) AS fires, coun
 WHERE start + INTERVAL 14 DAY <= wm GROUP BY start, pattern""",
 )
 def stream_fires_window(spark, sf):
-    fires = stream_view(spark, sf, A.ENFORCEMENT, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # The wall-clock times are read as UTC whatever the session's time zone is.
+    zone = F.current_timezone()
+    fires = stream_view(spark, sf, A.ENFORCEMENT, "events").withColumn(
+        "ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)
+    )
     out = streams.run_available(streams.fires_window(fires))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    for c in ("start", "end"):
+        out = out.withColumn(c, F.to_utc_timestamp(c, zone).cast("timestamp_ntz"))
+    return out
 
 
 @query("stream_rate_limited", CHECKS["rate_limited"])

@@ -48,3 +48,8 @@ def write_report(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Ordered report rows as parquet or CSV."""
     writer = df.write.mode("overwrite")
     writer.parquet(path) if form == "parquet" else writer.option("header", "true").csv(path)
+
+
+def append_taxonomy(keywords: DataFrame, path: str) -> None:
+    """Add ``pattern, keyword, ord`` rows: a new pattern needs no change of code."""
+    keywords.select("pattern", "keyword", "ord").write.mode("append").json(path)

@@ -233,3 +233,41 @@ def test_quorum_sizes(spark):
     assert {q: (r["passed"], r["evidence"]) for q, r in got.items()} == {1: (False, "e0"), 2: (False, "e0"), 3: (False, "e0")}
     only_one = votes.where("pass_no <> 1")
     assert ledger.judge_quorum(only_one, ["p"], 3).first()["passed"] is True
+
+
+def test_health_helpers(spark):
+    from feedloom.operators import graph, health
+
+    modes = spark.createDataFrame([("a", "block"), ("b", "warn")], "pattern string, mode string")
+    assert {r["check"] for r in health.override_checks(modes, ["a", "b", "c"]).collect()} == {"b_not_block", "c_not_block"}
+    edits = spark.createDataFrame(
+        [("s", "p", "2024-01-01", "active", 0), ("t", "p", "2024-01-01", "active", 2), ("u", "p", "2024-01-10", "active", 0)],
+        "skill string, pattern string, applied string, status string, post_n int",
+    )
+    assert [r["skill"] for r in health.stalled_edit_checks(edits, "2024-01-20").collect()] == ["s"]
+    probe = spark.createDataFrame([("Done. The table has 5000 rows and everything is complete.",)], "t string")
+    assert probe.select(health.probe_is_weak(F.col("t")).alias("ok")).first()["ok"] is True
+    files = spark.createDataFrame([("a.py", "new", True), ("b.md", "deleted", False)], "path string, status string, is_code boolean")
+    assert tuple(graph.code_only(files).first()) == (1, True)
+
+
+def test_prior_failed_and_negative_results(spark):
+    edits = spark.createDataFrame(
+        [("s", f"p{i}", f"2024-01-0{i}", "reverted") for i in range(1, 8)] + [("s", "q", "2024-02-01", "active")],
+        "skill string, pattern string, applied string, status string",
+    )
+    assert sorted(r["pattern"] for r in ledger.prior_failed(edits).collect()) == ["p3", "p4", "p5", "p6", "p7"]
+    archived = edits.where("pattern IN ('p1', 'p2')")
+    assert ledger.negative_results(edits, archived).count() == 5
+
+
+def test_tool_event_flags(spark):
+    rows = [
+        ("git push origin feature", "", "", "Bash"), ("git -C x push origin uat", "", "", "Bash"), ("git log --grep push", "", "", "Bash"),
+        ("", "/r/.github/workflows/ci.yml", "notify_teams_channel: BigBrother", "Write"), ("gh pr review 3 --approve", "", "", "Bash"),
+    ]
+    out = policy.tool_event_flags(spark.createDataFrame(rows, "command string, file_path string, content string, tool_name string")).collect()
+    assert [r["push_blocked"] for r in out] == [True, False, False, False, False]
+    assert [r["workflow_blocked"] for r in out] == [False, False, False, True, False]
+    assert [r["is_approval"] for r in out] == [False, False, False, False, True]
+    assert [r["verify_reminder"] for r in out] == [False, False, False, True, False]

@@ -152,6 +152,10 @@ def test_configuration(spark, tmp_path):
     assert readers.read_taxonomy(spark, path) == {"a": ["k0"], "b": ["k1"]}
     with pytest.raises(ValueError):
         readers.read_taxonomy(spark, path, max_keywords=1)
+    more = str(tmp_path / "tax")
+    for keyword in ("one", "two"):
+        sinks.append_taxonomy(spark.createDataFrame([("new", keyword, 1)], "pattern string, keyword string, ord int"), more)
+    assert sorted(readers.read_taxonomy(spark, more)["new"]) == ["one", "two"]
     commands, paths = readers.read_policy(json.dumps({"bash": {"blocked": [{"pattern": "rm", "reason": "no"}]}, "paths": {"noDelete": ["~/m"]}}))
     assert commands[0].tier == "blocked" and paths[0].pattern == "~/m"
 
