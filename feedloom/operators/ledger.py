@@ -211,27 +211,32 @@ def skill_gate(ratings: DataFrame, edits: DataFrame, min_low: int = 3, min_rate:
     Needs ``min_low`` low sessions and a low share of ``min_rate``, no active edit, and a
     dominant pattern that was not tried and reverted before.
     """
-    attributed = by_skill(ratings)
     low = F.col("rating") <= LOW_RATING
-    rates = attributed.groupBy("attributed").agg(
-        rows().alias("n"), F.count_if(low).alias("low_n"), F.count_if(low & (F.lower("skill") == F.col("attributed"))).alias("_primary_low")
+    # The empty label counts all sessions of a skill, so one scan gives rates and patterns.
+    labels = F.concat(
+        F.array(F.lit("")),
+        F.when(low, F.filter("patterns", lambda p: p != "other")).otherwise(F.array().cast("array<string>")),
     )
-    patterns = (
-        attributed.where(low)
-        .select("attributed", F.explode("patterns").alias("pattern"))
-        .where(F.col("pattern") != "other")
+    per_label = (
+        by_skill(ratings)
+        .select("attributed", low.alias("_low"), (F.lower("skill") == F.col("attributed")).alias("_own"), F.explode(labels).alias("pattern"))
         .groupBy("attributed", "pattern")
-        .agg(rows().alias("c"))
+        .agg(rows().alias("c"), F.count_if("_low").alias("_low_n"), F.count_if(F.col("_low") & F.col("_own")).alias("_own_low"))
     )
-    dominant = patterns.groupBy("attributed").agg(
-        F.min_by("pattern", F.struct((-F.col("c")).alias("c"), F.col("pattern").alias("p"))).alias("pattern")
+    whole = F.col("pattern") == ""
+    rates = per_label.groupBy("attributed").agg(
+        F.max(F.when(whole, F.col("c"))).alias("n"),
+        F.max(F.when(whole, F.col("_low_n"))).alias("low_n"),
+        F.max(F.when(whole, F.col("_own_low"))).alias("_primary_low"),
+        F.min_by(
+            F.when(~whole, F.col("pattern")), F.when(~whole, F.struct((-F.col("c")).alias("c"), F.col("pattern").alias("p")))
+        ).alias("pattern"),
     )
     active = edits.where(F.col("status") == "active").select(F.col("skill").alias("attributed")).distinct()
     reverted = edits.where(F.col("status") == "reverted").select(F.col("skill").alias("attributed"), "pattern").distinct()
     return (
         rates.where((F.col("low_n") >= min_low) & (F.col("low_n") / F.col("n") >= min_rate) & (F.col("_primary_low") > 0))
         .join(active, "attributed", "left_anti")
-        .join(dominant, "attributed", "left")
         .withColumn("pattern", F.coalesce("pattern", F.lit("general_quality")))
         .join(reverted, ["attributed", "pattern"], "left_anti")
         .select(F.col("attributed").alias("skill"), "n", "low_n", F.round(F.col("low_n") / F.col("n"), 4).alias("rate"), "pattern")
