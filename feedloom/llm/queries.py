@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from feedloom.llm.language import op9_language
+from feedloom.llm.minhash import OP8_SQL, op8_minhash
 from feedloom.llm.packing import op4_packing
+from feedloom.llm.topk import OP1_SQL, op1_topk
 from feedloom.llm.token_counts import op3_token_counts
 from feedloom.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op8_minhash": op8_minhash,
+    "op9_language": op9_language,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op1_topk": OP1_SQL, "op8_minhash": OP8_SQL}
