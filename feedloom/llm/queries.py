@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedloom.llm.decontamination import op10_decontamination
 from feedloom.llm.language import op9_language
 from feedloom.llm.minhash import OP8_SQL, op8_minhash
 from feedloom.llm.packing import op4_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
+    "op10_decontamination": op10_decontamination,
 }
 
 CHECKS: dict[str, str] = {"op1_topk": OP1_SQL, "op8_minhash": OP8_SQL}
