@@ -6,6 +6,7 @@ from feedloom.llm.decontamination import op10_decontamination
 from feedloom.llm.language import op9_language
 from feedloom.llm.minhash import OP8_SQL, op8_minhash
 from feedloom.llm.packing import op4_packing
+from feedloom.llm.secrets import op7_secrets
 from feedloom.llm.topk import OP1_SQL, op1_topk
 from feedloom.llm.token_counts import op3_token_counts
 from feedloom.llm.token_files import op2_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
