@@ -190,18 +190,21 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, edits: int)
     return best, end - (m - edits + int(row.argmin())), end
 
 
-def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, start, end (code points), edits of the passages found in docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def passage_blocks(items: DataFrame, q: int, rate: float) -> Iterator:
+    """Broadcast passages, a block of bounded size after the other."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-
-    def searched(block: int) -> DataFrame:
+    for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        passages = spark.sparkContext.broadcast(Passages([tuple(r) for r in own], q, rate))
+        yield items.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in own], q, rate))
 
+
+def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, start, end (code points), edits of the passages found in docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def searched(passages) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = passages.value
             for batch in batches:
@@ -215,7 +218,22 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RA
 
         return docs.mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.union, [searched(b) for b in range(blocks)])
+    return reduce(DataFrame.union, map(searched, passage_blocks(items, q, rate)))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """The rows of docs in which no passage is found."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    for passages in passage_blocks(items, q, rate):
+
+        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+            known = passages.value
+            for batch in batches:
+                keep = [not known.within(folded(t)[0]) for t in texts_of(batch.column(1))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

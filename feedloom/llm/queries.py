@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+from feedloom.llm.chat import OP6_SQL, op6_chat
 from feedloom.llm.decontamination import op10_decontamination
 from feedloom.llm.language import op9_language
 from feedloom.llm.minhash import OP8_SQL, op8_minhash
 from feedloom.llm.packing import op4_packing
+from feedloom.llm.pii import op5_pii
 from feedloom.llm.secrets import op7_secrets
 from feedloom.llm.topk import OP1_SQL, op1_topk
 from feedloom.llm.token_counts import op3_token_counts
@@ -16,10 +19,13 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
+    "op6_chat": op6_chat,
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
-CHECKS: dict[str, str] = {"op1_topk": OP1_SQL, "op8_minhash": OP8_SQL}
+CHECKS: dict[str, str] = {"op6_chat": OP6_SQL, "op1_topk": OP1_SQL, "op8_minhash": OP8_SQL}
