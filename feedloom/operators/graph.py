@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.fixed_values import CODE_SUFFIXES, CONFIDENCE_RANGES
 from feedloom.session import cut_lineage
 
-CONFIDENCE_RANGES = {"EXTRACTED": (1.0, 1.0), "INFERRED": (0.4, 0.9), "AMBIGUOUS": (0.1, 0.3)}
 NODE_ID = r"^[a-z0-9_]+\z"
-CODE_SUFFIXES = (
-    ".py .ts .js .go .rs .java .cpp .c .rb .swift .kt .cs .scala .php .cc .cxx .hpp .h .kts .lua .toc"
-).split()
 
 
 # --- build -------------------------------------------------------------------------------
@@ -95,7 +92,7 @@ def incremental_files(before: DataFrame, now: DataFrame) -> DataFrame:
     return (
         now.select("path", "mtime")
         .join(b, "path", "full_outer")
-        .select("path", status.alias("status"), suffix.isin(CODE_SUFFIXES).alias("is_code"))
+        .select("path", status.alias("status"), suffix.isin(*CODE_SUFFIXES).alias("is_code"))
         .where(F.col("status").isNotNull())
     )
 
@@ -159,7 +156,7 @@ def bfs_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return steps.select(F.col("src").alias("source"), F.col("dst").alias("target"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(hop, id) along a shortest path; among equals the one whose parents sort first.
 
     The search keeps one parent per node; the path is then walked back through the
@@ -169,9 +166,9 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 50) -
     links = cut_lineage(undirected(edges))
     seen = spark.createDataFrame([(start, None, 0)], "id string, parent string, depth int")
     frontier, found = seen, start == goal
-    for hop in range(1, max_hops + 1):
-        if found:
-            break
+    hop = 0
+    while not found:
+        hop += 1
         step = (
             links.join(frontier.select(F.col("id").alias("src")), "src")
             .groupBy(F.col("dst").alias("id"))
@@ -181,6 +178,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 50) -
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+        if hop % 10 == 0:  # keep the plan short
+            seen = cut_lineage(seen)
         found = bool(frontier.where(F.col("id") == goal).take(1))
     hops = []
     node = goal if found else None

@@ -313,15 +313,15 @@ def prior_failed(edits: DataFrame, k: int = 5) -> DataFrame:
 def judge_quorum(votes: DataFrame, patterns: Sequence[str], quorum: int) -> DataFrame:
     """Full (turn, pattern) matrix by majority over ``quorum`` passes.
 
-    Passes are kept as bits, so one aggregate per turn counts distinct flagging passes
-    for every pattern and no turn x pattern join is needed.
+    One aggregate per turn gathers the distinct flagging passes, at most ``quorum``, of
+    every pattern, and no turn x pattern join is needed.
     """
     need = quorum // 2 + 1
     flag = F.col("flagged") & (F.col("pass_no") < quorum)
     aggs = []
     for i, p in enumerate(patterns):
         mine = flag & (F.col("pattern") == p)
-        aggs.append(F.bit_count(F.coalesce(F.bit_or(F.when(mine, F.expr("shiftleft(1L, pass_no)"))), F.lit(0))).alias(f"_v{i}"))
+        aggs.append(F.size(F.collect_set(F.when(mine, F.col("pass_no")))).alias(f"_v{i}"))
         aggs.append(
             F.min_by(
                 F.when(mine, F.substring("evidence", 1, 160)),

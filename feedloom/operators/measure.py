@@ -347,8 +347,8 @@ def coverage_gaps(ratings: DataFrame, covered: list[str]) -> DataFrame:
 def side_effects(ratings: DataFrame, lessons: DataFrame, min_side_n: int = SIDE_MIN_N) -> DataFrame:
     """Patterns that got worse after a lesson for a different pattern landed.
 
-    The pairing runs on the daily cube reduced to lesson intervals: at most
-    (lesson dates + 1) x patterns rows.
+    Hits are reduced to the intervals between lesson dates, summed per pattern before and
+    from each lesson date, and met with the lessons by date.
     """
     dated = lessons.where(F.coalesce(F.col("baseline_date"), F.lit("")) != "").select("pattern", "baseline_date")
     daily = cut_lineage(daily_low_hits(ratings))
@@ -366,13 +366,21 @@ def side_effects(ratings: DataFrame, lessons: DataFrame, min_side_n: int = SIDE_
         .groupBy("since", "pattern")
         .agg(F.sum("hits").alias("hits"))
     )
+    dates = dated.agg(F.array_sort(F.collect_set("baseline_date")).alias("_dates"))  # one row
+    per_pattern = by_interval.groupBy("pattern").agg(F.collect_list(F.struct("since", "hits")).alias("_h"))
+    at_date = per_pattern.crossJoin(F.broadcast(dates)).select("pattern", "_h", F.explode("_dates").alias("baseline_date"))
+    hits_in = lambda keep: F.aggregate(F.filter("_h", keep), F.lit(0).cast("long"), lambda n, x: n + x["hits"])
+    at_date = at_date.select(
+        F.col("pattern").alias("side_effect_pattern"),
+        "baseline_date",
+        hits_in(lambda x: x["since"] < F.col("baseline_date")).alias("_b"),
+        hits_in(lambda x: x["since"] >= F.col("baseline_date")).alias("_a"),
+    )
     counts = (
-        lesson.join(by_interval, F.col("offending_lesson") != F.col("pattern"))
-        .groupBy("offending_lesson", "baseline_date", "before_n", "after_n", F.col("pattern").alias("side_effect_pattern"))
-        .agg(
-            F.sum(F.when(F.col("since") < F.col("baseline_date"), F.col("hits")).otherwise(0)).alias("_b"),
-            F.sum(F.when(F.col("since") < F.col("baseline_date"), 0).otherwise(F.col("hits"))).alias("_a"),
-        )
+        lesson.select("offending_lesson", "baseline_date", "before_n", "after_n")
+        .distinct()
+        .join(at_date, "baseline_date")
+        .where(F.col("offending_lesson") != F.col("side_effect_pattern"))
         .withColumn("_before", F.col("_b") / F.col("before_n"))
         .withColumn("_after", F.col("_a") / F.col("after_n"))
     )

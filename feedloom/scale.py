@@ -6,29 +6,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on a small input.
-
-    The decision is taken from the planner's size estimate, so nothing runs.  An input
-    that fills a quarter of a scan partition per core passes unchanged, which leaves the
-    extra shuffle to inputs that would otherwise sit on a few cores.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(re.sub(r"\D", "", spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split // 4 else df
-
-
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Row with the greatest order per key, as a partial aggregate (no per-key sort)."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.fixed_values import FILE_KINDS
 from feedloom import schemas
 from feedloom.functions.regex import strip
 from feedloom.operators.classify import domain_flags
@@ -207,13 +208,6 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     )
 
 
-FILE_KINDS = {
-    "code": ".py .ts .tsx .js .jsx .go .rs .java .cpp .c .h .rb .swift .kt .cs .scala .php .lua .sql .sh".split(),
-    "docs": ".md .txt .rst .html .csv .json .yml .yaml".split(),
-    "papers": [".pdf"],
-    "images": ".png .jpg .jpeg .gif .svg .webp".split(),
-    "video": ".mp4 .mov .mkv .mp3 .wav .m4a".split(),
-}
 MAX_WORDS, MAX_FILES = 2_000_000, 200
 
 
@@ -221,7 +215,7 @@ def _kind(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)\z", 1))
     kind = F.lit("other")
     for name, suffixes in FILE_KINDS.items():
-        kind = F.when(suffix.isin(suffixes), name).otherwise(kind)
+        kind = F.when(suffix.isin(*suffixes), name).otherwise(kind)
     return kind
 
 
