@@ -50,7 +50,7 @@ class Grams:
     """Vectors of the n-grams met so far; at most ``limit`` are kept."""
 
     def __init__(self, limit: int = 20_000):
-        self.limit, self.known, self.rows = limit, {}, np.zeros((0, DIMENSIONS), dtype=np.float32)
+        self.limit, self.known, self.rows = limit, {}, np.empty((limit, DIMENSIONS), dtype=np.int8)
 
     def vector(self, code: int) -> np.ndarray:
         out = np.ones(DIMENSIONS, dtype=np.int8)
@@ -61,13 +61,13 @@ class Grams:
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """A row for each code."""
-        fresh = [c for c in codes.tolist() if c not in self.known]
-        if len(self.known) + len(fresh) > self.limit:
-            self.known, self.rows, fresh = {}, self.rows[:0], codes.tolist()
-        if fresh:
-            self.known.update((c, len(self.rows) + k) for k, c in enumerate(fresh))
-            self.rows = np.concatenate([self.rows, np.array([self.vector(c) for c in fresh], dtype=np.float32)])
-        return self.rows[[self.known[c] for c in codes.tolist()]]
+        if len(self.known) + len(codes) > self.limit:
+            self.known = {}
+        for c in codes.tolist():
+            if c not in self.known:
+                self.rows[len(self.known)] = self.vector(c)
+                self.known[c] = len(self.known)
+        return self.rows[[self.known[c] for c in codes.tolist()]].astype(np.float32)
 
 
 @cache
@@ -96,8 +96,8 @@ def text_vectors(texts: list[str]) -> np.ndarray:
     for at in range(0, len(texts), 64):
         own = counted[at : at + 64]
         codes = np.unique(np.concatenate([c for c, _ in own])) if own else np.zeros(0, np.int64)
-        for low in range(0, len(codes), 8192):
-            part = codes[low : low + 8192]
+        for low in range(0, len(codes), 2048):
+            part = codes[low : low + 2048]
             weights = np.zeros((len(own), len(part)), dtype=np.float32)
             for row, (c, n) in enumerate(own):
                 inside = slice(*np.searchsorted(c, [part[0], part[-1] + 1]))
