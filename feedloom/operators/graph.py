@@ -159,8 +159,8 @@ def bfs_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(hop, id) along a shortest path; among equals the one whose parents sort first.
 
-    The search keeps one parent per node; the path is then walked back through the
-    parents, one row per hop.
+    The search keeps one parent per node and goes on until the goal is found or nothing is
+    left to visit.  The path is gathered from the goal in jumps of 1, 2, 4, ... parents.
     """
     spark = edges.sparkSession
     links = cut_lineage(undirected(edges))
@@ -176,18 +176,20 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
         )
         frontier = cut_lineage(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)))
         if not frontier.take(1):
-            break
+            return spark.createDataFrame([], "hop int, id string")
         seen = seen.unionByName(frontier)
         if hop % 10 == 0:  # keep the plan short
             seen = cut_lineage(seen)
         found = bool(frontier.where(F.col("id") == goal).take(1))
-    hops = []
-    node = goal if found else None
-    while node is not None:
-        row = seen.where(F.col("id") == node).first()
-        hops.append((row["depth"], row["id"]))
-        node = row["parent"]
-    return spark.createDataFrame(hops, "hop int, id string")
+    seen = cut_lineage(seen)
+    path = seen.where(F.col("id") == goal).select("id")
+    up = seen.where("parent IS NOT NULL").select("id", F.col("parent").alias("up"))
+    span = 1
+    while span <= hop:
+        path = cut_lineage(path.unionByName(path.join(up, "id").select(F.col("up").alias("id"))))
+        up = cut_lineage(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")))
+        span *= 2
+    return seen.join(path, "id", "left_semi").select(F.col("depth").alias("hop"), "id")
 
 
 def path_relations(path: DataFrame, edges: DataFrame) -> DataFrame:
@@ -245,50 +247,70 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     return top.join(nodes.select("id", "label"), "id")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _mark(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): lowest id reachable from each node.
 
-    Each round takes the lowest label among neighbours and then jumps to that label's own
-    label, so long chains close in a logarithmic number of rounds.
+    Alternates two steps until the links no longer change: every larger neighbour of a node is
+    linked to its lowest neighbour, then every node and its smaller neighbours to the lowest of them.
+    What is left are stars around the lowest ids.
     """
-    links = cut_lineage(undirected(edges))
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        lowest = (
-            links.join(labels.select(F.col("id").alias("dst"), "component"), "dst")
-            .groupBy(F.col("src").alias("id"))
-            .agg(F.min("component").alias("_near"))
-        )
-        pulled = labels.join(lowest, "id", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("_new")
-        )
-        jump = pulled.select(F.col("id").alias("_new"), F.col("_new").alias("_far"))
-        step = cut_lineage(
-            pulled.join(jump, "_new", "left").select("id", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("component"))
-        )
-        labels = step.select("id", "component")
-        if not step.where(F.col("_old") != F.col("component")).take(1):
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    links = cut_lineage(undirected(edges).where("src > dst"))
+    mark = _mark(links)
+    while mark[0]:
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        lowest = both.groupBy("src").agg(F.min("dst").alias("_m")).select("src", F.least("src", "_m").alias("_m"))
+        large = both.where("dst > src").join(lowest, "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst"))
+        large = cut_lineage(large.distinct())
+        lowest = large.groupBy("src").agg(F.min("dst").alias("_m"))
+        moved = large.join(lowest, "src").where("dst <> _m").select(F.col("dst").alias("src"), F.col("_m").alias("dst"))
+        links = cut_lineage(moved.unionByName(lowest.select("src", F.col("_m").alias("dst"))).distinct())
+        now = _mark(links)
+        if now == mark:
+            break
+        mark = now
+    found = nodes.join(links.select(F.col("src").alias("id"), "dst"), "id", "left")
+    return found.select("id", F.coalesce("dst", "id").alias("component"))
+
 
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community) by label propagation; a community is named by its lowest id.
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by label propagation: the most frequent neighbour label, lowest on a tie."""
+    A node wants the label most frequent among its neighbours, the lowest on a tie, but is
+    content with its own label while that is as frequent.  Each round a pseudo-random half of
+    the nodes that want another label take it, so neighbours don't swap labels for ever, and the
+    rounds end when every node is content.  A hash of id and round is the coin; the answer is
+    the same in every run.
+    """
     links = cut_lineage(undirected(edges))
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("community")))
-    for _ in range(rounds):
+    labels = cut_lineage(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    turn = 0
+    while True:
         votes = (
-            links.join(labels.select(F.col("id").alias("dst"), "community"), "dst")
-            .groupBy(F.col("src").alias("id"), "community")
+            links.join(labels.select(F.col("id").alias("dst"), "label"), "dst")
+            .groupBy(F.col("src").alias("id"), "label")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        best = votes.groupBy("id").agg(
-            F.min_by("community", F.struct((-F.col("n")).alias("n"), F.col("community").alias("c"))).alias("_best")
+        own = votes.join(labels.withColumnRenamed("label", "_own"), "id")
+        best = own.groupBy("id", "_own").agg(
+            F.min_by("label", F.struct((-F.col("n")).alias("n"), F.col("label").alias("l"))).alias("_best"),
+            F.max("n").alias("_most"),
+            F.max(F.when(F.col("label") == F.col("_own"), F.col("n"))).alias("_n"),
         )
-        labels = cut_lineage(
-            labels.join(best, "id", "left").select("id", F.coalesce("_best", "community").alias("community"))
+        wants = F.coalesce("_n", F.lit(0)) < F.col("_most")
+        moves = F.col("_wants") & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+        step = cut_lineage(
+            best.withColumn("_wants", wants).select("id", "_wants", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("label"))
         )
-    return labels
+        if not step.where("_wants").take(1):
+            break
+        labels, turn = step.select("id", "label"), turn + 1
+    names = labels.groupBy("label").agg(F.min("id").alias("community"))
+    named = labels.join(names, "label").select("id", "community")
+    return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def cohesion(members: DataFrame, edges: DataFrame, label: str = "community") -> DataFrame:

@@ -494,11 +494,14 @@ def suggest_keywords(ledger: DataFrame, top: int = 6) -> DataFrame:
 
 
 def enforcement_candidates(
-    log: DataFrame, overrides: DataFrame, queue: DataFrame, as_of: str, days: int = 14, min_fires: int = 5
+    log: DataFrame, eligible: DataFrame, overrides: DataFrame, queue: DataFrame, as_of: str, days: int = 14, min_fires: int = 5
 ) -> DataFrame:
-    """Patterns in warn mode that fired often enough in the trailing window."""
+    """Patterns in warn mode that fired often enough in the trailing window.
+
+    Only the patterns of ``eligible`` (pattern), those whose mode is a matter of configuration, count.
+    """
     cutoff = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days))
-    fires = log.groupBy("pattern").agg(
+    fires = log.join(eligible.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(
         F.count_if(F.col("ts") >= cutoff).alias("fires_in_window"), rows().alias("total_fires")
     )
     joined = fires.join(overrides.select("pattern", F.col("mode").alias("_mode")), "pattern", "left").where(

@@ -221,7 +221,7 @@ def bullet_groups(bullets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, linked.unionByName(twins.select(F.col("_la").alias("a"), F.col("_lb").alias("b")))
 
 
-def greedy_survivors(ranked: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_survivors(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, survivor) after a greedy pass by rank.
 
     An item is kept unless it is linked to a kept item of better rank; a dropped item goes
@@ -244,9 +244,7 @@ def greedy_survivors(ranked: DataFrame, edges: DataFrame, max_rounds: int = 100)
     # Only linked items need rounds; all others are kept at once.
     linked = directed.select("id").unionByName(directed.select(F.col("better").alias("id"))).distinct()
     state = cut_lineage(linked.withColumn("status", F.lit("open")))
-    for _ in range(max_rounds):
-        if not state.where("status = 'open'").take(1):
-            break
+    while state.where("status = 'open'").take(1):
         above = (
             directed.join(state.select(F.col("id").alias("better"), F.col("status").alias("_s")), "better")
             .groupBy("id")
@@ -259,8 +257,6 @@ def greedy_survivors(ranked: DataFrame, edges: DataFrame, max_rounds: int = 100)
             .otherwise("kept")
         )
         state = cut_lineage(state.join(above, "id", "left").select("id", status.alias("status")))
-    else:
-        raise RuntimeError(f"greedy pass did not settle in {max_rounds} rounds")
     kept = state.where("status = 'kept'").select(F.col("id").alias("better"))
     target = directed.join(kept, "better", "left_semi").groupBy("id").agg(F.min_by("better", "better_rank").alias("_t"))
     settled = state.join(target, "id", "left").select(

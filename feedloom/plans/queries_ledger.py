@@ -362,11 +362,12 @@ def suggested_keywords(spark, sf):
 @query(
     "enforcement_candidates",
     f"""WITH e AS ({A.ENFORCEMENT}) SELECT pattern, count(*) FILTER (ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY) AS fires_in_window, count(*) AS total_fires FROM e
-WHERE pattern <> 'click' GROUP BY pattern HAVING fires_in_window >= 5""",
+WHERE pattern IN ('view', 'purchase', 'signup') GROUP BY pattern HAVING fires_in_window >= 5""",
 )
 def enforcement_candidates(spark, sf):
     overrides = spark.sql("SELECT * FROM VALUES ('click', 'block'), ('view', 'warn') AS t(pattern, mode)")
-    return ledger.enforcement_candidates(A.view(spark, sf, A.ENFORCEMENT), overrides, queue(spark, sf), "2024-01-30")
+    eligible = spark.sql("SELECT * FROM VALUES ('click'), ('view'), ('purchase'), ('signup') AS t(pattern)")
+    return ledger.enforcement_candidates(A.view(spark, sf, A.ENFORCEMENT), eligible, overrides, queue(spark, sf), "2024-01-30")
 
 
 # --- lessons ------------------------------------------------------------------------------------

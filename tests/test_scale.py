@@ -127,16 +127,38 @@ def test_components_and_labels_match_direct_loops(spark):
         want.update({n: min(seen) for n in seen})
     assert {r["id"]: r["component"] for r in graph.components(nodes, edges).collect()} == want
 
-    label = {i: i for i in ids}
-    for _ in range(3):
-        step = {}
-        for i in ids:
-            votes = {}
-            for n in near[i]:
-                votes[label[n]] = votes.get(label[n], 0) + 1
-            step[i] = min(votes, key=lambda c: (-votes[c], c)) if votes else label[i]
-        label = step
-    assert {r["id"]: r["community"] for r in graph.communities(nodes, edges, 3).collect()} == label
+    label = {r["id"]: r["community"] for r in graph.communities(nodes, edges).collect()}
+    assert settled(label, near)
+
+
+def settled(label, near):
+    """Every node's label is as frequent among its neighbours as any, and named by its lowest member."""
+    for i, around in near.items():
+        votes = [label[n] for n in around]
+        if votes and votes.count(label[i]) < max(map(votes.count, votes)):
+            return False
+    members = {}
+    for i, c in label.items():
+        members.setdefault(c, []).append(i)
+    return all(c == min(own) for c, own in members.items())
+
+
+def test_communities_settle_on_stars_two_sided_graphs_and_cliques(spark):
+    star = [("hub", f"leaf{k}") for k in range(8)]
+    sides = [(f"left{i}", f"right{j}") for i in range(4) for j in range(4)]
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "pq" for i in range(5) for j in range(i)] + [("p0", "q0")]
+    pairs = star + sides + cliques
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    nodes = spark.createDataFrame([(i,) for i in [*near, "alone"]], "id string")
+    label = {r["id"]: r["community"] for r in graph.communities(nodes, spark.createDataFrame(pairs, "source string, target string")).collect()}
+    assert label["alone"] == "alone"
+    assert settled(label, near)
+    assert {label[f"p{i}"] for i in range(5)} == {"p0"}
+    assert {label[f"q{i}"] for i in range(5)} == {"q0"}
+    assert {label[f"leaf{k}"] for k in range(8)} == {"hub"}
 
 
 def test_shortest_path(spark):
@@ -147,6 +169,14 @@ def test_shortest_path(spark):
     assert [r["id"] for r in graph.shortest_path(edges, "a", "a").collect()] == ["a"]
 
 
+def test_shortest_path_has_no_hop_limit(spark):
+    chain = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(60)], "source string, target string")
+    got = [(r["hop"], r["id"]) for r in graph.shortest_path(chain, "n000", "n057").orderBy("hop").collect()]
+    assert got == [(k, f"n{k:03d}") for k in range(58)]
+    nodes = chain.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    assert {r["component"] for r in graph.components(nodes, chain).collect()} == {"n000"}
+
+
 def test_deduped_bullets_match_a_direct_loop(spark):
     from feedloom.fixed_values import STOPWORDS_PLAYBOOK
     from feedloom.operators import playbook
