@@ -2,9 +2,9 @@
 
 First tier: a compact table of frequent chunks (text between white space, lower-cased) and their
 token counts, broadcast to the workers.  It holds at most ``TABLE`` entries whatever the corpus and
-is gathered from at most ``SAMPLE`` documents; it only decides how fast a count is found, never its
-value.  Second tier: a chunk that is not in the table is encoded by the tokenizer's BPE model once
-per worker and remembered in a bounded cache.  No pre-token is ever shuffled.
+is counted over all documents: each task keeps a bounded count and hands on only the chunks whose share
+of its own could put them into the table.  It only decides how fast a count is found, never its value.  Second tier: a chunk that is not in the table is encoded by the tokenizer's BPE model once
+per worker and remembered in a bounded cache.  Pre-tokens of the texts are never shuffled.
 
 Null texts count as empty texts (0 bytes, 0 tokens).  Rows are never merged, so repeated rows give
 repeated results and an empty table an empty result; other columns are not read.
@@ -24,30 +24,35 @@ from feedloom.llm.common import longs, table, texts_of
 from feedloom.llm.tokens import PLAIN, WordCounts
 
 TABLE = 16_384
-SAMPLE = 4_000
-SAMPLE_TASKS = 4
+HELD = 16 * TABLE
 LIMIT = 2048
 
 _WORKER: dict = {}
 
 
-def frequent_chunks(texts: DataFrame, sample: int = SAMPLE, size: int = TABLE) -> list[str]:
-    """Frequent chunks of a bounded sample of rows, most frequent first."""
+def frequent_chunks(texts: DataFrame, size: int = TABLE, held: int = HELD) -> list[str]:
+    """The most frequent chunks of all texts, most frequent first.
+
+    A task's count holds at most ``held`` chunks and those of one batch.  A chunk with a share of 1 in 4 ``size`` of
+    the corpus has that share in some task, so the others are left where they are.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        total = 0
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 if PLAIN.fullmatch(text):
-                    seen.update(text.lower().split())
-        best = seen.most_common(size)
+                    words = text.lower().split()
+                    total += len(words)
+                    seen.update(words)
+            if len(seen) > held:
+                seen = Counter(dict(seen.most_common(held // 4)))
+        best = [(c, n) for c, n in seen.most_common(size) if n > 1 and 4 * size * n >= total]
         yield pa.record_batch([pa.array([c for c, _ in best], pa.string()), longs([n for _, n in best])], ["chunk", "n"])
 
-    some = texts.select("text").where("text IS NOT NULL").limit(sample).repartition(SAMPLE_TASKS)
-    total: Counter = Counter()
-    for chunk, n in some.mapInArrow(count, "chunk string, n long").collect():
-        total[chunk] += n
-    return [c for c, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size] if n > 1]
+    counted = texts.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return [r["chunk"] for r in counted.orderBy(F.desc("n"), "chunk").limit(size).collect()]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
