@@ -82,6 +82,21 @@ def new_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select(*keys), keys, "left_anti")
 
 
+def graph_diff(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(kind, id): nodes and edges of only the new or only the old (nodes, edges)."""
+
+    def said(kind: str, found: DataFrame, name: Column) -> DataFrame:
+        return found.select(F.lit(kind).alias("kind"), name.alias("id"))
+
+    pair = F.concat("source", F.lit(">"), "target")
+    return (
+        said("node", new_nodes(old[0], new[0]), F.col("id"))
+        .unionByName(said("edge", new_edges(old[1], new[1]), pair))
+        .unionByName(said("removed node", new_nodes(new[0], old[0]), F.col("id")))
+        .unionByName(said("removed edge", new_edges(new[1], old[1]), pair))
+    )
+
+
 def incremental_files(before: DataFrame, now: DataFrame) -> DataFrame:
     """Files new, changed or deleted since the manifest, each flagged as code or not."""
     b = before.select("path", F.col("mtime").alias("_t"))

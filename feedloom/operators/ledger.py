@@ -21,6 +21,7 @@ from feedloom.fixed_values import (
 from feedloom.functions import checks
 from feedloom.operators.measure import days_between, verdict
 from feedloom.scale import latest_by_key, previous_value, running_total, top_k
+from feedloom.session import cut_lineage
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -549,6 +550,7 @@ def chronic(
         F.coalesce("_audit", F.lit(0)).alias("audit_entries"),
         F.coalesce("_pending", F.lit(0)).alias("pending_entries"),
         "ace_quality",
+        F.coalesce("_edits", F.lit(0)).alias("skill_edits"),
         untried.alias("untried"),
         F.coalesce(F.get(untried, F.lit(0)), F.lit("human_pairing (repeat)")).alias("next_intervention"),
         F.when(is_chronic, F.coalesce("_hits", F.lit(0)) + 1).otherwise(0).alias("top_hits"),
@@ -591,14 +593,32 @@ def evolve_eligible(scores: DataFrame, lessons: DataFrame, variants: DataFrame,
     )
 
 
+def resolve_merges(candidates: DataFrame) -> DataFrame:
+    """(survivor, loser) without chains from candidates (survivor, loser, score, survivor_n).
+
+    A loser goes to its most alike survivor, the one with more occurrences on a tie; where that
+    one is itself a loser, to its survivor, and so on.  A survivor always has more occurrences or
+    the lower name, so there are no rings; each round doubles the steps taken.
+    """
+    best = F.min_by("survivor", F.struct((-F.col("score")).alias("s"), (-F.col("survivor_n")).alias("n"), F.col("survivor").alias("p")))
+    merges = cut_lineage(candidates.groupBy("loser").agg(best.alias("survivor")))
+    while True:
+        further = merges.select(F.col("loser").alias("survivor"), F.col("survivor").alias("_root"))
+        step = cut_lineage(merges.join(further, "survivor", "left").select("loser", "survivor", "_root"))
+        if not step.where("_root IS NOT NULL").take(1):
+            return merges.select("survivor", "loser")
+        merges = step.select("loser", F.coalesce("_root", "survivor").alias("survivor"))
+
+
 def apply_merges(lessons: DataFrame, merges: DataFrame) -> DataFrame:
-    """Fold losers into survivors: counts add up, evidence is appended, losers disappear.
+    """Fold losers into survivors: counts add up and losers disappear; what they leave as evidence
+    is ``merged_evidence``.
 
-    ``merges`` hold ``survivor, loser`` with one survivor per loser and no chains.
+    ``merges`` hold ``survivor, loser`` without chains, as ``resolve_merges`` gives them; of several
+    survivors of a loser the lowest name counts.
     """
-    losers = merges.join(
-        lessons.select(F.col("pattern").alias("loser"), F.col("occurrence_count").alias("_n"), F.col("rule").alias("_rule")), "loser"
-    )
+    merges = merges.groupBy("loser").agg(F.min("survivor").alias("survivor"))
+    losers = merges.join(lessons.select(F.col("pattern").alias("loser"), F.col("occurrence_count").alias("_n")), "loser")
     gained = losers.groupBy(F.col("survivor").alias("pattern")).agg(
         F.sum("_n").alias("_gain"), F.count(F.lit(1)).alias("merged_lessons")
     )
@@ -613,6 +633,7 @@ def apply_merges(lessons: DataFrame, merges: DataFrame) -> DataFrame:
 
 def merged_evidence(lessons: DataFrame, merges: DataFrame) -> DataFrame:
     """(pattern, merged_from, occurrence_count, rule): the evidence survivors inherit, as rows."""
+    merges = merges.groupBy("loser").agg(F.min("survivor").alias("survivor"))
     return merges.join(lessons.withColumnRenamed("pattern", "loser"), "loser").select(
         F.col("survivor").alias("pattern"), F.col("loser").alias("merged_from"), "occurrence_count", "rule"
     )

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import STOPWORDS_LESSONS, STOPWORDS_REMINDER, TEMPLATE_RULE, VERDICT_WEIGHT
 from feedloom.functions import lessons as lesson_text
-from feedloom.operators import graph, playbook, similarity
+from feedloom.operators import graph, ledger, playbook, similarity
 from feedloom.plans import adapters as A
 from feedloom.plans import checker as K
 from feedloom.plans.queries_measure import EFFECTIVENESS, scores
 from feedloom.plans.queries_reports import LESSON_ROWS
-from feedloom.plans.registry import query
+from feedloom.plans.registry import CHECKS, query
 
 
 def _token_sql(source: str, key: str, text: str, stop: list[str]) -> str:
@@ -71,6 +71,17 @@ def merge_candidates(spark, sf):
     return similarity.merge_candidates(A.view(spark, sf, _ITEMS))
 
 
+@query(
+    "resolved_merges",
+    f"""WITH RECURSIVE c AS ({CHECKS['merge_candidates']}),
+b AS (SELECT loser, survivor FROM c QUALIFY row_number() OVER (PARTITION BY loser ORDER BY score DESC, survivor_n DESC, survivor) = 1),
+r(loser, survivor) AS (SELECT loser, survivor FROM b UNION ALL SELECT r.loser, b.survivor FROM r JOIN b ON b.loser = r.survivor)
+SELECT survivor, loser FROM r WHERE survivor NOT IN (SELECT loser FROM b)""",
+)
+def resolved_merges(spark, sf):
+    return ledger.resolve_merges(similarity.merge_candidates(A.view(spark, sf, _ITEMS)))
+
+
 _DIVERSE = "SELECT concat('doc_', lpad(CAST(doc_id AS STRING), 7, '0')) AS pattern, text AS rule FROM {documents}"
 
 
@@ -256,6 +267,12 @@ def merged_graph(spark, sf):
     return graph.merge_nodes(nodes(spark, sf), A.view(spark, sf, _NEW_NODES))
 
 
+@query("merged_edges", f"WITH {E} SELECT source, target, relation, confidence, confidence_score FROM e")
+def merged_edges(spark, sf):
+    e = edges(spark, sf)
+    return graph.merge_edges(e.where("relation = 'buys_from'"), e.where("relation <> 'buys_from'"))
+
+
 @query(
     "upserted_graph",
     f"WITH {N}, m AS ({_NEW_NODES}) SELECT * FROM m UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM m)",
@@ -291,13 +308,15 @@ def pruned_edges(spark, sf):
 @query(
     "graph_diff",
     f"""WITH {N}, m AS ({_NEW_NODES}), {E} SELECT 'node' AS kind, id FROM m WHERE id NOT IN (SELECT id FROM n)
-UNION ALL SELECT 'edge', concat(source, '>', target) FROM e WHERE relation = 'supplies_from'""",
+UNION ALL SELECT 'edge', concat(source, '>', target) FROM e WHERE relation = 'supplies_from'
+UNION ALL SELECT 'removed node', id FROM n WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'removed edge', concat(source, '>', target) FROM e WHERE relation = 'in_region'""",
 )
 def graph_diff(spark, sf):
     e = edges(spark, sf)
-    fresh_nodes = graph.new_nodes(nodes(spark, sf), A.view(spark, sf, _NEW_NODES)).select(F.lit("node").alias("kind"), "id")
-    fresh_edges = graph.new_edges(e.where("relation <> 'supplies_from'"), e)
-    return fresh_nodes.unionByName(fresh_edges.select(F.lit("edge").alias("kind"), F.concat("source", F.lit(">"), "target").alias("id")))
+    old, new = nodes(spark, sf), A.view(spark, sf, _NEW_NODES)
+    before, now = e.where("relation <> 'supplies_from'"), e.where("relation <> 'in_region'")
+    return graph.graph_diff((old, before), (new, now))
 
 
 @query(
@@ -370,11 +389,11 @@ def explained_node(spark, sf):
     "budgeted_context",
     f"""WITH RECURSIVE {N}, {_UND}, r(id, depth) AS (SELECT 'supplier_1', 0 UNION SELECT dst, depth + 1 FROM r JOIN u ON u.src = r.id WHERE depth < 3),
 l AS (SELECT id, concat('NODE ', label, ' [src=', source_file, ']') AS line, CAST(contains(lower(label), 'supplier') AS INT) AS relevance FROM n WHERE id IN (SELECT id FROM r)),
-c AS (SELECT *, CAST(sum(length(line) + 1) OVER (ORDER BY relevance DESC, id) AS BIGINT) AS used FROM l) SELECT * FROM c WHERE used <= 800""",
+c AS (SELECT *, CAST(sum(length(line) + 1) OVER (ORDER BY relevance DESC, id) AS BIGINT) AS used FROM l) SELECT * FROM c WHERE used <= 8000""",
 )
 def budgeted_context(spark, sf):
     reached = graph.reach(edges(spark, sf), _start(spark, sf), 3)
-    return graph.budgeted_context(nodes(spark, sf), reached, ["supplier"], 200)
+    return graph.budgeted_context(nodes(spark, sf), reached, ["supplier"])
 
 
 _DEG = "d AS (SELECT src AS id, count(*) AS degree FROM u GROUP BY src)"

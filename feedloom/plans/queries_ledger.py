@@ -385,7 +385,8 @@ j AS (SELECT s.pattern, s.pattern <> '2-HIGH' AS blocked, coalesce(an.n, 0) AS a
  CASE WHEN s.pattern = '1-URGENT' THEN 3 END AS ace_quality, top_hits AS h FROM s LEFT JOIN an USING (pattern) LEFT JOIN pn USING (pattern) LEFT JOIN sn USING (pattern) WHERE verdict = 'regressed'),
 u AS (SELECT *, list_filter({_INTERVENTION_SQL}, lambda x: NOT ((x = 'lesson' AND audit_entries > 0) OR (x = 'ace_bullet' AND ace_quality IS NOT NULL)
  OR (x = 'enforcement_block' AND blocked) OR (x = 'skill_guardrail' AND pattern = '3-MEDIUM') OR (x = 'human_pairing' AND pending_entries > 0))) AS un FROM j)
-SELECT pattern, blocked AND audit_entries >= 5 AS chronic, blocked, audit_entries, pending_entries, ace_quality, array_to_string(un, ',') AS untried,
+SELECT pattern, blocked AND audit_entries >= 5 AS chronic, blocked, audit_entries, pending_entries, ace_quality,
+ CAST(CASE WHEN pattern = '3-MEDIUM' THEN 1 ELSE 0 END AS BIGINT) AS skill_edits, array_to_string(un, ',') AS untried,
  coalesce(un[1], 'human_pairing (repeat)') AS next_intervention, CASE WHEN blocked AND audit_entries >= 5 THEN h + 1 ELSE 0 END AS top_hits FROM u""",
 )
 def chronic_failures(spark, sf):

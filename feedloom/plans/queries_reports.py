@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import (
+    REVIEW_TAXONOMY,
     ALGORITHM_WORDS,
     CONSTRAINT_MARKERS,
     HOW_MARKERS,
@@ -64,18 +65,20 @@ def classified_with_overrides(spark, sf):
     return out.select("event_id", F.explode("patterns").alias("pattern"))
 
 
+_REVIEW = ", ".join(
+    "CASE WHEN " + " OR ".join(f"contains(t, {K.lit(w)})" for w in words) + f" THEN '{p}' END" for p, words in REVIEW_TAXONOMY.items()
+)
+
+
 @query(
     "source_classification",
-    f"""WITH r AS ({A.RATINGS}) SELECT event_id, concat_ws(',',
- CASE WHEN contains(lower(concat(sentiment_summary, ' ', '', ' ', response_preview)), 'approved again') THEN 'duplicate_approval' END,
- CASE WHEN contains(lower(concat(sentiment_summary, ' ', '', ' ', response_preview)), 'outdated diff') THEN 'stale_review' END) AS patterns
-FROM r""",
+    f"""WITH r AS ({A.RATINGS}), x AS (SELECT event_id, lower(concat(sentiment_summary, ' ', '', ' ', response_preview)) AS t FROM r),
+p AS (SELECT event_id, concat_ws(',', {_REVIEW}) AS patterns FROM x)
+SELECT event_id, CASE WHEN patterns = '' THEN 'other' ELSE patterns END AS patterns FROM p""",
 )
 def source_classification(spark, sf):
-    """Review-domain patterns of every rating, reduced to the two the check states."""
     out = classify.classify_for_source(A.view(spark, sf, A.RATINGS), "pr_review", A.TAXONOMY)
-    kept = F.filter("patterns", lambda p: p.isin("duplicate_approval", "stale_review"))
-    return out.select("event_id", F.array_join(kept, ",").alias("patterns"))
+    return out.select("event_id", F.array_join("patterns", ",").alias("patterns"))
 
 
 @query(
@@ -407,7 +410,8 @@ n AS (SELECT *, len(string_split(body, chr(10))) AS lines, {' + '.join(f"CAST({K
 SELECT doc_id, octet_length(encode(body)) >= 900 AND len(regexp_extract_all(body, '(?m)^- ')) >= 4 AND len(string_split(body, 'None detected')) - 1 < 6 AS high_signal,
  CAST(len(regexp_extract_all(t, {K.lit('(?i)' + SEED_DURABLE)})) AS INT) AS durable_hits,
  CAST(lines AS INT) AS lines, how AS how_hits, intent AS intent_hits, cons AS constraint_hits,
- (lines > 120 AND how >= 2 AND intent = 0 AND cons = 0) OR (how >= 3 AND intent <= 1 AND cons = 0 AND lines > 80) AS flagged FROM n""",
+ (lines > 120 AND how >= 2 AND intent = 0 AND cons = 0) OR (how >= 3 AND intent <= 1 AND cons = 0 AND lines > 80) AS flagged,
+ CASE WHEN flagged THEN 'review_for_deprecation_or_intent_rewrite' ELSE 'monitor' END AS recommendation FROM n""",
 )
 def document_signals(spark, sf):
     df = A.view(spark, sf, _NOTES).withColumn("_h", T.how_intent(F.col("body")))
@@ -420,6 +424,7 @@ def document_signals(spark, sf):
         "_h.intent_hits",
         "_h.constraint_hits",
         "_h.flagged",
+        "_h.recommendation",
     )
 
 
@@ -428,7 +433,7 @@ def compressed_notes(spark, sf):
     """Greedy paragraph choice; the visit order makes it a fold that SQL cannot state."""
     df = A.view(spark, sf, _NOTES)
     paragraphs = F.replace(F.col("body"), F.lit("\n"), F.lit("\n\n"))
-    return df.select("doc_id", T.compress_episode(paragraphs, 400).alias("episode"))
+    return df.select("doc_id", T.compress_episode(paragraphs).alias("episode"))
 
 
 # --- lessons ---------------------------------------------------------------------------

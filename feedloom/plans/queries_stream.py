@@ -98,13 +98,14 @@ def stream_dedupe(spark, sf):
     f"""WITH tr AS ({A.TRANSCRIPT}), nt AS (SELECT *, sum(CASE WHEN type = 'user' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS turn_no FROM tr),
 mx AS (SELECT session, max(turn_no) AS last FROM nt GROUP BY session)
 SELECT session, CAST(turn_no AS BIGINT) AS turn_no, CAST(coalesce(sum(len(list_filter(string_split(tools, ','), lambda x: x <> ''))), 0) AS BIGINT) AS n_tools,
+ array_to_string(list_filter(string_split(coalesce(string_agg(tools, ',' ORDER BY seq) FILTER (type = 'assistant'), ''), ','), lambda x: x <> ''), ',') AS tools,
  coalesce(string_agg(substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY seq) FILTER (type = 'tool_result'), '') AS evidence
 FROM nt JOIN mx USING (session) WHERE turn_no > 0 AND turn_no < last GROUP BY ALL""",
 )
 def stream_turns(spark, sf):
     events = stream_view(spark, sf, A.TRANSCRIPT, "conversations")
     events = events.withColumn("tools", F.filter(F.split("tools", ","), lambda t: t != ""))
-    return streams.run_available(streams.turn_state(events)).drop("tools")
+    return streams.run_available(streams.turn_state(events))
 
 
 _STREAM_PROMPTS = f"""

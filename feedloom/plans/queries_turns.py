@@ -157,23 +157,23 @@ _TRIM = "trim(text, chr(10) || ' ')"
     "session_signals",
     f"""WITH tr AS ({A.TRANSCRIPT}), a AS (SELECT session, seq, tools, {_TRIM} AS t FROM tr WHERE type = 'assistant'),
 c AS (SELECT *, sum(length(t)) OVER (PARTITION BY session ORDER BY seq DESC) - length(t) AS later FROM a),
-k AS (SELECT * FROM c WHERE later < 300),
+k AS (SELECT * FROM c WHERE later < 12000),
 g AS (SELECT session, {_TOOL('', '')} AS n_tools, {_TOOL(SEED_RESEARCH_TOOL)} AS research_n, {_TOOL(SEED_WRITE_TOOL)} > 0 AS had_write,
-  coalesce(right(string_agg(t, chr(10) || chr(10) ORDER BY seq) FILTER (t <> ''), 300), '') AS tail FROM k GROUP BY session),
+  coalesce(right(string_agg(t, chr(10) || chr(10) ORDER BY seq) FILTER (t <> ''), 12000), '') AS tail FROM k GROUP BY session),
 h AS (SELECT *, CAST(len(regexp_extract_all({K.fold('tail')}, {K.lit('(?i)' + SEED_DURABLE)})) AS INT) AS durable_hits FROM g)
 SELECT *, NOT had_write AND length(trim(tail, chr(10) || ' ')) >= 280 AND durable_hits >= 3 AND (research_n >= 1 OR durable_hits >= 5) AS seed FROM h""",
 )
 def session_signals(spark, sf):
-    return turns.session_signals(transcript(spark, sf), max_chars=300)
+    return turns.session_signals(transcript(spark, sf))
 
 
 @query(
     "turn_evidence",
-    f"""WITH {_TURNS} SELECT session, turn_no, right(string_agg(substring(text, 1, 200), chr(10) || '---' || chr(10) ORDER BY seq), 12000) AS evidence
+    f"""WITH {_TURNS} SELECT session, turn_no, right(string_agg(substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY seq), 12000) AS evidence
 FROM nt WHERE type = 'tool_result' GROUP BY ALL""",
 )
 def turn_evidence(spark, sf):
-    return turns.turn_evidence(turns.number_turns(transcript(spark, sf)), per_result=200)
+    return turns.turn_evidence(turns.number_turns(transcript(spark, sf)))
 
 
 @query(
@@ -331,14 +331,16 @@ def policy_verdicts(spark, sf):
 
 @query(
     "path_verdicts",
-    f"""WITH t AS ({A.TOOL_CALLS}) SELECT event_id, action, CASE
- WHEN file_path = '/home/dev/.ssh' OR starts_with(file_path, '/home/dev/.ssh/') THEN 'block'
- WHEN action IN ('write', 'delete') AND regexp_matches(file_path, '^/srv/app/docs/[^/]*\\.md$') THEN 'block'
- WHEN action = 'write' AND (file_path = '/home/dev/.agent/settings.json' OR regexp_matches(file_path, '^/srv/.*/lesson_[^/]*\\.md$')) THEN 'confirm'
- WHEN action = 'delete' AND starts_with(file_path, '/home/dev/.agent/memory/') THEN 'block' ELSE 'allow' END AS verdict FROM t""",
+    f"""WITH t AS ({A.TOOL_CALLS}), v AS (SELECT event_id, action, CASE
+ WHEN file_path = '/home/dev/.ssh' OR starts_with(file_path, '/home/dev/.ssh/') THEN 'block|Zero access path: ~/.ssh'
+ WHEN action IN ('write', 'delete') AND regexp_matches(file_path, '^/srv/app/docs/[^/]*\\.md$') THEN 'block|Read-only path: /srv/app/docs/*.md'
+ WHEN action = 'write' AND file_path = '/home/dev/.agent/settings.json' THEN 'confirm|Writing to protected file requires confirmation: ~/.agent/settings.json'
+ WHEN action = 'write' AND regexp_matches(file_path, '^/srv/.*/lesson_[^/]*\\.md$') THEN 'confirm|Writing to protected file requires confirmation: /srv/**/lesson_*.md'
+ WHEN action = 'delete' AND starts_with(file_path, '/home/dev/.agent/memory/') THEN 'block|Cannot delete protected path: ~/.agent/memory' ELSE 'allow' END AS x FROM t)
+SELECT event_id, action, split_part(x, '|', 1) AS verdict, CASE WHEN contains(x, '|') THEN split_part(x, '|', 2) END AS reason FROM v""",
 )
 def path_verdicts(spark, sf):
-    return policy.path_verdict(A.view(spark, sf, A.TOOL_CALLS), PATH_RULES, HOME).select("event_id", "action", "verdict")
+    return policy.path_verdict(A.view(spark, sf, A.TOOL_CALLS), PATH_RULES, HOME).select("event_id", "action", "verdict", "reason")
 
 
 @query(
@@ -364,11 +366,12 @@ def surface_allowed(spark, sf):
  contains(command, 'git push') OR contains(command, 'gh pr create') AS pr_text_reminder,
  contains(command, 'gh stack') OR contains(command, 'gh-stack') AS stacked_reminder,
  contains(command, 'gh pr view') OR contains(command, 'pr comments') OR contains(file_path, 'CLAUDE.md') AS feedback_reminder,
+ (contains(lower(tool_name), 'write') OR contains(lower(tool_name), 'edit')) AND coalesce(file_path, '') <> '' AS verify_reminder,
  {K.re('command', APPROVAL_COMMAND, False)} AS is_approval FROM t""",
 )
 def tool_event_flags(spark, sf):
     return policy.tool_event_flags(A.view(spark, sf, A.TOOL_CALLS)).select(
-        "event_id", "push_blocked", "workflow_blocked", "pr_text_reminder", "stacked_reminder", "feedback_reminder", "is_approval"
+        "event_id", "push_blocked", "workflow_blocked", "pr_text_reminder", "stacked_reminder", "feedback_reminder", "verify_reminder", "is_approval"
     )
 
 
