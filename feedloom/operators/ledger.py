@@ -158,6 +158,57 @@ def not_queued(candidates: DataFrame, queue: DataFrame, source: str) -> DataFram
     return candidates.join(waiting, "pattern", "left_anti")
 
 
+def queue_records(candidates: DataFrame, queue: DataFrame, source: str, as_of: str) -> DataFrame:
+    """New rows of the review queue for candidates (pattern, delta, after_n, note) not waiting there yet."""
+    none = F.lit(None).cast("string")
+    return not_queued(candidates, queue, source).select(
+        "pattern",
+        F.lit(as_of).alias("detected_at"),
+        F.col("delta").cast("double").alias("delta"),
+        F.col("after_n").cast("int").alias("after_n"),
+        F.lit("n/a").alias("obj_verdict"),
+        F.lit("n/a").alias("judge_verdict"),
+        F.lit("pending").alias("status"),
+        none.alias("reviewed_at"),
+        none.alias("reviewer"),
+        F.lit(source).alias("source"),
+        "note",
+    )
+
+
+def queue_merges(candidates: DataFrame, queue: DataFrame, as_of: str) -> DataFrame:
+    """Queue rows of merge candidates (survivor, loser, overlaps, counts); the pattern names both."""
+    overlap = lambda c: F.col(c).cast("decimal(10,3)").cast("string")
+    note = F.concat(
+        F.lit("survivor="), "survivor", F.lit(", loser="), "loser", F.lit(", rule_overlap="), overlap("rule_overlap"),
+        F.lit(", name_overlap="), overlap("name_overlap"),
+    )
+    rows_ = candidates.select(
+        F.concat("survivor", F.lit("<-"), "loser").alias("pattern"),
+        F.lit(None).cast("double").alias("delta"),
+        (F.col("survivor_n") + F.col("loser_n")).alias("after_n"),
+        note.alias("note"),
+    )
+    return queue_records(rows_, queue, "lesson_dedup", as_of)
+
+
+def queue_side_effects(worst: DataFrame, queue: DataFrame, as_of: str) -> DataFrame:
+    """Queue rows of the worst side effect of each offending lesson."""
+    rate = lambda c: F.col(c).cast("decimal(10,4)").cast("string")
+    note = F.concat(
+        F.lit("lesson of "), "lesson_date", F.lit(": "), "side_effect_pattern", F.lit(" "), rate("before_rate"), F.lit(" -> "), rate("after_rate")
+    )
+    rows_ = worst.select(F.col("offending_lesson").alias("pattern"), "delta", "after_n", note.alias("note"))
+    return queue_records(rows_, queue, "held_out_regression", as_of)
+
+
+def queue_promotions(candidates: DataFrame, queue: DataFrame, as_of: str) -> DataFrame:
+    """Queue rows of labels carried by enough sessions (label, sessions, avg_rating)."""
+    note = F.concat(F.lit("sessions="), F.col("sessions").cast("string"), F.lit(", avg_rating="), F.col("avg_rating").cast("decimal(10,4)").cast("string"))
+    rows_ = candidates.select(F.col("label").alias("pattern"), F.lit(None).cast("double").alias("delta"), F.col("sessions").alias("after_n"), note.alias("note"))
+    return queue_records(rows_, queue, "pattern_promotion", as_of)
+
+
 # --- skills ---------------------------------------------------------------------------------
 
 

@@ -82,6 +82,18 @@ def resolved_merges(spark, sf):
     return ledger.resolve_merges(similarity.merge_candidates(A.view(spark, sf, _ITEMS)))
 
 
+@query(
+    "queued_merges",
+    f"""WITH q AS ({A.QUEUE}), c AS ({CHECKS['merge_candidates']}), k AS (SELECT *, concat(survivor, '<-', loser) AS pattern FROM c)
+SELECT pattern, '{A.QUEUE_AS_OF}' AS detected_at, CAST(NULL AS DOUBLE) AS delta, CAST(survivor_n + loser_n AS INT) AS after_n, 'n/a' AS obj_verdict, 'n/a' AS judge_verdict,
+ 'pending' AS status, CAST(NULL AS VARCHAR) AS reviewed_at, CAST(NULL AS VARCHAR) AS reviewer, 'lesson_dedup' AS source,
+ concat('survivor=', survivor, ', loser=', loser, ', rule_overlap=', CAST(rule_overlap AS DECIMAL(10, 3)), ', name_overlap=', CAST(name_overlap AS DECIMAL(10, 3))) AS note
+FROM k WHERE pattern NOT IN (SELECT pattern FROM q WHERE status = 'pending' AND source = 'lesson_dedup')""",
+)
+def queued_merges(spark, sf):
+    return ledger.queue_merges(similarity.merge_candidates(A.view(spark, sf, _ITEMS)), A.view(spark, sf, A.QUEUE), A.QUEUE_AS_OF)
+
+
 _DIVERSE = "SELECT concat('doc_', lpad(CAST(doc_id AS STRING), 7, '0')) AS pattern, text AS rule FROM {documents}"
 
 

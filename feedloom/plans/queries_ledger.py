@@ -11,7 +11,8 @@ from feedloom.plans import adapters as A
 from feedloom.plans import checker as K
 from feedloom.plans.queries_measure import AS_OF, EFFECTIVENESS, ratings, scores
 from feedloom.plans.queries_reports import full_ratings
-from feedloom.plans.registry import query
+from feedloom.plans.queries_measure import worst_side_effect
+from feedloom.plans.registry import CHECKS, query
 
 Q = f"q AS ({A.QUEUE})"
 _AGE = f"CAST(date_diff('day', CAST(detected_at AS DATE), DATE '{A.QUEUE_AS_OF}') AS INT)"
@@ -550,3 +551,37 @@ def labelled_entries(spark, sf):
     labels = r.groupBy("session_id").agg(F.max("timestamp").alias("timestamp"))
     entries = r.groupBy("session_id", "timestamp").agg(F.max("rating").alias("rating"))
     return ledger.label_entries(labels, entries)
+
+
+# --- writing to the queue -------------------------------------------------------------------
+
+_RECORD = """'n/a' AS obj_verdict, 'n/a' AS judge_verdict, 'pending' AS status, CAST(NULL AS VARCHAR) AS reviewed_at, CAST(NULL AS VARCHAR) AS reviewer"""
+
+
+def _queued(candidates: str, source: str) -> str:
+    return f"""WITH {Q}, k AS ({candidates}) SELECT pattern, '{A.QUEUE_AS_OF}' AS detected_at, CAST(delta AS DOUBLE) AS delta, CAST(after_n AS INT) AS after_n, {_RECORD},
+ '{source}' AS source, note FROM k WHERE pattern NOT IN (SELECT pattern FROM q WHERE status = 'pending' AND source = '{source}')"""
+
+
+@query(
+    "queued_side_effects",
+    _queued(
+        f"""SELECT offending_lesson AS pattern, delta, after_n, concat('lesson of ', lesson_date, ': ', side_effect_pattern, ' ',
+ CAST(before_rate AS DECIMAL(10, 4)), ' -> ', CAST(after_rate AS DECIMAL(10, 4))) AS note FROM ({CHECKS['worst_side_effect']})""",
+        "held_out_regression",
+    ),
+)
+def queued_side_effects(spark, sf):
+    return ledger.queue_side_effects(worst_side_effect(spark, sf), queue(spark, sf), A.QUEUE_AS_OF)
+
+
+@query(
+    "queued_promotions",
+    _queued(
+        f"""SELECT label AS pattern, CAST(NULL AS DOUBLE) AS delta, sessions AS after_n, concat('sessions=', sessions, ', avg_rating=', CAST(avg_rating AS DECIMAL(10, 4))) AS note
+ FROM ({CHECKS['promotion_candidates']})""",
+        "pattern_promotion",
+    ),
+)
+def queued_promotions(spark, sf):
+    return ledger.queue_promotions(promotion_candidates(spark, sf), queue(spark, sf), A.QUEUE_AS_OF)

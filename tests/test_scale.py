@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from feedloom.operators import graph, measure, ratelimit, similarity
+from feedloom.operators import graph, ledger, measure, ratelimit, similarity
 from feedloom.plans import catalog
 from feedloom.scale import latest_by_key, previous_value, running_total, top_k
 
@@ -161,6 +161,17 @@ def test_communities_settle_on_stars_two_sided_graphs_and_cliques(spark):
     assert {label[f"leaf{k}"] for k in range(8)} == {"hub"}
 
 
+def test_merges_are_resolved_along_chains(spark):
+    chain = [(f"l{k:02d}", f"l{k + 1:02d}", 0.9, 50 - k) for k in range(20)]
+    rows = [*chain, ("l05", "x", 0.5, 45), ("y", "x", 0.7, 60), ("z", "x", 0.7, 40)]
+    got = ledger.resolve_merges(spark.createDataFrame(rows, "survivor string, loser string, score double, survivor_n int"))
+    want = {f"l{k:02d}": "l00" for k in range(1, 21)} | {"x": "y"}
+    assert {r["loser"]: r["survivor"] for r in got.collect()} == want
+    lessons = spark.createDataFrame([("a", 5, "r"), ("b", 2, "s"), ("c", 1, "t")], "pattern string, occurrence_count long, rule string")
+    twice = spark.createDataFrame([("a", "c"), ("b", "c")], "survivor string, loser string")
+    assert {(r["pattern"], r["occurrence_count"]) for r in ledger.apply_merges(lessons, twice).collect()} == {("a", 6), ("b", 2)}
+
+
 def test_shortest_path(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e"), ("x", "y")], "source string, target string")
     got = [r["id"] for r in graph.shortest_path(edges, "a", "e").orderBy("hop").collect()]
