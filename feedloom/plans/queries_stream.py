@@ -1,7 +1,12 @@
-"""Streaming operators run to completion over the event and conversation files."""
+"""Streaming operators run to completion over the event and conversation files.
+
+Stateful ones follow a copy of their view that arrives in nine slices of time, some rows a slice late.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +14,12 @@ from feedloom.plans import adapters as A
 from feedloom.plans import checker as K
 from feedloom.plans.queries_turns import _APPROVALS, _ARMED, RULES
 from feedloom.plans.registry import CHECKS, query
+from feedloom.session import ensure_checkpoint_dir
 from feedloom.streaming import streams
 
+SLICES = 8
+_DAY = 86_400  # a watermark starts at the epoch, so the times here start a day after it
+
 
 def stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     """The table's file as a stream."""
@@ -22,6 +31,29 @@ def stream_view(spark: SparkSession, sf: str, sql: str, table: str) -> DataFrame
     return spark.sql(sql, **{table: stream(spark, sf, table)})
 
 
+def late_slices(view: DataFrame, order: str, salt: str, last: str, units: int = 1) -> tuple[DataFrame, str]:
+    """(stream, lateness): the view in slices of ``order``, every tenth row one slice late, then one
+    row that moves the watermark past all others and is itself never decided.
+
+    ``order`` counts ``units`` to the second; ``last`` is that row's first column.
+    """
+    spark = view.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/slices-{uuid.uuid4().hex}"
+    low, high = view.agg(F.coalesce(F.min(order), F.lit(0)), F.coalesce(F.max(order), F.lit(0))).first()
+    width = (high - low) // SLICES + 1
+    files = spark.sparkContext.defaultParallelism
+    late = (F.pmod(F.xxhash64(salt), F.lit(10)) == 0).cast("long")
+    slice_no = F.floor((F.col(order) - low) / width) + late
+    for k in range(SLICES + 1):
+        view.where(slice_no == k).repartition(files).write.mode("append").parquet(path)
+    first = view.columns[0]
+    values = {order: F.lit(high + 1000 * 86_400 * units), first: F.lit(last)}
+    end = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in view.schema])
+    end.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream, f"{3 * width // units + 1} seconds"
+
+
 @query(
     "stream_checks",
     f"WITH r AS ({A.RATINGS}) SELECT event_id, eval_id, pattern, passed FROM {K.fired('r', 'response_preview', 'event_id')}",
@@ -78,34 +110,62 @@ def stream_fires_window(spark, sf):
 
 @query("stream_rate_limited", CHECKS["rate_limited"])
 def stream_rate_limited(spark, sf):
-    calls = stream_view(spark, sf, _APPROVALS, "events").select(
-        "host", "event_id", F.col("at_s").alias("ts_seconds"), F.lit("gh pr review 1 --approve").alias("command")
+    calls = A.view(spark, sf, _APPROVALS).select(
+        "host", "event_id", (F.col("at_s") + _DAY).alias("ts_seconds"), F.lit("gh pr review 1 --approve").alias("command")
     )
-    return streams.run_available(streams.approval_rate_limit(calls)).select("event_id", "allowed")
+    arriving, lateness = late_slices(calls, "ts_seconds", "event_id", "-end-")
+    passed = streams.run_available(streams.approval_rate_limit(arriving.fillna("gh pr review 1 --approve", "command"), lateness))
+    marked = passed.select("event_id", F.lit(True).alias("allowed"))
+    return calls.join(marked, "event_id", "left").select("event_id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
-_EPISODE_KEYS = "SELECT event_id, ts, event_type AS name, concat('body ', CAST(user_id % 20 AS STRING)) AS episode_body FROM {events}"
+_EPISODES = """
+SELECT concat(event_type, ' ', CAST(event_id % 60 AS STRING)) AS name, concat('body ', CAST(user_id % 40 AS STRING)) AS episode_body,
+ event_id, 86400 + event_id * 300 + CAST(floor(value) AS BIGINT) % 7 AS ts_seconds FROM {events}
+"""
+_HORIZON = 7 * _DAY
+
+
+def _first_within(rows: str, key: str, tag: str) -> str:
+    """Common table expressions that end in ``kept_<tag>``: rows a horizon after the last kept one of their key."""
+    return f"""ord_{tag} AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts_seconds, event_id) AS n FROM {rows}),
+walk_{tag}(k, n, event_id, kept, clock) AS (SELECT {key}, n, event_id, true, ts_seconds FROM ord_{tag} WHERE n = 1
+ UNION ALL SELECT o.{key}, o.n, o.event_id, o.ts_seconds - w.clock >= {_HORIZON}, CASE WHEN o.ts_seconds - w.clock >= {_HORIZON} THEN o.ts_seconds ELSE w.clock END
+ FROM walk_{tag} w JOIN ord_{tag} o ON o.{key} = w.k AND o.n = w.n + 1),
+kept_{tag} AS (SELECT ord_{tag}.* EXCLUDE (n) FROM ord_{tag} JOIN walk_{tag} USING (event_id) WHERE kept)"""
 
 
-@query("stream_dedupe", f"SELECT DISTINCT name, episode_body FROM ({_EPISODE_KEYS})")
+@query(
+    "stream_dedupe",
+    f"""WITH RECURSIVE e AS ({_EPISODES}), {_first_within("e", "episode_body", "h")}, {_first_within("kept_h", "name", "n")}
+SELECT event_id, ts_seconds, name, episode_body FROM kept_n""",
+)
 def stream_dedupe(spark, sf):
-    episodes = stream_view(spark, sf, _EPISODE_KEYS, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.run_available(streams.stream_dedupe(episodes)).select("name", "episode_body")
+    kept = A.view(spark, sf, _EPISODES)
+    for by in ("content_hash", "name"):
+        arriving, lateness = late_slices(kept, "ts_seconds", "event_id", "-end-")
+        arriving = arriving.fillna("-end-", "episode_body")
+        kept = streams.run_available(streams.stream_dedupe(arriving, by, _HORIZON, lateness)).select(*kept.columns[:1], "episode_body", "event_id", "ts_seconds")
+    return kept
 
 
 @query(
     "stream_turns",
     f"""WITH tr AS ({A.TRANSCRIPT}), nt AS (SELECT *, sum(CASE WHEN type = 'user' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS turn_no FROM tr),
-mx AS (SELECT session, max(turn_no) AS last FROM nt GROUP BY session)
-SELECT session, CAST(turn_no AS BIGINT) AS turn_no, CAST(coalesce(sum(len(list_filter(string_split(tools, ','), lambda x: x <> ''))), 0) AS BIGINT) AS n_tools,
- array_to_string(list_filter(string_split(coalesce(string_agg(tools, ',' ORDER BY seq) FILTER (type = 'assistant'), ''), ','), lambda x: x <> ''), ',') AS tools,
- coalesce(string_agg(substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY seq) FILTER (type = 'tool_result'), '') AS evidence
-FROM nt JOIN mx USING (session) WHERE turn_no > 0 AND turn_no < last GROUP BY ALL""",
+called AS (SELECT session, turn_no, seq, i, list_filter(string_split(tools, ','), lambda x: x <> '')[i] AS tool FROM
+ (SELECT *, unnest(range(1, len(list_filter(string_split(tools, ','), lambda x: x <> '')) + 1)) AS i FROM nt WHERE type = 'assistant')),
+named AS (SELECT session, turn_no, tool, min(seq * 1000 + i) AS place, count(*) AS n FROM called GROUP BY ALL),
+listed AS (SELECT session, turn_no, string_agg(tool, ',' ORDER BY place) AS tools, CAST(sum(n) AS BIGINT) AS n_tools FROM named GROUP BY ALL),
+said AS (SELECT session, turn_no, string_agg(substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY seq) FILTER (type = 'tool_result') AS evidence FROM nt GROUP BY ALL)
+SELECT session, CAST(turn_no AS BIGINT) AS turn_no, coalesce(n_tools, 0) AS n_tools, coalesce(tools, '') AS tools, right(coalesce(evidence, ''), 12000) AS evidence
+FROM said LEFT JOIN listed USING (session, turn_no) WHERE turn_no > 0""",
 )
 def stream_turns(spark, sf):
-    events = stream_view(spark, sf, A.TRANSCRIPT, "conversations")
-    events = events.withColumn("tools", F.filter(F.split("tools", ","), lambda t: t != ""))
-    return streams.run_available(streams.turn_state(events))
+    events = A.view(spark, sf, A.TRANSCRIPT).withColumn("seq", F.col("seq").cast("long"))
+    arriving, lateness = late_slices(events, "seq", "seq", "-end-")
+    arriving = arriving.withColumn("ts", F.timestamp_seconds(F.col("seq") + _DAY)).withColumn("tools", F.filter(F.split("tools", ","), lambda t: t != ""))
+    arriving = arriving.withColumn("type", F.coalesce("type", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit("-")))
+    return streams.run_available(streams.turn_state(arriving, lateness=lateness))
 
 
 _STREAM_PROMPTS = f"""
@@ -142,5 +202,6 @@ w(host, n, event_id, allowed, clock) AS (SELECT host, n, event_id, true, at_ms F
 SELECT event_id FROM w WHERE allowed""",
 )
 def stream_reminders(spark, sf):
-    prompts = stream_view(spark, sf, _REMINDERS, "events").withColumnRenamed("at_ms", "ts_millis")
-    return streams.run_available(streams.reminder_cooldown(prompts)).select("event_id")
+    prompts = A.view(spark, sf, _REMINDERS).select("host", "event_id", (F.col("at_ms") + 1000 * _DAY).alias("ts_millis"), "prompt")
+    arriving, lateness = late_slices(prompts, "ts_millis", "event_id", "-end-", 1000)
+    return streams.run_available(streams.reminder_cooldown(arriving.fillna("end", "prompt"), lateness)).select("event_id")

@@ -1,7 +1,8 @@
 """Structured Streaming forms.
 
 Stateless operators reuse the batch Columns, so a stream and a batch run give the same
-rows.  Stateful ones keep one small record per key.
+rows.  Stateful ones decide in the order of event time: rows are held until the watermark is
+past them, state is one small record per key, and idle keys leave it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,11 @@ from pyspark.sql.types import StructType
 
 from feedloom.fixed_values import (
     APPROVAL_GAP_SECONDS,
+    EVIDENCE_CHARS,
+    EVIDENCE_ITEMS,
     REMINDER_GAP_SECONDS,
+    RESULT_CHARS,
+    SELF_MARKER,
 )
 from feedloom.functions import capture, checks, detectors
 from feedloom.functions.regex import strip
@@ -25,11 +31,6 @@ from feedloom.functions.text import content_hash
 from feedloom.operators import policy
 from feedloom.session import ensure_checkpoint_dir
 
-SELF_MARKER = "FAILURE PATTERN REMINDER"
-EVIDENCE_ITEMS = 40
-EVIDENCE_CHARS = 12000
-RESULT_CHARS = 2000
-
 
 # --- running ---------------------------------------------------------------------------------
 
@@ -134,7 +135,7 @@ def write_routes(routed: DataFrame, ratings_path: str, judge_path: str, checkpoi
     )
 
 
-# --- windows and dedupe ----------------------------------------------------------------------------
+# --- windows ----------------------------------------------------------------------------
 
 
 def fires_window(
@@ -150,74 +151,103 @@ def fires_window(
     )
 
 
-def stream_dedupe(episodes: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """First episode of each name and content within the horizon."""
-    return (
-        episodes.withColumn("content_hash", content_hash(F.col("episode_body")))
-        .withWatermark("ts", horizon)
-        .dropDuplicatesWithinWatermark(["name", "content_hash"])
-    )
+# --- stateful -----------------------------------------------------------------------------------------
 
 
-# --- stateful -----------------------------------------------------------------------------------------
+def _waiting(held: Sequence, names: Sequence[str], chunks: Iterator[pd.DataFrame], order: list[str], same: list[str]) -> pd.DataFrame:
+    """Rows held so far (a list per column) and new ones in order, one of those that are the same."""
+    rows = pd.DataFrame({n: list(c) for n, c in zip(names, held)}, columns=list(names), dtype=object)
+    for chunk in chunks:
+        rows = pd.concat([rows, chunk[list(names)].astype(object)]).sort_values(order, kind="stable").drop_duplicates(same)
+    return rows.reset_index(drop=True)
+
+
+def _columns(rows: pd.DataFrame) -> list[list]:
+    return [rows[c].tolist() for c in rows.columns]
 
 
-def _gap_filter(gap: int):
+def _gap_filter(gap: int, unit_ms: int, names: Sequence[str]):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-        allowed = []
-        for at in rows["at"]:
-            ok = last is None or at - last >= gap
-            if ok:
-                last = int(at)
-            allowed.append(ok)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "at": rows["at"], "allowed": allowed})
+        last, *held = state.get if state.exists else (None, *([] for _ in names))
+        now = state.getCurrentWatermarkMs()
+        rows = _waiting(held, names, () if state.hasTimedOut else chunks, ["at", "event_id"], ["at"])
+        at = rows["at"].to_numpy(dtype="int64")
+        ready, passed = int(np.searchsorted(at, now // unit_ms, side="right")), []
+        while (i := 0 if last is None else int(np.searchsorted(at[:ready], last + gap))) < ready:
+            passed.append(i)
+            last = int(at[i])
+        open_at = int(at[ready]) if ready < len(at) else last + gap
+        if open_at * unit_ms > now:
+            state.update((last, *_columns(rows.iloc[ready:])))
+            state.setTimeoutTimestamp(open_at * unit_ms)
+        elif state.exists:
+            state.remove()
+        out = rows.iloc[passed]
+        out.insert(0, "key", key[0])
+        yield out
 
     return step
 
 
-def min_gap(events: DataFrame, gap: int) -> DataFrame:
-    """``key, event_id, at`` to the same plus ``allowed``: at least ``gap`` since the last
-    allowed event of the key.  A denied event leaves the clock as it is.
-
-    State is one number per key; a micro-batch is ordered by time before it is applied.
+def min_gap(
+    events: DataFrame, gap: int, unit_ms: int = 1000, lateness: str = "10 minutes", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``key, event_id, at`` to the events that pass: at least ``gap`` since the last one of the
+    key that passed.  An event that does not pass leaves the clock as it is.
+
+    ``at`` counts units of ``unit_ms`` milliseconds; ``carry`` names columns that go along.  Events
+    are held until the watermark is past them and are then decided in the order of their own times, so
+    the arrival order makes no difference; the lowest id stands for those of a key at one time.  Events behind the
+    watermark do not pass.  A key's state holds its last time and one event for each distinct time the watermark
+    has not passed; it goes once the watermark is past the gap.
     """
-    return events.groupBy("key").applyInPandasWithState(
-        _gap_filter(gap),
-        "key string, event_id long, at long, allowed boolean",
-        "last long",
+    names = ["at", "event_id", *carry]
+    timed = events.withColumn("ts", F.timestamp_millis(F.col("at") * unit_ms)).withWatermark("ts", lateness)
+    rows = timed.select("key", *names, "ts")
+    types = dict(rows.dtypes)
+    return rows.groupBy("key").applyInPandasWithState(
+        _gap_filter(gap, unit_ms, names),
+        ", ".join(f"{n} {types[n]}" for n in ["key", *names]),
+        "last long, " + ", ".join(f"held_{n} array<{types[n]}>" for n in names),
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def approval_rate_limit(calls: DataFrame) -> DataFrame:
-    """Approvals by host: denied within ten seconds of the last recorded one.
+def approval_rate_limit(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """The approvals of each host that are let through; any other within ten seconds after one is denied.
 
     ``calls``: host, event_id, ts_seconds, command.
     """
     approvals = policy.tool_event_flags(
         calls.withColumn("file_path", F.lit("")).withColumn("content", F.lit("")).withColumn("tool_name", F.lit("Bash"))
     ).where("is_approval")
-    return min_gap(
-        approvals.select(F.col("host").alias("key"), "event_id", F.col("ts_seconds").cast("long").alias("at")),
-        APPROVAL_GAP_SECONDS,
-    )
+    keyed = approvals.select(F.col("host").alias("key"), "event_id", F.col("ts_seconds").cast("long").alias("at"))
+    return min_gap(keyed, APPROVAL_GAP_SECONDS, 1000, lateness)
 
 
-def reminder_cooldown(prompts: DataFrame) -> DataFrame:
+def reminder_cooldown(prompts: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Prompts that get a reminder: not blank, not the reminder itself, thirty seconds apart.
 
     ``prompts``: host, event_id, ts_millis, prompt.
     """
     usable = prompts.where((strip(F.col("prompt")) != "") & ~F.col("prompt").contains(SELF_MARKER))
-    return min_gap(
-        usable.select(F.col("host").alias("key"), "event_id", F.col("ts_millis").cast("long").alias("at")),
-        REMINDER_GAP_SECONDS * 1000,
-    ).where("allowed")
+    keyed = usable.select(F.col("host").alias("key"), "event_id", F.col("ts_millis").cast("long").alias("at"))
+    return min_gap(keyed, REMINDER_GAP_SECONDS * 1000, 1, lateness)
+
+
+def stream_dedupe(
+    episodes: DataFrame, by: str = "content_hash", horizon: int = 7 * 86_400, lateness: str = "1 hour"
+) -> DataFrame:
+    """Episodes whose content (or whose ``name``) was not taken within ``horizon`` seconds before.
+
+    ``episodes``: event_id, ts_seconds, name, episode_body.  The two rules have different keys, so
+    they are two streams, the second over the files of the first.
+    """
+    hashed = episodes.withColumn("content_hash", content_hash(F.col("episode_body")))
+    keyed = hashed.withColumn("key", F.col(by)).withColumn("at", F.col("ts_seconds").cast("long"))
+    passed = min_gap(keyed, horizon, 1000, lateness, ["name", "episode_body"])
+    return passed.select("event_id", F.col("at").alias("ts_seconds"), "name", "episode_body")
 
 
 def _silence(limit_ms: int):
@@ -252,33 +282,82 @@ def flatline(ratings: DataFrame, days: int = 2, lateness: str = "1 hour") -> Dat
     )
 
 
-def _turns(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    turn, tools, evidence = state.get if state.exists else (0, [], [])
-    tools, evidence = list(tools), list(evidence)
-    done = []
-    for row in pd.concat(list(chunks), ignore_index=True).sort_values("seq", kind="stable").itertuples():
-        text = row.text or ""
-        if row.type == "user" and text.strip():
+_TURN_COLUMNS = ["ms", "seq", "kind", "text", "tools"]
+
+
+def _turns(idle_ms: int):
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, n_tools, tools, evidence, last, *held = state.get if state.exists else (0, 0, [], [], None, *([] for _ in _TURN_COLUMNS))
+        tools, evidence, done = list(tools), list(evidence), []
+        now = state.getCurrentWatermarkMs()
+        rows = _waiting(held, _TURN_COLUMNS, () if state.hasTimedOut else chunks, ["ms", "seq"], ["ms", "seq"])
+        ready = int(np.searchsorted(rows["ms"].to_numpy(dtype="int64"), now, side="right"))
+
+        def close() -> None:
             if turn > 0:
-                done.append((key[0], turn, len(tools), ",".join(tools), "\n---\n".join(evidence)[-EVIDENCE_CHARS:]))
-            turn, tools, evidence = turn + 1, [], []
-        elif row.type == "assistant":
-            tools += [t for t in (row.tools if row.tools is not None else []) if t]
-        elif row.type == "tool_result" and text.strip():
-            evidence = (evidence + [text[:RESULT_CHARS]])[-EVIDENCE_ITEMS:]
-    state.update((turn, tools, evidence))
-    yield pd.DataFrame(done, columns=["session", "turn_no", "n_tools", "tools", "evidence"])
+                done.append((key[0], turn, n_tools, ",".join(tools), "\n---\n".join(evidence)[-EVIDENCE_CHARS:]))
+
+        for row in rows.iloc[:ready].itertuples():
+            if last is not None and row.ms - last >= idle_ms:
+                close()
+                turn, n_tools, tools, evidence = 0, 0, [], []
+            last = int(row.ms)
+            if row.kind == "prompt":
+                close()
+                turn, n_tools, tools, evidence = turn + 1, 0, [], []
+            elif row.kind == "tools":
+                named = row.tools.split(",")
+                n_tools += len(named)
+                tools += [t for t in dict.fromkeys(named) if t not in tools]
+            else:
+                evidence = [*evidence, row.text][-EVIDENCE_ITEMS:]
+        rest = rows.iloc[ready:]
+        if last is not None and last + idle_ms <= now:
+            close()
+            turn, n_tools, tools, evidence, last = 0, 0, [], [], None
+        ends = [int(rest["ms"].iloc[0])] if len(rest) else []
+        ends += [last + idle_ms] if last is not None else []
+        if ends:
+            state.update((turn, n_tools, tools, evidence, last, *_columns(rest)))
+            state.setTimeoutTimestamp(min(ends))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=["session", "turn_no", "n_tools", "tools", "evidence"])
+
+    return step
 
 
-def turn_state(events: DataFrame) -> DataFrame:
-    """Finished turns, emitted when the next prompt of the session arrives.
+def turn_state(events: DataFrame, idle_seconds: int = 86_400, lateness: str = "10 minutes") -> DataFrame:
+    """Turns, given out when the session's next prompt comes or the session has been idle.
 
-    The state holds the open turn only: its tools and at most forty cut results.
+    ``events``: session, ts, seq, type, text, tools.  Rows are held until the watermark is past them
+    and then taken in the order of ``ts`` and ``seq``; rows behind the watermark are dropped and a repeated row counts
+    once.  After ``idle_seconds`` a session is over; a later row of it starts at turn 1.  The state
+    holds the open turn (a count, the distinct tool names in order of first use, at most forty cut results) and
+    the cut rows that the watermark has not passed.
     """
-    return events.select("session", "seq", "type", "text", "tools").groupBy("session").applyInPandasWithState(
-        _turns,
+    text = F.coalesce("text", F.lit(""))
+    tools = F.filter(F.coalesce("tools", F.array().cast("array<string>")), lambda t: t != "")
+    said = strip(text) != ""
+    kind = (
+        F.when((F.col("type") == "user") & said, "prompt")
+        .when((F.col("type") == "assistant") & (F.size(tools) > 0), "tools")
+        .when((F.col("type") == "tool_result") & said, "result")
+    )
+    rows = events.withWatermark("ts", lateness).select(
+        "session",
+        "ts",
+        F.unix_millis("ts").alias("ms"),
+        F.col("seq").cast("long").alias("seq"),
+        kind.alias("kind"),
+        F.when(kind == "result", F.substring(text, 1, RESULT_CHARS)).alias("text"),
+        F.when(kind == "tools", F.array_join(tools, ",")).alias("tools"),
+    )
+    return rows.where("kind IS NOT NULL").groupBy("session").applyInPandasWithState(
+        _turns(idle_seconds * 1000),
         "session string, turn_no long, n_tools long, tools string, evidence string",
-        "turn long, tools array<string>, evidence array<string>",
+        "turn long, n_tools long, names array<string>, evidence array<string>, last long, "
+        "held_ms array<long>, held_seq array<long>, held_kind array<string>, held_text array<string>, held_tools array<string>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )

@@ -37,28 +37,55 @@ def test_checks_equal_batch(spark, split_events):
     assert rows(live, "event_id", "eval_id", "passed") == rows(batch, "event_id", "eval_id", "passed")
 
 
-def test_rate_limit_equals_batch(spark, tmp_path):
-    """State carries the clock from one batch to the next."""
+def arrive(spark, out, schema, *batches):
+    """One file per batch, in order; the event time of the last one closes all others."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(out))
+    return follow(spark, str(out))
+
+
+CALLS = "host string, event_id long, ts_seconds long, command string"
+OK = "gh pr review 3 --approve"
+
+
+def test_rate_limit_does_not_depend_on_arrival(spark, tmp_path):
+    """Files filled at random pass the same approvals as the batch operator."""
     base = spark.read.parquet(f"{SF}/events.parquet").selectExpr(
-        "CAST(event_id % 2 AS STRING) AS host", "event_id", "event_id * 3 + CAST(value AS BIGINT) % 2 AS ts_seconds",
-        "'gh pr review 3 --approve' AS command",
+        "CAST(event_id % 2 AS STRING) AS host", "event_id", "1000 + event_id * 3 + CAST(value AS BIGINT) % 2 AS ts_seconds", f"'{OK}' AS command"
     )
-    # One file per slice of time, written in order so that files are picked up in order.
     out = tmp_path / "calls"
     for i in range(4):
-        n = base.count() // 4 + 1
-        base.where(f"event_id >= {i * n} AND event_id < {(i + 1) * n}").coalesce(1).write.mode("append").parquet(str(out))
-    live = streams.run_available(streams.approval_rate_limit(follow(spark, str(out))))
-    batch = ratelimit.rate_limited(base, "host", "ts_seconds", "event_id", 10, 600)
-    assert rows(live, "event_id", "allowed") == rows(batch, "event_id", "allowed")
+        base.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(str(out))
+    calls = arrive(spark, out, CALLS, [("-", -1, 10**9, OK)])
+    live = streams.run_available(streams.approval_rate_limit(calls, "1 day"))
+    batch = ratelimit.rate_limited(base, "host", "ts_seconds", "event_id", 10, 600).where("allowed")
+    assert rows(live, "event_id") == rows(batch, "event_id")
+
+
+def test_rate_limit_drops_what_is_behind_the_watermark(spark, tmp_path):
+    first, later = [("h", 1, 100, OK), ("h", 2, 5_000, OK)], [("h", 3, 50, OK), ("h", 4, 5_005, OK), ("h", 5, 5_010, OK)]
+    calls = arrive(spark, tmp_path / "c", CALLS, first, [("h", 6, 6_000, OK)], later, [("-", 7, 10**9, OK)])
+    live = streams.run_available(streams.approval_rate_limit(calls, "20 minutes"))
+    assert sorted(r["event_id"] for r in live.collect()) == [1, 2, 5, 6]
 
 
 def test_reminder_cooldown(spark, tmp_path):
-    data = [("h", 1, 0, "a"), ("h", 2, 10_000, "b"), ("h", 3, 20_000, " "), ("h", 4, 30_000, "c"), ("h", 5, 70_000, "FAILURE PATTERN REMINDER x"), ("h", 6, 70_001, "d")]
-    out = str(tmp_path / "p")
-    spark.createDataFrame(data, "host string, event_id long, ts_millis long, prompt string").write.parquet(out)
-    live = streams.run_available(streams.reminder_cooldown(follow(spark, out, 10)))
-    assert sorted(r["event_id"] for r in live.collect()) == [1, 4, 6]
+    data = [("h", 1, 1, "a"), ("h", 2, 10_000, "b"), ("h", 3, 20_000, " "), ("h", 4, 30_001, "c"), ("h", 5, 70_000, "FAILURE PATTERN REMINDER x"), ("h", 6, 70_001, "d")]
+    schema = "host string, event_id long, ts_millis long, prompt string"
+    prompts = arrive(spark, tmp_path / "p", schema, data[3:], data[:3], [("-", 9, 10**12, "z")])
+    assert sorted(r["event_id"] for r in streams.run_available(streams.reminder_cooldown(prompts)).collect()) == [1, 4, 6]
+
+
+def test_turns_close_on_the_next_prompt_or_when_idle(spark, tmp_path):
+    schema = "session string, t long, seq long, type string, text string, tools array<string>"
+    later = [("s", 30, 3, "user", "next", None), ("s", 40, 4, "assistant", "x", ["Bash"])]
+    early = [("s", 10, 1, "user", "hi", None), ("s", 20, 2, "assistant", None, ["Edit", "Grep", "Edit"]), ("s", 25, 2, "tool_result", "r" * 3000, None)]
+    again = [("s", 90_000, 5, "user", "back", None), ("s", 90_000, 5, "user", "back", None), ("s", 90_001, 6, "tool_result", " ", None)]
+    events = arrive(spark, tmp_path / "t", schema, later, early, again, [("-", 10**8, 1, "user", "end", None)])
+    got = streams.run_available(streams.turn_state(events.withColumn("ts", F.timestamp_seconds("t"))))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("s", 1, 0, "", ""), ("s", 1, 3, "Edit,Grep", "r" * 2000), ("s", 2, 1, "Bash", "")
+    ]
 
 
 def test_window_drops_late_rows(spark, tmp_path):
@@ -74,11 +101,15 @@ def test_window_drops_late_rows(spark, tmp_path):
     assert {(str(r["start"]), r["fires"]) for r in got.collect()} == {("2024-01-01 00:00:00", 1), ("2024-01-05 00:00:00", 1), ("2024-01-06 00:00:00", 1)}
 
 
-def test_dedupe(spark, tmp_path):
-    out = str(tmp_path / "e")
-    data = [("2024-01-01 00:00:00", "n", "same"), ("2024-01-01 01:00:00", "n", "same"), ("2024-01-01 02:00:00", "n", "new")]
-    spark.createDataFrame(data, "ts string, name string, episode_body string").withColumn("ts", F.to_timestamp("ts")).write.parquet(out)
-    assert streams.run_available(streams.stream_dedupe(follow(spark, out, 10))).count() == 2
+def test_dedupe_by_content_and_by_name(spark, tmp_path):
+    schema = "event_id long, ts_seconds long, name string, episode_body string"
+    day = 86_400
+    early = [(1, day, "n", "same"), (2, day + 3600, "m", "same"), (3, day + 7200, "n", "new")]
+    late = [(4, 8 * day, "n", "same"), (5, 8 * day - 1, "o", "same")]
+    episodes = arrive(spark, tmp_path / "e", schema, late, early, [(9, 10**9, "-", "-")])
+    by = lambda c: sorted(r["event_id"] for r in streams.run_available(streams.stream_dedupe(episodes, c, lateness="8 days")).collect())
+    assert by("content_hash") == [1, 3, 4]
+    assert by("name") == [1, 2, 4, 5]
 
 
 def test_flatline_reports_the_silent_source(spark, tmp_path):
