@@ -225,10 +225,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def explain_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
-    """Neighbours of a node with relation, confidence and where they come from."""
+    """Neighbours of a node with relation, confidence and where they come from; ``degree`` counts the node's neighbours."""
     out = edges.where(F.col("source") == node_id).select(F.col("target").alias("id"), "relation", "confidence")
     back = edges.where(F.col("target") == node_id).select(F.col("source").alias("id"), "relation", "confidence")
-    return out.unionByName(back).distinct().join(nodes.select("id", "label", "source_file"), "id")
+    links = out.unionByName(back).distinct().withColumn("_node", F.lit(node_id))
+    degree = links.where(F.col("id") != F.col("_node")).groupBy("_node").agg(F.count_distinct("id").alias("degree"))
+    counted = links.join(degree, "_node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).drop("_node")
+    return counted.join(nodes.select("id", "label", "source_file"), "id")
 
 
 def budgeted_context(nodes: DataFrame, reached: DataFrame, terms: list[str], tokens: int = 2000) -> DataFrame:

@@ -449,14 +449,17 @@ def suite_run(judged_cases: DataFrame) -> DataFrame:
 
 
 def baseline_gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Per split: change against the stored pass rate and whether it regressed."""
+    """Per split: change against the stored pass rate and whether it regressed; row ``gate`` sums up:
+    the gate passes where no split regressed."""
     base = baseline.select("split", F.col("pass_rate").alias("_base"))
-    return current.join(base, "split").select(
-        "split",
-        "pass_rate",
-        F.round(F.col("pass_rate") - F.col("_base"), 4).alias("delta"),
-        (F.col("pass_rate") < F.col("_base")).alias("regressed"),
-    )
+    worse = F.col("pass_rate") < F.col("_base")
+    splits = current.join(base, "split").select(
+        "split", "pass_rate", F.round(F.col("pass_rate") - F.col("_base"), 4).alias("delta"), worse.alias("regressed"), (~worse).alias("gate_pass")
+    )
+    none = F.lit(None).cast("double")
+    any_worse = F.coalesce(F.bool_or("regressed"), F.lit(False))
+    gate = splits.agg(F.lit("gate").alias("split"), none.alias("pass_rate"), none.alias("delta"), any_worse.alias("regressed"), (~any_worse).alias("gate_pass"))
+    return splits.unionByName(gate)
 
 
 def rubric(responses: DataFrame) -> DataFrame:

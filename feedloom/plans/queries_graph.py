@@ -391,7 +391,7 @@ def shortest_path(spark, sf):
 @query(
     "explained_node",
     f"""WITH {N}, {E}, x AS (SELECT target AS id, relation, confidence FROM e WHERE source = 'nation_3' UNION SELECT source, relation, confidence FROM e WHERE target = 'nation_3')
-SELECT x.*, label, source_file FROM x JOIN n USING (id)""",
+SELECT x.*, (SELECT count(DISTINCT id) FROM x WHERE id <> 'nation_3') AS degree, label, source_file FROM x JOIN n USING (id)""",
 )
 def explained_node(spark, sf):
     return graph.explain_node(nodes(spark, sf), edges(spark, sf), "nation_3")

@@ -275,8 +275,9 @@ _BASE = "SELECT split, CAST(rate AS DOUBLE) AS pass_rate FROM (VALUES ('in', 0.9
 
 @query(
     "baseline_gate",
-    f"""WITH {_CASE_ERRORS}, b AS ({_BASE}), s AS (SELECT split, round(count(*) FILTER (ok) / count(*), 4) AS pass_rate FROM ok GROUP BY split)
-SELECT s.split, s.pass_rate, round(s.pass_rate - b.pass_rate, 4) AS delta, s.pass_rate < b.pass_rate AS regressed FROM s JOIN b USING (split)""",
+    f"""WITH {_CASE_ERRORS}, b AS ({_BASE}), s AS (SELECT split, round(count(*) FILTER (ok) / count(*), 4) AS pass_rate FROM ok GROUP BY split),
+gated AS (SELECT s.split, s.pass_rate, round(s.pass_rate - b.pass_rate, 4) AS delta, s.pass_rate < b.pass_rate AS regressed FROM s JOIN b USING (split))
+SELECT *, NOT regressed AS gate_pass FROM gated UNION ALL SELECT 'gate', NULL, NULL, coalesce(bool_or(regressed), false), NOT coalesce(bool_or(regressed), false) FROM gated""",
 )
 def baseline_gate(spark, sf):
     current = ledger.suite_run(ledger.expectation_errors(cases(spark, sf))).where("domain IS NULL AND pattern IS NULL")

@@ -46,6 +46,29 @@ def classified_ratings(spark, sf):
     return ratings(spark, sf).select("event_id", F.explode("patterns").alias("pattern"))
 
 
+# A pattern of the part table for each brand; keywords are whole and partial names, and two of less than a gram.
+_PART_TAXONOMY = """
+SELECT p_brand AS pattern, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN concat(p_name, ' ', CAST(p_size AS STRING)) ELSE substring(p_name, 3, 8) END AS keyword,
+ CAST(p_partkey AS INT) AS ord FROM {part} UNION ALL SELECT 'short', 'ok', -1 FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'short', 'hot', -1 FROM {region} WHERE r_regionkey = 1
+"""
+_PART_TEXTS = """
+SELECT e.event_id, concat('Saw ', coalesce(p_name, ''), ' ', CAST(e.user_id % 50 AS STRING), ' by ', event_type) AS comment
+FROM {events} e LEFT JOIN {part} p ON p.p_partkey = e.event_id % 2300
+"""
+
+
+@query(
+    "classified_by_table",
+    f"""WITH t AS ({_PART_TAXONOMY}), e AS (SELECT event_id, lower(comment) AS x FROM ({_PART_TEXTS})), d AS (SELECT DISTINCT pattern, keyword FROM t),
+hit AS (SELECT DISTINCT x, pattern FROM (SELECT DISTINCT x FROM e) JOIN d ON contains(x, keyword)), o AS (SELECT pattern, min(ord) AS place FROM t GROUP BY 1),
+l AS (SELECT x, string_agg(pattern, ',' ORDER BY place, pattern) AS patterns FROM hit JOIN o USING (pattern) GROUP BY x)
+SELECT event_id, coalesce(patterns, 'other') AS patterns FROM e LEFT JOIN l USING (x)""",
+)
+def classified_by_table(spark, sf):
+    out = classify.classify(A.view(spark, sf, _PART_TEXTS), A.view(spark, sf, _PART_TAXONOMY))
+    return out.select("event_id", F.array_join("patterns", ",").alias("patterns"))
+
+
 _RECLASS = """
 SELECT CAST(user_id AS STRING) AS session_id, replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T') AS timestamp,
  CASE WHEN value > 15 THEN 'relabelled_high' ELSE 'relabelled_low' END AS pattern, event_id AS seq

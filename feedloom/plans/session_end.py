@@ -24,7 +24,7 @@ class Inputs:
     queue: DataFrame
     prior_scores: DataFrame
     edits: DataFrame
-    taxonomy: Mapping[str, Sequence[str]]
+    taxonomy: Mapping[str, Sequence[str]] | DataFrame
     reclass: DataFrame | None = None
 
 

@@ -284,20 +284,9 @@ def csv_profile(spark: SparkSession, path: str, group: str, value: str) -> dict[
 # --- configuration ------------------------------------------------------------------------------
 
 
-def read_taxonomy(spark: SparkSession, path: str, max_keywords: int = 20_000) -> dict[str, list[str]]:
-    """Pattern taxonomy from a table ``pattern, keyword, ord`` (JSON lines).
-
-    Keywords are compiled into expressions, so the table is configuration and its size is
-    checked.
-    """
-    rows = spark.read.schema("pattern string, keyword string, ord int").json(path)
-    listed = rows.orderBy("ord").limit(max_keywords + 1).collect()
-    if len(listed) > max_keywords:
-        raise ValueError(f"taxonomy holds more than {max_keywords} keywords")
-    out: dict[str, list[str]] = {}
-    for r in listed:
-        out.setdefault(r["pattern"], []).append(r["keyword"])
-    return out
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern taxonomy ``pattern, keyword, ord`` (JSON lines); ``classify`` joins it."""
+    return spark.read.schema("pattern string, keyword string, ord int").json(path).where("pattern IS NOT NULL AND keyword IS NOT NULL")
 
 
 def read_policy(text: str) -> tuple[list[Rule], list[Rule]]:

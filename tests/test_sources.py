@@ -149,13 +149,11 @@ def test_latest_session(spark, tmp_path):
 def test_configuration(spark, tmp_path):
     rows = [{"pattern": "b", "keyword": "k1", "ord": 1}, {"pattern": "a", "keyword": "k0", "ord": 0}]
     path = put(tmp_path / "tax.jsonl", rows)
-    assert readers.read_taxonomy(spark, path) == {"a": ["k0"], "b": ["k1"]}
-    with pytest.raises(ValueError):
-        readers.read_taxonomy(spark, path, max_keywords=1)
+    assert sorted(map(tuple, readers.read_taxonomy(spark, path).collect())) == [("a", "k0", 0), ("b", "k1", 1)]
     more = str(tmp_path / "tax")
     for keyword in ("one", "two"):
         sinks.append_taxonomy(spark.createDataFrame([("new", keyword, 1)], "pattern string, keyword string, ord int"), more)
-    assert sorted(readers.read_taxonomy(spark, more)["new"]) == ["one", "two"]
+    assert sorted(r["keyword"] for r in readers.read_taxonomy(spark, more).collect()) == ["one", "two"]
     commands, paths = readers.read_policy(json.dumps({"bash": {"blocked": [{"pattern": "rm", "reason": "no"}]}, "paths": {"noDelete": ["~/m"]}}))
     assert commands[0].tier == "blocked" and paths[0].pattern == "~/m"
 
