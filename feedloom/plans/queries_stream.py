@@ -187,6 +187,19 @@ def stream_prompt_routes(spark, sf):
     return streams.run_available(routed)
 
 
+@query(
+    "stream_prompt_sinks",
+    f"SELECT *, CASE route WHEN 'keep' THEN 'ratings' ELSE 'judge' END AS sink FROM ({CHECKS['stream_prompt_routes']}) WHERE route IN ('keep', 'judge')",
+)
+def stream_prompt_sinks(spark, sf):
+    prompts = stream_view(spark, sf, _STREAM_PROMPTS, "documents")
+    routed = streams.route_prompts(prompts).select("doc_id", "route", "rating", "source")
+    base = f"{ensure_checkpoint_dir(spark)}/routes-{uuid.uuid4().hex}"
+    streams.write_routes(routed, f"{base}/ratings", f"{base}/judge", f"{base}/checkpoint").awaitTermination()
+    read = lambda sink: spark.read.parquet(f"{base}/{sink}").select(*routed.columns, F.lit(sink).alias("sink"))
+    return read("ratings").unionByName(read("judge"))
+
+
 _REMINDERS = """
 SELECT event_id, CAST(user_id % 5 AS STRING) AS host, event_id * 1500 + CAST(floor(value) AS BIGINT) % 3 AS at_ms,
  CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN 'FAILURE PATTERN REMINDER again' ELSE 'fix it' END AS prompt FROM {events}
