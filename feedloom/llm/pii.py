@@ -169,27 +169,44 @@ def found(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged(spans: Column) -> Column:
+    """Overlapping base spans, ordered by start, as one interval each: start, end and by, the tags of its kinds."""
+    tag = lambda s: F.get(F.array(*[F.lit(t) for t in TAGS]), s["kind"])
+    interval = lambda start, end, tags: F.array(F.struct(start.alias("start"), end.alias("end"), tags.alias("tags")))
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = interval(last["start"], F.greatest(last["end"], s["end"]), F.array_union(last["tags"], F.array(tag(s))))
+        apart = F.concat(done, interval(s["start"], s["end"], F.array(tag(s))))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), wider)).otherwise(apart)
+
+    done = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint,tags:array<string>>>"), step)
+    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(x["tags"], "").alias("by")))
+
+
 def replacement(span: Column) -> Column:
+    """What stands for a term."""
     term = F.substr("text", (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
     wider = F.when(term.rlike("^[0-9]+$"), "[NUMBER]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    hidden = F.when(span["value"].cast("double") >= REMOVE, "").otherwise(wider)
-    return F.when(span["kind"] < 4, F.get(F.array(*[F.lit(t) for t in TAGS]), span["kind"])).otherwise(hidden)
+    return F.when(span["value"].cast("double") >= REMOVE, "").otherwise(wider)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """The rows of docs with base spans replaced by tags and disclosing terms generalised or removed."""
+    """The rows of docs with base spans replaced by tags and disclosing terms generalised or removed.
+
+    Base spans that overlap are replaced as one interval, by the tags of all its kinds.
+    """
     columns = docs.columns
     rows = annotated(docs)
     slim = written(rows.where("_content IS NOT NULL").select("text", "_base", "_content"), "personal")
     marked = rows.join(term_spans(docs, slim), "_content", "left")
-    spans = F.col("_spans")
-    apart = F.filter(spans, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda x: x["end"])), F.lit(0))))
+    terms = F.transform(F.coalesce("_terms", F.array().cast(f"array<{SPAN}>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s).alias("by")))
     before = lambda i: F.coalesce(F.get("_apart", i - 1)["end"], F.lit(0))
-    piece = lambda s, i: F.concat(F.substr("text", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), replacement(s))
+    piece = lambda s, i: F.concat(F.substr("text", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), s["by"])
     last = F.coalesce(F.get("_apart", F.size("_apart") - 1)["end"], F.lit(0))
     rest = F.substr("text", (last + 1).cast("int"), F.length("text"))
     clean = F.concat(F.array_join(F.transform("_apart", piece), ""), rest)
-    marked = marked.withColumn("_spans", all_spans()).withColumn("_apart", apart)
+    marked = marked.withColumn("_apart", F.array_sort(F.concat(merged(F.col("_base")), terms)))
     marked = marked.withColumn("text", F.when(F.size("_apart") > 0, clean).otherwise(F.col("text")))
     return marked.select(*columns)
 

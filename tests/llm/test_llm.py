@@ -189,6 +189,12 @@ def test_personal_data_terms(spark):
     assert all(spans[k] == "" and clean[k] == t for k, t in docs[12:])
 
 
+def test_overlapping_personal_data_is_masked_whole(spark):
+    texts = ["10.0.0.0 4111 1111 1111 1111", "see x@a.b-4111 1111 1111 1111.", "a@b.c and 10.0.0.1", "x 10.0.0.0 4111 1111 1111 1111 y a@b.c z"]
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert clean == {0: "[IP][CARD]", 1: "see [EMAIL][CARD].", 2: "[EMAIL] and [IP]", 3: "x [IP][CARD] y [EMAIL] z"}
+
+
 # --- chat -----------------------------------------------------------------------------------
 
 
