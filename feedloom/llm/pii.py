@@ -5,22 +5,25 @@ starts where the last match ended, skips as little as possible and then matches;
 up to the matches' ends.  All repeated groups are possessive, so long texts need no deep stack.
 
 Then the corpus tells which ordinary terms reveal a protected entity.  An entity is a kind (any
-phone number) or a value (one phone number).  The ``WINDOW`` terms on each side of a base span are its
-context.  With n(t) the occurrences of a term in the corpus, n(e) the context terms of an entity, n(t, e)
-the occurrences of the term in them and N all terms, the disclosure of e by t is PMI(t, e) / IC(e) =
-log(n(t, e) N / (n(t) n(e))) / log(N / n(e)): 1 where the term is only ever found beside the entity, 0 where
-it is as frequent there as elsewhere.  A term seen in at least ``SUPPORT`` different texts beside the
-entity whose disclosure reaches ``GENERALISE`` is generalised to its class ([WORD], [NAME], [NUMBER])
-wherever it stands in a context of that entity; from ``REMOVE`` on it is removed.
-
-Copies of a text count as occurrences but not as support.  All counts cover the whole corpus.  A text
+phone number) or a value (one phone number).  A term and an entity occur together where one distinct text holds
+both, wherever they stand in it.  With n(t) the texts that hold a term outside base spans, n(e) those that hold an entity,
+n(t, e) those with both and N all distinct texts, the disclosure of e by t is PMI(t, e) / IC(e) =
+log(n(t, e) N / (n(t) n(e))) / log(N / n(e)): 1 where the term is only ever found together with the entity, 0
+where it is as frequent there as elsewhere.  A term in at least ``SUPPORT`` texts with the entity whose
+disclosure reaches ``GENERALISE`` is generalised to its class ([WORD], [NAME], [NUMBER]) wherever it
+stands in a text that holds that entity; from ``REMOVE`` on it is removed.  Where most texts hold an entity, a rare
+term is together with it by chance alone: terms stay if that has a probability (Chernoff's bound) over ``CHANCE``.
+
+Copies of a text count once.  All counts cover the whole corpus.  A text
 without base spans is left alone.  Null texts count as empty; repeated rows get the same result; an empty table gives an empty
 result; other columns are kept by ``sanitised`` and not read by ``found``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import table, written
@@ -34,8 +37,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]", ""
 TERM = r"[\p{L}\p{N}]++", r"(?<![\p{L}\p{N}])"
 CARD_SIGN = r"[0-9](?:[\x20-]?[0-9]){11}"
 IP_SIGN = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"
-WINDOW, REACH = 3, 96
-SUPPORT, GENERALISE, REMOVE = 5, 0.9, 0.99
+SUPPORT, GENERALISE, REMOVE, CHANCE = 5, 0.9, 0.99, 1e-3
 TAGS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 SPAN = "struct<start:long,kind:int,end:long,value:string>"
 
@@ -87,59 +89,119 @@ def annotated(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base", base_spans(text)).withColumn("_content", F.when(F.size("_base") > 0, F.md5(text)))
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """_content, copies, entity kind, value, term, start, end of the terms beside base spans; a row per distinct text."""
-    span = F.col("s")
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substr("text", (low + 1).cast("int"), (span["start"] - low).cast("int"))
-    right = F.substr("text", (span["end"] + 1).cast("int"), F.lit(REACH))
-    stop = span["end"] + F.length(right)
-    clear = lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    whole_left = lambda t: clear(t) & ((t["start"] > low) | (low == 0))
-    whole_right = lambda t: clear(t) & ((t["end"] < stop) | (F.length(right) < REACH))
-    before = F.filter(matches(left, TERM, 4, low), whole_left)
-    after = F.filter(matches(right, TERM, 4, span["end"]), whole_right)
-    beside = F.concat(F.slice(F.reverse(before), 1, WINDOW), F.slice(after, 1, WINDOW))
-    spans = rows.where("_content IS NOT NULL").select("_content", "text", "_base", F.explode("_base").alias("s"))
-    terms = spans.select("_content", span["kind"].alias("kind"), F.lower(span["value"]).alias("value"), span["start"].alias("at"), F.explode(beside).alias("t"))
-    return terms.groupBy("_content", "kind", "value", "at", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(
-        F.count("*").alias("copies")
-    )
+def merged(spans: Column) -> Column:
+    """Overlapping base spans, ordered by start, as one interval each: start, end and by, the tags of its kinds."""
+    tag = lambda s: F.get(F.array(*[F.lit(t) for t in TAGS]), s["kind"])
+    interval = lambda start, end, tags: F.array(F.struct(start.alias("start"), end.alias("end"), tags.alias("tags")))
 
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = interval(last["start"], F.greatest(last["end"], s["end"]), F.array_union(last["tags"], F.array(tag(s))))
+        apart = F.concat(done, interval(s["start"], s["end"], F.array(tag(s))))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), wider)).otherwise(apart)
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """term, n over all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))
-    return words.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    done = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint,tags:array<string>>>"), step)
+    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(x["tags"], "").alias("by")))
 
 
-def disclosing(docs: DataFrame, beside: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """kind, value (null: the kind as a whole), term and disclosure of every term that reveals an entity."""
-    keyed = beside.select("kind", F.explode(F.array(F.lit(None).cast("string"), "value")).alias("value"), "term", "copies", "_content")
-    pairs = keyed.groupBy("kind", "value", "term", "_content").agg(F.sum("copies").alias("n"))
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
-    entities = pairs.groupBy("kind", "value").agg(F.sum("n_te").alias("n_e"))
-    often = pairs.where(F.col("texts") >= support)
-    counts = written(term_counts(docs), "terms")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    same = often["kind"].eqNullSafe(entities["kind"]) & often["value"].eqNullSafe(entities["value"])
-    known = often.join(entities, same).select(often["kind"], often["value"], "term", "n_te", "n_e").join(counts, "term")
-    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n").cast("double") * F.col("n_e")))
-    share = F.least(F.lit(1.0), pmi / F.log(F.lit(float(max(total, 1))) / F.col("n_e")))
-    return known.where(F.col("n_e") < total).select("kind", "value", "term", share.alias("disclosure")).where(F.col("disclosure") >= least)
+def clear_gaps(text: Column) -> Column:
+    """Array of (start, end) of what lies between base spans, less the letters and digits that touch a span's own."""
+    spans = merged(F.col("_base"))
+    n = F.size(spans)
+    end_of = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+    start_of = lambda i: F.when(i < n, F.get(spans, i)["start"]).otherwise(F.length(text).cast("long"))
+    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(end_of(i).alias("start"), start_of(i).alias("end")))
+    part = lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+    sign = lambda at: F.substr(text, at.cast("int"), F.lit(1)).rlike(TERM[0])
+    left = lambda g: F.when((g["start"] > 0) & sign(g["start"]), F.length(F.regexp_extract(part(g), "^" + TERM[0], 0))).otherwise(0)
+    gaps = F.transform(gaps, lambda g: F.struct((g["start"] + left(g)).alias("start"), g["end"].alias("end")))
+    right = lambda g: F.when((g["end"] < F.length(text)) & sign(g["end"] + 1), F.length(F.regexp_extract(part(g), TERM[1] + TERM[0] + r"\z", 0))).otherwise(0)
+    return F.transform(gaps, lambda g: F.struct(g["start"].alias("start"), (g["end"] - right(g)).alias("end")))
+
+
+def terms_of(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM[0]), F.lit(0)), F.lower)
+
+
+def clear_terms(text: Column) -> Column:
+    part = lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+    return F.array_distinct(F.flatten(F.transform("_gaps", lambda g: terms_of(part(g)))))
+
+
+def personal_texts(rows: DataFrame) -> DataFrame:
+    """_content, text, _base, _gaps and kinds (a bit for each kind), a row per distinct text with base spans."""
+    own = rows.where("_content IS NOT NULL").select("_content", "text", "_base").dropDuplicates(["_content"])
+    has = lambda k: F.when(F.exists("_base", lambda s: s["kind"] == k), 1 << k).otherwise(0)
+    return own.select("_content", "text", "_base", clear_gaps(F.col("text")).alias("_gaps"), (has(0) + has(1) + has(2) + has(3)).alias("kinds"))
+
+
+def term_counts(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """term and n, the distinct texts that hold it outside base spans; the empty term stands for all of them."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), terms_of(F.col("text"))))).alias("term"), F.lit(1).alias("x"))
+    hidden = own.select(F.explode(F.array_except(terms_of(F.col("text")), clear_terms(F.col("text")))).alias("term"), F.lit(-1).alias("x"))
+    return words.union(hidden).groupBy("term").agg(F.sum("x").alias("n")).where("n > 0")
+
+
+def disclosures(pairs: DataFrame, total: int, least: float) -> DataFrame:
+    """pairs (n, n_e, n_te and more) with their disclosure, where it reaches ``least`` and is no matter of chance."""
+    n, n_e, n_te, all_texts = F.col("n").cast("double"), F.col("n_e").cast("double"), F.col("n_te").cast("double"), F.lit(float(max(total, 1)))
+    share = F.least(F.lit(1.0), F.log(n_te * all_texts / (n * n_e)) / F.log(all_texts / n_e))
+    apart = F.when(n > n_te, (n - n_te) * F.log((1 - n_te / n) / (1 - n_e / all_texts))).otherwise(0.0)
+    unlikely = n_te * F.log(n_te * all_texts / (n * n_e)) + apart >= -math.log(CHANCE)
+    return pairs.where((F.col("n_e") < total) & (F.col("n_te") * F.lit(total) > F.col("n") * F.col("n_e")) & unlikely).withColumn("disclosure", share).where(F.col("disclosure") >= least)
+
+
+def disclosing(docs: DataFrame, own: DataFrame, terms: DataFrame, values: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """Terms that reveal a kind (kind, term, disclosure) and terms that reveal a value (kind, value, term, disclosure)."""
+    counts = written(term_counts(docs, own), "terms")
+    total = (counts.where("term = ''").first() or [None, 0])[1]
+    bit = lambda k: F.col("kinds").bitwiseAND(F.lit(1 << k)) > 0
+    n_kinds = [F.count(F.when(bit(k), 1)).alias(f"n{k}") for k in range(4)]
+    by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n_te")) for k in range(4)]))
+    joint = terms.groupBy("term").agg(F.count("*").alias("texts"), *n_kinds).where(F.col("texts") >= support)
+    joint = written(joint.join(counts, "term"), "joint")
+    sizes = terms.sparkSession.createDataFrame([(k, n) for k, n in enumerate(own.agg(*n_kinds).first())], "kind int, n_e long")
+    kinds = joint.select("term", "n", by_kind.alias("k")).select("term", "n", "k.*").where(F.col("n_te") >= support)
+    kinds = disclosures(kinds.join(F.broadcast(sizes), "kind"), total, least).select("kind", "term", "disclosure")
+    often = values.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    # n_te is at most n_e, so a term in more texts than this can't reach the least disclosure of the value
+    reach = F.col("n") <= F.pow(F.lit(float(max(total, 1))), F.lit(1 - least)) * F.pow(F.col("n_e").cast("double"), F.lit(least)) * 1.000001
+    held = values.join(often, ["kind", "value"])
+    rare = terms.join(joint.select("term", "n"), "term").join(held.select("_content").distinct(), "_content", "left_semi")
+    pairs = rare.join(held, "_content").where(reach).groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.first("n").alias("n"), F.first("n_e").alias("n_e"))
+    pairs = disclosures(pairs.where(F.col("n_te") >= support), total, least).select("kind", "value", "term", "disclosure")
+    return written(kinds, "disclosing"), written(pairs, "disclosing")
+
+
+def placed(own: DataFrame) -> DataFrame:
+    """_content, term, start and end of every term outside base spans."""
+    gaps = own.select("_content", "text", F.explode("_gaps").alias("g"))
+    gap = F.substr("text", (F.col("g.start") + 1).cast("int"), (F.col("g.end") - F.col("g.start")).cast("int"))
+    gaps = gaps.select("_content", F.col("g.start").alias("at"), gap.alias("gap"))
+    rule = F.lit(r"([^\p{L}\p{N}]*+)(" + TERM[0] + ")")
+    parts = F.arrays_zip(F.regexp_extract_all("gap", rule, F.lit(1)).alias("before"), F.regexp_extract_all("gap", rule, F.lit(2)).alias("term"))
+    pieces = gaps.select("_content", "at", F.posexplode(parts).alias("k", "p")).select("_content", "at", "k", "p.term", (F.length("p.before") + F.length("p.term")).alias("n"))
+    ends = F.sum("n").over(Window.partitionBy("_content", "at").orderBy("k"))
+    spans = pieces.select("_content", "term", (F.col("at") + ends).cast("long").alias("end"))
+    return spans.select("_content", F.lower("term").alias("term"), (F.col("end") - F.length("term")).alias("start"), "end")
 
 
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """_content and _terms, the spans of disclosing terms of each text."""
-    beside = written(contexts(rows), "contexts")
-    found = written(disclosing(docs, beside), "disclosing")
-    by_kind = found.where("value IS NULL").select("kind", "term", "disclosure")
-    by_value = found.where("value IS NOT NULL").select("kind", "value", "term", "disclosure")
-    hits = beside.join(by_kind, ["kind", "term"]).select("_content", "start", "end", "disclosure")
-    hits = hits.union(beside.join(by_value, ["kind", "value", "term"]).select("_content", "start", "end", "disclosure"))
-    hits = hits.groupBy("_content", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    own = written(personal_texts(rows), "texts")
+    terms = written(own.select("_content", "kinds", F.explode(clear_terms(F.col("text"))).alias("term")), "text-terms")
+    entity = F.array_distinct(F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))
+    values = own.select("_content", F.explode(entity).alias("e")).select("_content", "e.*")
+    by_kind, by_value = disclosing(docs, own, terms, values)
+    of_kind = F.expr("kinds & shiftleft(1, kind)") > 0
+    hits = terms.join(by_kind, "term").where(of_kind).select("_content", "term", "disclosure")
+    beside = values.join(by_value, ["kind", "value"]).select("_content", "term", "disclosure")
+    hits = hits.union(beside.join(terms.select("_content", "term"), ["_content", "term"]))
+    hits = written(hits.groupBy("_content", "term").agg(F.max("disclosure").alias("disclosure")), "hits")
+    found = placed(own.join(hits.select("_content").distinct(), "_content", "left_semi")).join(hits, ["_content", "term"])
     span = F.struct("start", F.lit(4).alias("kind"), "end", F.col("disclosure").cast("string").alias("value"))
-    return written(hits.groupBy("_content").agg(F.sort_array(F.collect_list(span)).alias("_terms")), "term-spans")
+    return written(found.groupBy("_content").agg(F.sort_array(F.collect_list(span)).alias("_terms")), "term-spans")
 
 
 def joined(spans: Column) -> Column:
@@ -169,21 +231,6 @@ def found(docs: DataFrame) -> DataFrame:
     )
 
 
-def merged(spans: Column) -> Column:
-    """Overlapping base spans, ordered by start, as one interval each: start, end and by, the tags of its kinds."""
-    tag = lambda s: F.get(F.array(*[F.lit(t) for t in TAGS]), s["kind"])
-    interval = lambda start, end, tags: F.array(F.struct(start.alias("start"), end.alias("end"), tags.alias("tags")))
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = interval(last["start"], F.greatest(last["end"], s["end"]), F.array_union(last["tags"], F.array(tag(s))))
-        apart = F.concat(done, interval(s["start"], s["end"], F.array(tag(s))))
-        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), wider)).otherwise(apart)
-
-    done = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint,tags:array<string>>>"), step)
-    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(x["tags"], "").alias("by")))
-
-
 def replacement(span: Column) -> Column:
     """What stands for a term."""
     term = F.substr("text", (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))

@@ -195,6 +195,24 @@ def test_overlapping_personal_data_is_masked_whole(spark):
     assert clean == {0: "[IP][CARD]", 1: "see [EMAIL][CARD].", 2: "[EMAIL] and [IP]", 3: "x [IP][CARD] y [EMAIL] z"}
 
 
+def test_personal_data_terms_far_from_the_entity(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("aeioulnr") for _ in range(6)) for _ in range(400)]
+    filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(k, f"Dear Rosebud, {filler(40)} Ann4111 1111 1111 1111 a@b.c-4111 1111 1111 1111 {filler(40)} {'rosebud' * (k % 2)}") for k in range(12)]
+    docs += [(100 + k, f"{filler(40)} +1 (555) 555-0199 {filler(20)} Xanadu" if k < 6 else f"{filler(30)} +1 (555) 555-{1000 + k}") for k in range(30)]
+    docs += [(200 + k, filler(60)) for k in range(60)] + [(300 + k, docs[0][1]) for k in range(3)] + [(400, "Rosé " * 3), (401, None)]
+    df = spark.createDataFrame(docs, DOCS)
+    spans = {r.doc_id: r.spans.split(",") for r in pii.found(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    for name, chosen in (("rosebud", [*range(12), 300, 301, 302]), ("xanadu", range(100, 106))):
+        for k in chosen:
+            places = [m.start() for m in re.finditer(name, dict(docs)[k].lower())]
+            assert places and all(f"term:{at}:{at + len(name)}" in spans[k] for at in places) and name not in clean[k].lower()
+    assert all(clean[k] == t for k, t in docs if k >= 200 and k not in (300, 301, 302))
+    assert all(clean[k].startswith("Dear") is False and "Ann[CARD]" in clean[k] for k in range(12))
+
+
 # --- chat -----------------------------------------------------------------------------------
 
 
