@@ -248,6 +248,24 @@ def test_chat_spans_and_rewrites(spark):
     assert rows(chat.read_back(chat.formatted(df.where("false")))) == []
 
 
+def numbered(turns):
+    """A template that refuses turns out of order and numbers them."""
+    assert all(r == ("assistant" if k % 2 else "user") for k, (r, _) in enumerate(turns))
+    return "".join(f"{k}[{r}]{t}\n" for k, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("lookback", [None, 0, 3])
+def test_chat_of_long_conversations_by_whole_prefixes(spark, lookback):
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(90)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    pieces = sorted(chat.formatted(df, numbered, lookback=lookback).collect(), key=lambda r: r.seq)
+    assert "".join(r.piece for r in pieces) == numbered(turns) and not any(r.rewrites for r in pieces)
+    assert all(r.piece[r.text_start : r.text_end] == t and r.offset == len(numbered(turns[:k])) for k, (r, (_, t)) in enumerate(zip(pieces, turns)))
+    late = lambda ts: f"<{ts[0][1] if len(ts) < 80 else 'gone'}>" + "".join(t for _, t in ts)
+    assert [r.seq for r in chat.formatted(df, late, lookback=lookback).collect() if r.rewrites] == [79]
+    assert chat.pieces_of(chat.marked_turns, turns, lookback) == chat.rendered(chat.marked_turns, turns, None)
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 SECRET_KINDS = (
