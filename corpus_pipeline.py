@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences.
 
-    language      documents without any letter, for which no language can be told, go
+    language      documents without any letter, for which no language can be told, go; scores and labels play no part
     near_dedup    of documents linked by five-word shingles at 0.8 similarity, the smallest id stays
     decontaminate documents that hold a benchmark passage go
     personal      personal data is replaced by tags, terms that reveal it are generalised or removed
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import shared_folder, table
 from feedloom.llm.decontamination import uncontaminated
-from feedloom.llm.language import UNKNOWN, fit, held_out, predict
+from feedloom.llm.language import UNKNOWN, fit, predict
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack_documents
 from feedloom.llm.pii import sanitised
@@ -28,7 +28,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prototypes = fit(docs.select("doc_id", "text", "lang"), ~held_out())
+    prototypes = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes)
     return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 

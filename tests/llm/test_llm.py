@@ -434,3 +434,13 @@ def test_pipeline(spark, tmp_path):
     empty = docs.where("false")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_language_without_labels(spark):
+    import corpus_pipeline
+
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2)
+    for lang in (None, "en"):
+        docs = spark.createDataFrame([(held, "the cat and the dog", lang), (200, "der Hund", None), (201, None, None), (202, "12 ?!", None)], DOCS + ", lang string")
+        kept = corpus_pipeline.language(spark, docs, SF)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {held, 200}
