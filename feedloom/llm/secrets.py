@@ -6,6 +6,10 @@ an inferred encoding (hex, base32, lower-case letters and digits, letters and di
 tests of H0 "symbols drawn at random": chi-squared uniformity over the alphabet, runs above and below
 its middle, and serial correlation.  Fisher's method combines them; a run that is random keeps H0.
 
+A run that mixes ``+`` or ``/`` with ``-`` or ``_`` (a path with a token) fits no alphabet; its longest parts without the
+one and without the other pair are tested instead, each of ``SHORTEST`` characters at least.  Parts that
+overlap and are both random give one span.
+
 That alone would flag short words, so each run is also tested against H1 "ordinary text", the share
 of each symbol in the whole corpus, by a chi-squared test whose power grows with length.  The false
 discovery rate over all runs of the corpus is held at ``RATE`` by the Benjamini-Hochberg rule, apart in
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import longs, table, texts_of, written
@@ -37,6 +41,7 @@ HINTS = ("passw", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 16
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 STRATA = (24, 32, 48, 64)
 RATE, ALPHA = 0.01, 1e-3
 PER_DECADE, BINS = 4, 1280
@@ -90,6 +95,13 @@ def encoding_of(run: str):
     return None
 
 
+def parts_of(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: the whole if it fits an alphabet, else its longest base64 and url-safe parts."""
+    if encoding_of(run):
+        return [(0, len(run))]
+    return list(dict.fromkeys(m.span() for part in PARTS for m in part.finditer(run)))
+
+
 def grouped(alphabet: int, n: int) -> tuple[int, np.ndarray]:
     """Number of groups that leaves about five symbols of n in each, and the group of every symbol."""
     groups = max(2, min(alphabet, n // 5))
@@ -166,6 +178,18 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> list[i
     return out
 
 
+def apart(runs: Column) -> Column:
+    """(start, end) of runs; those that overlap, parts of one mixed run, as one."""
+    one = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one(last["start"], F.greatest(last["end"], r["end"])))
+        return F.when(r["start"] < last["end"], wider).otherwise(F.concat(done, one(r["start"], r["end"])))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -179,12 +203,13 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in texts_of(batch.column(1)):
                 spans = base_spans(text)
                 own = []
-                for m in RUN.finditer(text):
-                    if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and (kind := encoding_of(m[0])):
+                for start, part in ((m.start() + a, m[0][a:e]) for m in RUN.finditer(text) for a, e in parts_of(m[0])):
+                    if any(c.isdigit() for c in part) and any(c.isalpha() for c in part) and (kind := encoding_of(part)):
+                        end = start + len(part)
                         p = min(BINS, int(against_text(kind[3], shares[kind[1]]) * PER_DECADE))
-                        free = all(e <= m.start() or s >= m.end() for s, _, e in spans)
+                        free = all(e <= start or s >= end for s, _, e in spans)
                         random = free and battery(kind[3], len(kind[1])) > ALPHA
-                        own.append({"start": m.start(), "end": m.end(), "stratum": stratum(len(kind[2])), "bin": p, "random": random})
+                        own.append({"start": start, "end": end, "stratum": stratum(len(kind[2])), "bin": p, "random": random})
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 found.append(own)
             yield pa.record_batch(
@@ -202,6 +227,7 @@ def scan(docs: DataFrame) -> DataFrame:
     least = F.array(*[F.lit(x) for x in thresholds({(r["stratum"], r["bin"]): r["n"] for r in tested})])
     kinds = F.array(*[F.lit(k) for k in KINDS])
     chosen = F.filter("runs", lambda r: r["random"] & (r["bin"] >= F.get(least, r["stratum"].cast("int"))))
+    chosen = apart(chosen)
     extra = F.transform(chosen, lambda r: F.struct(r["start"].alias("start"), F.lit(3).cast("long").alias("kind"), r["end"].alias("end")))
     said = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"].cast("int")), s["start"].cast("string"), s["end"].cast("string"))), ","

@@ -300,6 +300,24 @@ def test_secrets(spark, documents):
     assert rows(secrets.scan(docs.where("false"))) == []
 
 
+def test_secrets_in_mixed_runs(spark, documents):
+    rng = random.Random(18)
+    token = lambda n: "".join(rng.choice(secrets.ENCODINGS[4][1]) for _ in range(n))
+    tokens = [token(48) for _ in range(20)]
+    mixed = [f"see org/reset_password/{t} now" if k % 2 else f"see x/api-v1/{t} now" for k, t in enumerate(tokens)]
+    texts = [*documents.items(), *((1000 + k, t) for k, t in enumerate(mixed))]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(texts, DOCS)).collect() if r.doc_id >= 1000}
+    found = 0
+    for k, t in enumerate(tokens):
+        at = mixed[k].index(t)
+        own = [tuple(map(int, s.split(":")[1:])) for s in got[1000 + k].spans.split(",") if s.startswith("random")]
+        assert got[1000 + k].n_random == len(own) <= 1
+        found += any(a <= at and e == at + 48 for a, e in own)
+    assert found >= 18
+    assert secrets.parts_of("ab/cd") == [(0, 5)]
+    assert secrets.parts_of("a/" + "b" * 16 + "_" + "c" * 16 + "==") == [(0, 18), (19, 37), (2, 37)]
+
+
 # --- near-duplicates ------------------------------------------------------------------------
 
 
