@@ -13,8 +13,8 @@ decide speed alone, never results.
 Search: a query first reads the annuli nearest to it until they hold ``FIRST`` vectors.  The k-th
 best score so far is its threshold; by the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) an
 annulus whose bound on the score is below the threshold can't hold a better vector, and the search
-stops there.  All other annuli are read.  Queries go to the chunks of an annulus in blocks of about
-``QUERIES``.
+stops there.  All other annuli are read.  Queries that visit a chunk of an annulus are dealt to blocks of about
+``BLOCK`` by id; a group is one chunk and one block, so it does not grow with the table.
 
 Vectors that are null or empty, hold null or non-finite components or have no id take no part.  Of rows that
 share an id the smallest vector counts.  Shorter vectors are extended by zeros.  Equal scores go to the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import table, written
 
 PIVOTS, RINGS = 1024, 64
-CHUNK, QUERIES, FIRST = 2048, 256, 512
+CHUNK, QUERIES, BLOCK, FIRST = 2048, 256, 4096, 512
 SLACK = 1e-9
 _EXACT = float(1 << 53)
 
@@ -148,26 +148,40 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
         """How many cells of each row's order hold FIRST vectors."""
         return np.minimum((count[order].cumsum(axis=1) < FIRST).sum(axis=1) + 1, len(cells))
 
-    def visits(first: bool):
+    def taken(batch: pa.RecordBatch, first: bool) -> np.ndarray:
+        """Which cells each query visits."""
+        v = matrix(batch.column(1), width)
+        least, best = bounds(v)
+        order = np.argsort(least, axis=1, kind="stable")
+        seen = np.zeros(least.shape, dtype=bool)
+        np.put_along_axis(seen, order, np.arange(len(cells))[None, :] < nearest(order)[:, None], axis=1)
+        floor = np.full(len(v), -np.inf) if first else np.asarray(batch.column(2).fill_null(-(1 << 62)), dtype=float)
+        return seen if first else ~seen & (best >= floor[:, None])
+
+    def visited(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(cells), dtype=np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, QUERIES):
+                    n += taken(whole.slice(at, QUERIES), first).sum(axis=0)
+            yield pa.record_batch([pa.array(number), pa.array(n)], ["cell", "n"])
+
+        return run
+
+    def visits(first: bool, blocks: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, QUERIES):
                     batch = whole.slice(at, QUERIES)
-                    v = matrix(batch.column(1), width)
-                    least, best = bounds(v)
-                    order = np.argsort(least, axis=1, kind="stable")
-                    seen = np.zeros(least.shape, dtype=bool)
-                    np.put_along_axis(seen, order, np.arange(len(cells))[None, :] < nearest(order)[:, None], axis=1)
-                    floor = np.full(len(v), -np.inf) if first else np.asarray(batch.column(2).fill_null(-(1 << 62)), dtype=float)
-                    take = seen if first else ~seen & (best >= floor[:, None])
-                    row, cell = np.nonzero(take)
+                    row, cell = np.nonzero(taken(batch, first))
                     times = chunks[cell]
                     rows = np.repeat(row, times)
                     chunk = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+                    block = np.asarray(batch.column(3))[rows] % np.repeat(blocks[cell], times)
                     out = batch.take(pa.array(rows))
                     yield pa.record_batch(
-                        [out.column(0), out.column(1), out.column(2), pa.array(np.repeat(number[cell], times)), pa.array(chunk.astype(np.int64))],
-                        ["query_id", "q", "floor", "cell", "chunk"],
+                        [out.column(0), out.column(1), out.column(2), pa.array(np.repeat(number[cell], times)), pa.array(chunk.astype(np.int64)), pa.array(block)],
+                        ["query_id", "q", "floor", "cell", "chunk", "block"],
                     )
 
         return run
@@ -176,7 +190,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
     stored = index.join(parts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("long").alias("chunk"), "vec_id", "v")
 
     def score(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names = ("query_id", "vec_id", "score")
+        out = {n: [np.zeros(0, dtype=np.int64)] for n in names}
         if len(queries) and len(own):
             x = np.stack([np.pad(v, (0, width - len(v))) for v in own["v"]]).astype(np.int64)
             ids = own["vec_id"].to_numpy()
@@ -188,23 +203,34 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
                     ok = (ids != qid) & (s >= floor)
                     rows, s = ids[ok], s[ok]
                     by = np.lexsort((rows, -s))[:k]
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": rows[by], "score": s[by]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        left = pairs.toDF("query_id", "q", "floor", "cell", "chunk").groupBy("cell", "chunk")
-        right = stored.toDF("cell", "chunk", "vec_id", "v").groupBy("cell", "chunk")
-        return left.cogroup(right).applyInPandas(score, "query_id long, vec_id long, score long")
+                    for n, values in zip(names, (np.full(len(by), qid), rows[by], s[by])):
+                        out[n].append(values)
+        return pd.DataFrame({n: np.concatenate(values) for n, values in out.items()})
+
+    def scored(asked: DataFrame, first: bool) -> DataFrame:
+        """Queries meet the chunks of the cells they visit, about BLOCK of them at a time; a chunk is copied for each block."""
+        blocks, copies = np.ones(len(cells), dtype=np.int64), stored.withColumn("block", F.lit(0).cast("long"))
+        asked = asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(1 << 40)))
+        if asked_for > BLOCK:
+            met = asked.mapInArrow(visited(first), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+            n = {r.cell: r.n for r in met}
+            blocks = np.array([max(1, -(-n.get(c, 0) // BLOCK)) for c in number.tolist()], dtype=np.int64)
+            many = spark.createDataFrame(list(zip(number.tolist(), blocks.tolist())), "cell long, blocks long")
+            copies = stored.join(many, "cell").select("cell", "chunk", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        pairs = asked.mapInArrow(visits(first, blocks), "query_id long, q array<long>, floor long, cell long, chunk long, block long")
+        right = copies.select("cell", "chunk", "block", "vec_id", "v").toDF("cell", "chunk", "block", "vec_id", "v")
+        keys = ("cell", "chunk", "block")
+        return pairs.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score long")
 
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     none = F.lit(-(1 << 62)).cast("long")
     queries = base.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    visit = "query_id long, q array<long>, floor long, cell long, chunk long"
-    early = written(best(scored(queries.withColumn("floor", none).mapInArrow(visits(True), visit))), "first")
+    asked_for = queries.count()
+    early = written(best(scored(queries.withColumn("floor", none), True)), "first")
     floors = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     asked = queries.join(floors, "query_id", "left").select("query_id", "q", F.coalesce("floor", none).alias("floor"))
-    late = scored(asked.mapInArrow(visits(False), visit))
+    late = scored(asked, False)
     rows = best(early.drop("rank").select("query_id", "vec_id", "score").union(late))
     return rows.select("query_id", "rank", "vec_id", "score")
 

@@ -144,6 +144,18 @@ def test_search_with_gaps_ties_and_copies(spark):
     assert rows(topk.search(df.where("false"), F.col("vec_id") % 100 == 0)) == []
 
 
+def test_search_in_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    rng = random.Random(14)
+    data = {k: np.array([rng.randint(-2, 2) for _ in range(4)]) for k in range(300)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in data.items()], "vec_id long, embedding array<float>")
+    want = []
+    for q in range(0, 300, 3):
+        best = sorted((-int(data[q] @ v), k) for k, v in data.items() if k != q)[:10]
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    assert sorted(rows(topk.search(df, F.col("vec_id") % 3 == 0, scale=1))) == sorted(want)
+
+
 # --- personal data --------------------------------------------------------------------------
 
 PII_KINDS = (
