@@ -20,7 +20,7 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions import checks
 from feedloom.operators.measure import days_between, verdict
-from feedloom.scale import latest_by_key, previous_value, running_total, top_k
+from feedloom.scale import latest_by_key, prefix_lag, prefix_sums, top_k
 from feedloom.session import cut_lineage
 
 def rows() -> Column:
@@ -78,10 +78,9 @@ def recidivists(queue: DataFrame) -> DataFrame:
 
 def status_path(queue: DataFrame) -> DataFrame:
     """Position of every record in its pattern's history, by detection date then record."""
-    return running_total(
+    return prefix_sums(
         queue.select("pattern", "record_id", "detected_at", "status"),
         ["pattern"],
-        F.substring("detected_at", 1, 10),
         ["detected_at", "record_id"],
         {"position": F.lit(1).cast("long")},
     )
@@ -96,9 +95,7 @@ def queue_history(queue: DataFrame, audit: DataFrame) -> DataFrame:
             "pattern", F.col("timestamp").alias("at"), F.lit("audit").alias("kind"), "record_id", F.col("action").alias("event")
         )
     )
-    return previous_value(
-        events, ["pattern"], F.substring("at", 1, 10), ["at", "kind", "record_id"], "event", "previous"
-    )
+    return prefix_lag(events, ["pattern"], ["at", "kind", "record_id"], "event", "previous")
 
 
 def auto_drain_eligible(queue: DataFrame, sources: Sequence[str], min_age: int, as_of: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import ATTRIBUTION_FLOOR, GENERAL_SKILL, JUNK_PATTERNS, LOW_RATING
 from feedloom.functions.regex import any_regex, matches, strip
 from feedloom.functions.text import learning_category
-from feedloom.scale import running_total, top_k
+from feedloom.scale import prefix_sums, top_k
 
 
 
@@ -357,14 +357,10 @@ def reclass_candidates(ratings: DataFrame, n: int = 40) -> DataFrame:
 
 
 def running_cost(runs: DataFrame) -> DataFrame:
-    """Cumulative tokens per run, by ``run_at, run_id``.
-
-    Runs are summed per hour first, so the unpartitioned window sees one row per hour.
-    """
-    return running_total(
+    """Cumulative tokens per run, by ``run_at, run_id``; an hour that holds most runs is spread."""
+    return prefix_sums(
         runs,
         [],
-        F.date_trunc("hour", "run_at"),
         ["run_at", "run_id"],
         {"total_input_tokens": F.col("input_tokens"), "total_output_tokens": F.col("output_tokens")},
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import graph, ledger, measure, ratelimit, similarity
 from feedloom.plans import catalog
-from feedloom.scale import latest_by_key, previous_value, running_total, top_k
+from feedloom.scale import latest_by_key, prefix_lag, prefix_sums, previous_value, running_total, top_k
 
 
 @pytest.fixture(scope="module")
@@ -237,3 +237,25 @@ def test_ratings_are_scanned_once_per_cube(spark):
 def test_no_cartesian_product(spark, name):
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefix_sums_and_lag_over_range_partitions(spark):
+    data = [("hot", k // 7 if k % 3 else None, k, float(k % 5)) for k in range(900)] + [(None, 1, 901, 2.0), ("one", 1, 902, 3.0)]
+    df = spark.createDataFrame(data, "k string, at long, id long, row double").repartition(6)
+    want_sum, want_lag, sums, last = {}, {}, {}, {}
+    for k, at, i, v in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        sums[k] = sums.get(k, 0) + v
+        want_sum[i], want_lag[i] = sums[k], last.get(k)
+        last[k] = v
+    got = prefix_sums(df, ["k"], ["at", "id"], {"total": F.col("row")}).collect()
+    assert {r.id: r.total for r in got} == want_sum and len(got) == len(data)
+    got = prefix_lag(df, ["k"], ["at", "id"], "row", "before").collect()
+    assert {r.id: r.before for r in got} == want_lag
+
+
+def test_prefix_sums_spread_one_key_and_equal_rows(spark):
+    same = spark.range(4000).select(F.lit("a").alias("k"), F.lit(1).alias("at"))
+    got = prefix_sums(same, ["k"], ["at"], {"place": F.lit(1).cast("long")})
+    assert sorted(r.place for r in got.collect()) == list(range(1, 4001))
+    assert prefix_sums(same.where("false"), ["k"], ["at"], {"place": F.lit(1).cast("long")}).count() == 0
+    assert prefix_sums(same, [], ["at"], {"place": F.lit(1).cast("long")}).agg(F.max("place")).first()[0] == 4000
