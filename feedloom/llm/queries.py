@@ -6,6 +6,7 @@ from corpus_pipeline import run as pipeline
 from feedloom.llm.chat import OP6_SQL, op6_chat
 from feedloom.llm.decontamination import op10_decontamination
 from feedloom.llm.language import op9_language
+from feedloom.llm.mixing import OP13_SQL, op13_mixing
 from feedloom.llm.minhash import OP8_SQL, op8_minhash
 from feedloom.llm.packing import op4_packing
 from feedloom.llm.pii import op5_pii
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
 
-CHECKS: dict[str, str] = {"op6_chat": OP6_SQL, "op1_topk": OP1_SQL, "op8_minhash": OP8_SQL}
+CHECKS: dict[str, str] = {"op6_chat": OP6_SQL, "op1_topk": OP1_SQL, "op8_minhash": OP8_SQL, "op13_mixing": OP13_SQL}
