@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import run as pipeline
 from feedloom.llm.chat import OP6_SQL, op6_chat
 from feedloom.llm.decontamination import op10_decontamination
+from feedloom.llm.divergence import OP12_SQL, op12_divergence
 from feedloom.llm.language import op9_language
 from feedloom.llm.mixing import OP13_SQL, op13_mixing
 from feedloom.llm.minhash import OP8_SQL, op8_minhash
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op12_divergence": op12_divergence,
     "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
 
-CHECKS: dict[str, str] = {"op6_chat": OP6_SQL, "op1_topk": OP1_SQL, "op8_minhash": OP8_SQL, "op13_mixing": OP13_SQL}
+CHECKS: dict[str, str] = {"op6_chat": OP6_SQL, "op1_topk": OP1_SQL, "op8_minhash": OP8_SQL, "op12_divergence": OP12_SQL, "op13_mixing": OP13_SQL}
