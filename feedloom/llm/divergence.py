@@ -3,12 +3,13 @@ language lie apart, over the terms that enough documents of the language hold.
 
 A term is a maximal run of ASCII letters and non-ASCII characters, A-Z in lower case.
 
-Kept terms come by iceberg prefix refinement.  One pass turns each block of texts (about ``BLOCK_BYTES``) into
-an inverted table: language, term, documents of the block that hold it, occurrences by source.  Level by level
-the terms left are cut to a byte prefix of 4, 8, 16, ... bytes; the distinct documents of each prefix are counted
-(a union within a block, a sum over blocks), and terms whose prefix has fewer than ``support`` documents go.  A term
-no longer than the level is complete and its count is its own; it is kept or gone.  The loop ends when no
-longer term is left, so its length is the logarithm of the longest term that passes.  No document meets another one.
+Kept terms come by iceberg prefix refinement.  One pass turns each block of texts (about ``BLOCK_BYTES``) into a
+table of its terms: occurrences by source, and for byte prefixes of 6, 12, 24, ... bytes the number of documents of the
+block that hold a longer term with that prefix (a union, given with the first term of the prefix).  The sums over blocks
+are then refined level by level: terms left are cut to the level's prefix, the distinct documents of each prefix
+are summed, and terms whose prefix has fewer than ``support`` go.  A term no longer than the level is complete and its
+count is its own; it is kept or gone.  The loop ends when no longer term is left, so its length is the logarithm of
+the longest term that passes.  No document meets another one.
 
 For a source's term, ``count`` is its occurrences there, N their sum over kept terms, V the number of kept terms:
 p = 1 + floor(10^9 (count + 2) / (N + 2 V)), and q likewise for the other side; value = floor((p - q)^2 / (p + q)).
@@ -27,21 +28,19 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import longs, table, written
+from feedloom.llm.common import table, written
 from feedloom.scale import prefix_sums
 
 SUPPORT, TOP = 10, 10
 BLOCK_BYTES = 1 << 25
-FIRST_LEVEL = 4
+FIRST_LEVEL = 6
 TERMS, SOURCES = 4096, 64
 SPREAD = 32
 OUT = 20_000  # rows of an Arrow batch given out
@@ -68,7 +67,7 @@ class _Block:
             self.found.append(np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms)))
             self.sources.append(source)
 
-    def rows(self, lang: str, block: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
         """One row per term, in order of the terms' bytes."""
         if not self.found:
             return
@@ -78,35 +77,56 @@ class _Block:
         n = len(self.found)
         lengths = [len(x) for x in self.found]
         key, count = np.unique(rank[np.concatenate(self.found)] * n + np.repeat(np.arange(n), lengths), return_counts=True)
-        term, doc = key // n, (key % n).astype("<i4")
+        term, doc = key // n, key % n
         names, of = np.unique(np.array(self.sources, dtype=object), return_inverse=True)
         pair, back = np.unique(term * len(names) + of[doc], return_inverse=True)
         totals = np.bincount(back, weights=count).astype(np.int64)
-        doc_at = np.searchsorted(term, np.arange(len(terms) + 1))
+        numbers, at_number = documents_of_prefixes(terms, term, doc, n)
         pair_at = np.searchsorted(pair // len(names), np.arange(len(terms) + 1))
         name = pa.array(names, pa.string()).take(pa.array(pair % len(names)))
         held = pa.StructArray.from_arrays([name, pa.array(totals)], ["source", "n"])
         for at in range(0, len(terms), OUT):
             end = min(at + OUT, len(terms))
-            yield pa.record_batch(
-                [
-                    pa.array([lang] * (end - at), pa.string()),
-                    longs([block] * (end - at)),
-                    pa.array(terms[at:end], pa.binary()),
-                    pa.array([doc[doc_at[k] : doc_at[k + 1]].tobytes() for k in range(at, end)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(pair_at[at : end + 1] - pair_at[at], pa.int32()), held.slice(pair_at[at], pair_at[end] - pair_at[at])),
-                ],
-                ["lang", "block", "term", "docs", "sources"],
-            )
+            lists = [
+                pa.ListArray.from_arrays(pa.array(offsets[at : end + 1] - offsets[at], pa.int32()), values.slice(offsets[at], offsets[end] - offsets[at]))
+                for values, offsets in ((pa.array(numbers), at_number), (held, pair_at))
+            ]
+            yield pa.record_batch([pa.array([lang] * (end - at), pa.string()), pa.array(terms[at:end], pa.binary()), *lists], ["lang", "term", "numbers", "sources"])
+
+
+def documents_of_prefixes(terms: list[bytes], term: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of each term, flat and with their offsets: for every level below its length the documents of its prefix
+    (0 unless it is the first longer term of that prefix), then its own documents.
+
+    ``term`` and ``doc`` are the distinct pairs of a sorted term and one of n documents.
+    """
+    lengths = np.array([len(t) for t in terms])
+    levels = [FIRST_LEVEL]
+    while levels[-1] < lengths.max():
+        levels.append(levels[-1] * 2)
+    complete = np.searchsorted(levels, lengths)
+    offsets = np.concatenate([[0], np.cumsum(complete + 1)])
+    out = np.zeros(offsets[-1], np.int64)
+    out[offsets[:-1] + complete] = np.bincount(term, minlength=len(terms))
+    for k, level in enumerate(levels[:-1]):
+        longer = np.flatnonzero(lengths > level)
+        cut = [terms[r][:level] for r in longer.tolist()]
+        opens = np.array([True, *(a != b for a, b in zip(cut, cut[1:]))])
+        prefix = np.full(len(terms), -1)
+        prefix[longer] = np.cumsum(opens) - 1
+        own = prefix[term]
+        key = np.unique(own[own >= 0] * n + doc[own >= 0])
+        out[offsets[longer[opens]] + k] = np.bincount(key // n)
+    return out, offsets
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows text (binary), lang, source to the inverted tables of blocks."""
-    number, size, blocks = 0, 0, defaultdict(_Block)
+    """Rows text (binary), lang, source to the terms of blocks."""
+    size, blocks = 0, defaultdict(_Block)
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, block in blocks.items():
-            yield from block.rows(lang, (TaskContext.get().partitionId() << 32) + number)
+            yield from block.rows(lang)
 
     for batch in batches:
         for text, lang, source in zip(*(column.to_pylist() for column in batch.columns)):
@@ -114,63 +134,32 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(text)
             if size >= BLOCK_BYTES:
                 yield from flush()
-                number, size, blocks = number + 1, 0, defaultdict(_Block)
+                size, blocks = 0, defaultdict(_Block)
     yield from flush()
 
 
-def _documents_of_prefixes(length: int):
-    """Distinct documents of each prefix within a block; rows (lang, block, term, docs) in that order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
-        out: list[tuple] = []
-
-        def given() -> pa.RecordBatch:
-            columns = [list(c) for c in zip(*out)]
-            types = [pa.string(), pa.binary(), pa.bool_(), pa.int64()]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "prefix", "done", "n"])
-
-        for (lang, _, prefix, done), group in groupby(rows, lambda r: (r[0], r[1], r[2][:length], len(r[2]) <= length)):
-            docs = [r[3] for r in group]
-            n = len(docs[0]) // 4 if len(docs) == 1 else len(np.unique(np.frombuffer(b"".join(docs), "<i4")))
-            out.append((lang, prefix, done, n))
-            if len(out) >= OUT:
-                yield given()
-                out.clear()
-        if out:
-            yield given()
-
-    return run
-
-
 def kept_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """lang, source, term (binary), n (occurrences) of the terms that at least ``support`` documents of a language hold.
 
     ``docs`` has text, lang and source without nulls.
     """
     read = docs.select(F.col("text").cast("binary"), "lang", "source")
-    schema = "lang string, block long, term binary, docs binary, sources array<struct<source: string, n: long>>"
-    alive = written(read.mapInArrow(_inverted, schema), "terms")
-    length, complete = FIRST_LEVEL, []
-    while True:
-        ordered = alive.select("lang", "block", "term", "docs").repartition("block").sortWithinPartitions("lang", "block", "term")
-        found = ordered.mapInArrow(_documents_of_prefixes(length), "lang string, prefix binary, done boolean, n long")
-        frequent = found.groupBy("lang", "prefix", "done").agg(F.sum("n").alias("n")).where(F.col("n") >= support).drop("n")
-        frequent = frequent.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        cut = alive.withColumns(
-            {
-                "prefix": F.substring("term", 1, length),
-                "done": F.octet_length("term") <= length,
-                "copy": F.pmod(F.xxhash64("term", "block"), F.lit(SPREAD)).cast("int"),
-            }
-        )
-        left = written(cut.join(frequent, ["lang", "prefix", "done", "copy"], "left_semi").drop("prefix", "copy"), "terms")
-        complete.append(left.where("done").select("lang", "term", "sources"))
-        alive = left.where("NOT done").drop("done")
-        if alive.isEmpty():
+    schema = "lang string, term binary, numbers array<long>, sources array<struct<source: string, n: long>>"
+    blocks = written(read.mapInArrow(_inverted, schema), "terms")
+    levels = blocks.agg(F.max(F.size("numbers"))).first()[0] or 1
+    sums = [F.sum(F.get("numbers", F.lit(k))).alias(f"n{k}") for k in range(levels)]
+    left = written(blocks.groupBy("lang", "term").agg(*sums), "term-documents")
+    kept = []
+    for k in range(levels):
+        length = FIRST_LEVEL << k
+        cut = left.withColumns({"prefix": F.substring("term", 1, length), "done": F.octet_length("term") <= length})
+        frequent = cut.groupBy("lang", "prefix", "done").agg(F.sum(f"n{k}").alias("n")).where(F.col("n") >= support)
+        left = written(cut.join(frequent, ["lang", "prefix", "done"], "left_semi").drop("prefix", f"n{k}"), "term-documents")
+        kept.append(left.where("done").select("lang", "term"))
+        left = left.where("NOT done").drop("done")
+        if left.isEmpty():
             break
-        length *= 2
-    every = reduce(DataFrame.union, complete).select("lang", "term", F.explode("sources").alias("s"))
+    every = blocks.join(reduce(DataFrame.union, kept), ["lang", "term"]).select("lang", "term", F.explode("sources").alias("s"))
     return every.groupBy("lang", F.col("s.source").alias("source"), "term").agg(F.sum("s.n").alias("n"))
 
 
