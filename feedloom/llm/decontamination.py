@@ -8,9 +8,9 @@ within k of each other.  So shared q-grams are counted in diagonal bands that ar
 their step and overlap by half; a band below the bound can't hold an occurrence, and every other one
 is verified by an alignment within the band.  Passages shorter than q + 1 are searched as they are.
 
-A document is worked on where it lies; nothing is shuffled.  The passages are broadcast in blocks of
+A document is worked on where it lies; nothing but what is found is shuffled.  The distinct passages are broadcast in blocks of
 about ``BLOCK_CHARS`` characters, as many blocks as the benchmark needs.  A document is scanned in
-overlapping segments, so memory does not grow with the batch.
+overlapping segments and slices of shared q-grams, so memory does not grow with the batch, the text or its repeats.
 
 One row per document row and passage found in it.  Null and empty texts hold nothing, null or empty
 passages are found nowhere, a repeated passage row adds rows of its own, a repeated document row repeats its rows,
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import table, texts_of
+from feedloom.llm.common import table, texts_of, written
+from feedloom.scale import prefix_sums
 
 Q = 9
 RATE = 0.08
 BLOCK_CHARS = 2_000_000
 SEGMENT = 1 << 20
-FOUND = "doc_id long, item_id long, start long, end long, edits long"
+HITS = 1 << 20
+FOUND = "doc_id long, passage string, start long, end long, edits long"
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 _BITS = 22
 
@@ -110,7 +112,10 @@ class Passages:
         self.reach = 2 * max((len(c) + e for c, e in zip(self.codes, self.edits)), default=0) + q
 
     def bands(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """Passage and range of diagonals of every band that meets the bound."""
+        """Passage and range of diagonals of every band that meets the bound, by passage and place.
+
+        Shared q-grams are counted in slices of about ``HITS``, so a text that repeats itself needs no more memory.
+        """
         h = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.bits[(h * _ODD[0]) >> np.uint64(64 - _BITS)])
         first, last = np.searchsorted(self.grams, h[at], "left"), np.searchsorted(self.grams, h[at], "right")
@@ -118,14 +123,22 @@ class Passages:
         at, first, times = at[times > 0], first[times > 0], times[times > 0]
         if not len(at):
             return []
-        entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        owner, diagonal = self.owner[entry], np.repeat(at, times) - self.place[entry]
-        band = diagonal // (self.edits[owner] + 1)
-        shift = band.min() - 1
-        span = int(band.max() - shift) + 1
-        keys = np.concatenate([owner * span + band - shift, owner * span + band - 1 - shift])
-        keys, counts = np.unique(keys, return_counts=True)
-        owner, band = keys // span, keys % span + shift
+        shift, span = -len(codes) - 2 * self.reach - 2, 2 * len(codes) + 4 * self.reach + 4  # bands lie in shift .. shift + span
+        known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(times)
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HITS, "right")))
+            n = times[low:high]
+            entry = np.repeat(first[low:high] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            owner, diagonal = self.owner[entry], np.repeat(at[low:high], n) - self.place[entry]
+            band = diagonal // (self.edits[owner] + 1)
+            keys, new = np.unique(owner * span + band - shift, return_counts=True)
+            keys, new = np.concatenate([known, keys, keys - 1]), np.concatenate([counts, new, new])  # a band and the half of the one before
+            known, back = np.unique(keys, return_inverse=True)
+            counts = np.bincount(back, weights=new, minlength=len(known)).astype(np.int64)
+            low = high
+        owner, band = known // span, known % span + shift
         keep = counts >= self.bound[owner]
         step = self.edits[owner] + 1
         return list(zip(owner[keep].tolist(), (band * step)[keep].tolist(), ((band + 2) * step - 1)[keep].tolist()))
@@ -141,6 +154,8 @@ class Passages:
         for low in range(0, max(1, len(codes)), SEGMENT):
             part = codes[low : low + SEGMENT + self.reach]
             for k, a, b in self.bands(part):
+                if k in found and found[k][0] == 0:
+                    continue  # bands come by place: no better occurrence can follow
                 hit = aligned(self.codes[k], part, a, b, int(self.edits[k]))
                 add(k, hit and (hit[0], low + hit[1], low + hit[2]))
         if self.short:
@@ -191,12 +206,13 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, edits: int)
 
 
 def passage_blocks(items: DataFrame, q: int, rate: float) -> Iterator:
-    """Broadcast passages, a block of bounded size after the other."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+    """Broadcast passages, one block after the other.  A passage is known by the digest of its text, copies count once, and
+    a block holds distinct texts of about ``BLOCK_CHARS`` characters in total (one passage more at most)."""
+    texts = items.where("text IS NOT NULL").select("text", F.md5("text").alias("passage")).dropDuplicates(["passage"])
+    numbered = prefix_sums(texts.withColumn("n", F.length("text").cast("long")), [], ["passage"], {"upto": F.col("n")})
+    numbered = written(numbered.select("passage", "text", F.floor((F.col("upto") - F.col("n")) / BLOCK_CHARS).alias("block")), "passages")
+    for block in range((numbered.agg(F.max("block")).first()[0] or 0) + 1):
+        own = numbered.where(F.col("block") == block).select("passage", "text").orderBy("passage").collect()
         yield items.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in own], q, rate))
 
 
@@ -213,12 +229,15 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RA
                     codes, places = folded(text)
                     for k, (edits, a, b) in known.within(codes).items():
                         rows.append((doc_id, known.ids[k], int(places[a]), int(places[b - 1]) + 1, edits))
+                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 3]
                 columns = list(zip(*rows)) or [[]] * 5
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "edits"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "passage", "start", "end", "edits"])
 
         return docs.mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.union, map(searched, passage_blocks(items, q, rate)))
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.md5("text").alias("passage"))
+    found = reduce(DataFrame.union, map(searched, passage_blocks(items, q, rate)))
+    return found.join(named, "passage").select("doc_id", "item_id", "start", "end", "edits")
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:

@@ -22,10 +22,12 @@ result; other columns are kept by ``sanitised`` and not read by ``found``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm.arrays import bound, running, with_parts
 from feedloom.llm.common import table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -48,9 +50,7 @@ def matches(text: Column, pattern: tuple[str, str], kind: int, offset: Column |
     rule = F.lit(rf"\G(?s)(|.*?{before})({body})")
     lengths = F.transform(F.regexp_extract_all(text, rule, F.lit(0)), lambda x: F.length(x).cast("long"))
     first = F.lit(0).cast("long") if offset is None else offset.cast("long")
-    start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("ends"))
-    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends"))
-    ends = F.aggregate(lengths, start, step)["ends"]
+    ends = running(lengths, first, lambda at, n: at + n)
     values = F.regexp_extract_all(text, rule, F.lit(2))
     pair = lambda e, v: F.struct((e - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), v.alias("value"))
     return F.zip_with(ends, values, pair)
@@ -91,32 +91,42 @@ def annotated(docs: DataFrame) -> DataFrame:
 
 def merged(spans: Column) -> Column:
     """Overlapping base spans, ordered by start, as one interval each: start, end and by, the tags of its kinds."""
-    tag = lambda s: F.get(F.array(*[F.lit(t) for t in TAGS]), s["kind"])
-    interval = lambda start, end, tags: F.array(F.struct(start.alias("start"), end.alias("end"), tags.alias("tags")))
+    tag = lambda s: F.array(F.get(F.array(*[F.lit(t) for t in TAGS]), s["kind"]))
+    state = lambda opens, start, end, tags: F.struct(opens.alias("opens"), start.alias("start"), end.alias("end"), tags.alias("tags"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = interval(last["start"], F.greatest(last["end"], s["end"]), F.array_union(last["tags"], F.array(tag(s))))
-        apart = F.concat(done, interval(s["start"], s["end"], F.array(tag(s))))
-        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), wider)).otherwise(apart)
+    def step(last: Column, s: Column) -> Column:
+        wider = state(F.lit(False), last["start"], F.greatest(last["end"], s["end"]), F.array_union(last["tags"], tag(s)))
+        return F.when(s["start"] < last["end"], wider).otherwise(state(F.lit(True), s["start"], s["end"], tag(s)))
 
-    done = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint,tags:array<string>>>"), step)
-    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(x["tags"], "").alias("by")))
+    nothing = state(F.lit(False), F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"))
+    ended = lambda all_: F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["opens"], F.lit(True)))
+
+    def over(spans: Column) -> Column:
+        after = F.zip_with(spans, F.slice(spans, F.lit(2), F.greatest(F.lit(0), F.size(spans) - 1)), lambda s, t: F.coalesce(t["start"] >= s["end"], F.lit(True)))
+        alone = F.transform(spans, lambda s: state(F.lit(True), s["start"], s["end"], tag(s)))
+        return F.when(F.forall(after, lambda x: x), alone).otherwise(bound(running(spans, nothing, step), ended))
+
+    return F.transform(bound(spans, over), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(x["tags"], "").alias("by")))
 
 
 def clear_gaps(text: Column) -> Column:
     """Array of (start, end) of what lies between base spans, less the letters and digits that touch a span's own."""
-    spans = merged(F.col("_base"))
-    n = F.size(spans)
-    end_of = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
-    start_of = lambda i: F.when(i < n, F.get(spans, i)["start"]).otherwise(F.length(text).cast("long"))
-    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(end_of(i).alias("start"), start_of(i).alias("end")))
-    part = lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
-    sign = lambda at: F.substr(text, at.cast("int"), F.lit(1)).rlike(TERM[0])
-    left = lambda g: F.when((g["start"] > 0) & sign(g["start"]), F.length(F.regexp_extract(part(g), "^" + TERM[0], 0))).otherwise(0)
-    gaps = F.transform(gaps, lambda g: F.struct((g["start"] + left(g)).alias("start"), g["end"].alias("end")))
-    right = lambda g: F.when((g["end"] < F.length(text)) & sign(g["end"] + 1), F.length(F.regexp_extract(part(g), TERM[1] + TERM[0] + r"\z", 0))).otherwise(0)
-    return F.transform(gaps, lambda g: F.struct(g["start"].alias("start"), (g["end"] - right(g)).alias("end")))
+
+    def between(spans: Column) -> Column:
+        n = F.size(spans)
+        end_of = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        start_of = lambda i: F.when(i < n, F.get(spans, i)["start"]).otherwise(F.length(text).cast("long"))
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(end_of(i).alias("start"), start_of(i).alias("end")))
+
+    def cut(part: Callable[[Column, Column], Column], size: Column) -> Column:
+        own = lambda g: part(g["start"], g["end"] - g["start"])
+        sign = lambda at: part(at, F.lit(1)).rlike(TERM[0])
+        left = lambda g: F.when((g["start"] > 0) & sign(g["start"] - 1), F.length(F.regexp_extract(own(g), "^" + TERM[0], 0))).otherwise(0)
+        right = lambda g: F.when((g["end"] < size) & sign(g["end"]), F.length(F.regexp_extract(own(g), TERM[1] + TERM[0] + r"\z", 0))).otherwise(0)
+        gaps = F.transform(bound(merged(F.col("_base")), between), lambda g: F.struct((g["start"] + left(g)).alias("start"), g["end"].alias("end")))
+        return F.transform(gaps, lambda g: F.struct(g["start"].alias("start"), (g["end"] - right(g)).alias("end")))
+
+    return with_parts(text, cut)
 
 
 def terms_of(text: Column) -> Column:
@@ -124,8 +134,8 @@ def terms_of(text: Column) -> Column:
 
 
 def clear_terms(text: Column) -> Column:
-    part = lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
-    return F.array_distinct(F.flatten(F.transform("_gaps", lambda g: terms_of(part(g)))))
+    held = lambda part, _: F.transform("_gaps", lambda g: terms_of(part(g["start"], g["end"] - g["start"])))
+    return F.array_distinct(F.flatten(with_parts(text, held)))
 
 
 def personal_texts(rows: DataFrame) -> DataFrame:
@@ -176,9 +186,8 @@ def disclosing(docs: DataFrame, own: DataFrame, terms: DataFrame, values: DataFr
 
 def placed(own: DataFrame) -> DataFrame:
     """_content, term, start and end of every term outside base spans."""
-    gaps = own.select("_content", "text", F.explode("_gaps").alias("g"))
-    gap = F.substr("text", (F.col("g.start") + 1).cast("int"), (F.col("g.end") - F.col("g.start")).cast("int"))
-    gaps = gaps.select("_content", F.col("g.start").alias("at"), gap.alias("gap"))
+    held = lambda part, _: F.transform("_gaps", lambda g: F.struct(g["start"].alias("at"), part(g["start"], g["end"] - g["start"]).alias("gap")))
+    gaps = own.select("_content", F.explode(with_parts(F.col("text"), held)).alias("g")).select("_content", "g.*")
     rule = F.lit(r"([^\p{L}\p{N}]*+)(" + TERM[0] + ")")
     parts = F.arrays_zip(F.regexp_extract_all("gap", rule, F.lit(1)).alias("before"), F.regexp_extract_all("gap", rule, F.lit(2)).alias("term"))
     pieces = gaps.select("_content", "at", F.posexplode(parts).alias("k", "p")).select("_content", "at", "k", "p.term", (F.length("p.before") + F.length("p.term")).alias("n"))
@@ -231,31 +240,35 @@ def found(docs: DataFrame) -> DataFrame:
     )
 
 
-def replacement(span: Column) -> Column:
+def replacement(term: Column, disclosure: Column) -> Column:
     """What stands for a term."""
-    term = F.substr("text", (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
     wider = F.when(term.rlike("^[0-9]+$"), "[NUMBER]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    return F.when(span["value"].cast("double") >= REMOVE, "").otherwise(wider)
+    return F.when(disclosure >= REMOVE, "").otherwise(wider)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of docs with base spans replaced by tags and disclosing terms generalised or removed.
 
-    Base spans that overlap are replaced as one interval, by the tags of all its kinds.
+    Base spans that overlap are replaced as one interval, by the tags of all its kinds.  Columns may have any names.
     """
-    columns = docs.columns
-    rows = annotated(docs)
+    rows = annotated(docs.select(F.struct("*").alias("row"), "text"))
     slim = written(rows.where("_content IS NOT NULL").select("text", "_base", "_content"), "personal")
     marked = rows.join(term_spans(docs, slim), "_content", "left")
-    terms = F.transform(F.coalesce("_terms", F.array().cast(f"array<{SPAN}>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s).alias("by")))
-    before = lambda i: F.coalesce(F.get("_apart", i - 1)["end"], F.lit(0))
-    piece = lambda s, i: F.concat(F.substr("text", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), s["by"])
-    last = F.coalesce(F.get("_apart", F.size("_apart") - 1)["end"], F.lit(0))
-    rest = F.substr("text", (last + 1).cast("int"), F.length("text"))
-    clean = F.concat(F.array_join(F.transform("_apart", piece), ""), rest)
-    marked = marked.withColumn("_apart", F.array_sort(F.concat(merged(F.col("_base")), terms)))
-    marked = marked.withColumn("text", F.when(F.size("_apart") > 0, clean).otherwise(F.col("text")))
-    return marked.select(*columns)
+
+    def clean(part: Callable[[Column, Column], Column], size: Column) -> Column:
+        by = lambda s: replacement(part(s["start"], s["end"] - s["start"]), s["value"].cast("double"))
+        hidden = F.transform(F.coalesce("_terms", F.array().cast(f"array<{SPAN}>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
+
+        def joined_up(spans: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+            piece = lambda s, i: F.concat(part(before(i), s["start"] - before(i)), s["by"])
+            rest = F.substr("text", (F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)) + 1).cast("int"), size)
+            return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(F.col("text"))
+
+        return bound(F.array_sort(F.concat(merged(F.col("_base")), hidden)), joined_up)
+
+    text = F.when((F.size("_base") > 0) | F.col("_terms").isNotNull(), with_parts(F.col("text"), clean)).otherwise(F.col("text"))
+    return marked.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.arrays import bound, running
 from feedloom.llm.common import longs, table, texts_of, written
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -180,14 +181,16 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> list[i
 
 def apart(runs: Column) -> Column:
     """(start, end) of runs; those that overlap, parts of one mixed run, as one."""
-    one = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+    state = lambda opens, start, end: F.struct(opens.alias("opens"), start.alias("start"), end.alias("end"))
 
-    def step(done: Column, r: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one(last["start"], F.greatest(last["end"], r["end"])))
-        return F.when(r["start"] < last["end"], wider).otherwise(F.concat(done, one(r["start"], r["end"])))
+    def step(last: Column, r: Column) -> Column:
+        wider = state(F.lit(False), last["start"], F.greatest(last["end"], r["end"]))
+        return F.when(r["start"] < last["end"], wider).otherwise(state(F.lit(True), r["start"], r["end"]))
 
-    return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
+    nothing = state(F.lit(False), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    ended = lambda all_: F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["opens"], F.lit(True)))
+    done = bound(running(F.array_sort(runs), nothing, step), ended)
+    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
