@@ -11,15 +11,24 @@ from feedloom.functions.regex import count_matches, matches, matches_ascii
 FENCE = "```"
 
 
+# What an expression can't match without; these run first and are far cheaper.
+_DIGIT = r"(?U)\d"
+_SUFFIX_SIGN = r"(?iU)\.[a-z]"
+
+
+def _url(text: Column) -> Column:
+    return text.contains("://") & text.rlike(P["url"])
+
+
 def _weak(text: Column, like) -> Column:
     fence = text.contains(FENCE)
     return (
         fence
-        | text.rlike(P["url"])
-        | like(text, P["path"])
-        | like(text, P["file_name"])
+        | _url(text)
+        | (text.contains("/") & like(text, P["path"]))
+        | (text.contains(".") & text.rlike(_SUFFIX_SIGN) & like(text, P["file_name"]))
         | like(text, P["exit_or_verdict"])
-        | (like(text, P["any_count"]) & like(text, P["count_context"]))
+        | (text.rlike(_DIGIT) & like(text, P["any_count"]) & like(text, P["count_context"]))
     )
 
 
@@ -28,10 +37,15 @@ def _tool_backed(text: Column, like) -> Column:
     fence = text.contains(FENCE)
     return (
         (F.size(F.split(text, FENCE)) >= 3)
-        | text.rlike(P["url"])
-        | like(text, P["exit_number"])
-        | (like(text, P["pass_fail_count"]) & like(text, P["runner"]))
-        | (like(text, P["metric_count"]) & like(text, P["metric_tool"]))
+        | _url(text)
+        | (
+            text.rlike(_DIGIT)
+            & (
+                like(text, P["exit_number"])
+                | (like(text, P["pass_fail_count"]) & like(text, P["runner"]))
+                | (like(text, P["metric_count"]) & like(text, P["metric_tool"]))
+            )
+        )
         | (like(text, P["named_tool"]) & (like(text, P["output_word"]) | fence))
     )
 
@@ -55,12 +69,13 @@ def strong_artifact(text: Column) -> Column:
     )
     return (
         _tool_backed(text, matches)
-        | ((data_rows >= 3) & matches(text, P["table_identifier"]))
+        | (text.contains("|") & (data_rows >= 3) & matches(text, P["table_identifier"]))
         | (
-            (count_matches(text, P["bullet"], ignore_case=False) >= 2)
+            text.contains("`")
+            & (count_matches(text, P["bullet"], ignore_case=False) >= 2)
             & (count_matches(text, P["code_token"], ignore_case=False) >= 2)
         )
-        | matches(text, P["tests_narrative"])
+        | (text.rlike(_DIGIT) & matches(text, P["tests_narrative"]))
     )
 
 

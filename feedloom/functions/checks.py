@@ -1,22 +1,26 @@
 """Registry of deterministic pass/fail checks over response text.
 
 A check has a gate (does it apply to this text?) and a test (did the text behave?).
-``score`` projects every gate once, then evaluates the shared evidence predicates only
-for rows where some fired check needs them, so quiet rows stay cheap.  Everything is a
-native Column, so the job keeps whole-stage code generation.
+One pass over a text finds the gate words of all checks as a bit set; a gate's expression runs only
+where its bits are set, and the shared evidence predicates only where some fired check needs them, so
+quiet rows stay cheap.  Gates and tests are native Columns; a check may instead have a ``vector_test``, a
+function of a pandas Series, which gets only the texts on which the check's gate fired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import ARTIFACT_PATTERNS, CHECK_PATTERNS
 from feedloom.functions import artifacts
-from feedloom.functions.regex import column_contains_any, folded, matches, required_words
+from feedloom.functions.gates import WordGates
+from feedloom.functions.regex import column_contains_any, folded, matches
 
 SHARED = {
     "weak": artifacts.weak_artifact,
@@ -37,6 +41,70 @@ class CheckSpec:
     evidence: tuple[str, ...] = ()
     version: int = 1
     source: str = "manual"
+    #: Instead of ``test``: gets the texts on which the gate fired as a Series and gives a boolean for each.
+    vector_test: Callable[[pd.Series], pd.Series] | None = None
+
+
+# Words of which every match of an expression holds one, in lower case, as a whole word.
+GATE_WORDS: dict[str, tuple[str, ...]] = {
+    "claim": ("done", "complete", "completed", "fixed", "merged", "posted", "deployed", "shipped", "finished", "approved", "full"),
+    "hedge": ("think", "believe", "assume", "probably", "should", "likely", "presumably", "must"),
+    "post": ("posted", "pushed", "merged", "committed", "commented", "submitted", "published", "sent"),
+    "bq_exec": ("bq",),
+    "agree": ("right", "correct", "same", "would", "agree", "makes"),
+    "technical_claim": ("work", "would", "same"),
+    "retry": ("try", "retrying", "running", "still", "failed", "same"),
+    "dup_approve": ("approved", "approving", "approval", "reapproved"),
+    "dismiss_scope": ("look", "looks", "related", "unrelated", "change", "changes", "nothing", "scope", "same", "you", "youre"),
+    "premature_certainty": (
+        "works", "false", "nothing", "issue", "issues", "formatting", "noise", "warning", "safely", "problem", "bug", "blocker",
+    ),
+    "conclusion_claim": ("root", "issue", "problem", "bug", "error", "because", "caused", "due", "reason"),
+    "self_correction": ("wrong", "mistake", "correction", "reassess", "actually", "misread", "missed"),
+    "pr_approve": ("approved", "approval"),
+    "inline_review": ("inline", "review", "comment"),
+    "scope_global": ("throughout", "replaced", "across", "globally", "every", "occurrences", "entire"),
+    "stale_act": ("based", "earlier", "initial", "previous", "continuing"),
+    "post_without_ask": ("posted", "submitted", "comment"),
+    "regression_claim": ("fixed", "done", "complete", "resolved"),
+    "redundant_rec": ("consider", "try", "recommend", "optional", "nice", "while"),
+    "wrong_tool": ("wrong", "incorrect", "tool", "used", "use", "forbidden", "mcp__jira"),
+    "approve_claim": ("approved", "approval"),
+    "unhelpful_trouble": ("try", "sure", "unclear", "might", "could", "hard", "know"),
+    "instruction_forbid": ("said", "asked", "told", "despite", "ignoring", "explicitly", "against"),
+    "setup_or_dep_claim": (
+        "package", "dependency", "module", "import", "installed", "install", "setup", "modulenotfounderror", "importerror", "client", "block",
+    ),
+    "airflow_retry_act": ("task", "dag", "dagrun", "up_for_retry", "upstream_failed", "upstream", "trigger", "trigger_rule"),
+    "confident_state": (
+        "table", "column", "schema", "partition", "partitioned", "job", "dag", "pipeline", "pr", "check", "checks", "ci", "deployment",
+        "cluster", "dataset", "view", "topic", "subscription", "production", "already", "row", "there", "tests", "verified", "confirmed",
+        "bug", "issue", "error",
+    ),
+    "metric_claim": (
+        "row", "rows", "test", "tests", "file", "files", "byte", "bytes", "partition", "partitions", "column", "columns", "record",
+        "records", "pr", "pull", "line", "exit", "took", "latency",
+    ),
+}
+# A second list, for expressions whose first one holds common words.
+GATE_ALSO: dict[str, tuple[str, ...]] = {
+    "confident_state": (
+        "is", "are", "has", "have", "exist", "exists", "contain", "contains", "passed", "failed", "running", "green", "healthy", "empty",
+        "missing", "by", "production", "deployed", "merged", "approved", "shows", "pass", "that",
+    ),
+}
+# The same for expressions that may also begin inside a word.
+GATE_PARTS: dict[str, tuple[str, ...]] = {
+    "jira_mcp": ("mcp__jira",),
+    "verify_badge": ("verif",),
+    "change_badge": ("change", "fix", "patch", "updated", "added"),
+}
+
+
+def _gate(build: Callable[[Column], Column], names: Sequence[str]) -> Callable[[Column], Column]:
+    build.words = [words[n] for n in names for words in (GATE_WORDS, GATE_ALSO) if n in words]
+    build.parts = [GATE_PARTS[n] for n in names if n in GATE_PARTS]
+    return build
 
 
 def says(*names: str) -> Callable[[Column], Column]:
@@ -48,28 +116,20 @@ def says(*names: str) -> Callable[[Column], Column]:
             hit = hit & matches(text, CHECK_PATTERNS[name])
         return hit
 
-    build.words = [required_words(CHECK_PATTERNS[n]) for n in names]
-    return build
+    return _gate(build, names)
 
 
 def untagged(*names: str) -> Callable[[Column], Column]:
     """All named expressions occur and nothing marks the text as uncertain."""
     base = says(*names)
-
-    def build(text: Column) -> Column:
-        return base(text) & ~matches(text, CHECK_PATTERNS["tagged_uncertain"])
-
-    build.words = [required_words(CHECK_PATTERNS[n]) for n in names]
-    return build
+    return _gate(lambda text: base(text) & ~matches(text, CHECK_PATTERNS["tagged_uncertain"]), names)
 
 
 def _first_person_fix(text: Column) -> Column:
     return says("change_badge")(text) | matches(text, ARTIFACT_PATTERNS["hotfix"])
 
 
-_first_person_fix.words = [required_words(CHECK_PATTERNS["change_badge"]) + required_words(ARTIFACT_PATTERNS["hotfix"])]
-
-
+_gate(_first_person_fix, ["change_badge"])
 
 _ANY_TRACE = ("research", "weak", "strong")
 
@@ -144,25 +204,30 @@ def covered_patterns(checks: Sequence[CheckSpec] = CHECKS) -> list[str]:
     return sorted({c.pattern for c in checks})
 
 
-def _guarded(check: CheckSpec) -> Column:
-    """The gate behind a literal search for words it cannot match without."""
+def _guarded(check: CheckSpec, gates: WordGates) -> Column:
+    """The gate behind the bits of its words and a literal search for the parts it cannot match without."""
     gate = check.gate(F.col("_text"))
+    for parts in getattr(check.gate, "parts", ()):
+        gate = column_contains_any("_low", list(parts)) & gate
     for words in getattr(check.gate, "words", ()):
-        if words:
-            gate = column_contains_any("_low", words) & gate
+        gate = gates.test(tuple(words), "_bits") & gate
     return gate
 
 
 def _staged(df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec]) -> DataFrame:
     """``keep``, the text, one gate per check and the shared evidence.
 
-    Separate projections keep the text, the gates and the evidence from being expanded
+    Separate projections keep the text, the words, the gates and the evidence from being expanded
     into every place that uses them.
     """
     body = F.col("_text")
+    gates = WordGates([tuple(words) for c in checks for words in getattr(c.gate, "words", ())])
     step = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     step = step.withColumn("_low", folded(body))
-    step = step.select("*", *[_guarded(c).alias(f"_g{i}") for i, c in enumerate(checks)])
+    if gates.lists:
+        step = step.withColumn("_found", gates.found(F.col("_low")))
+        step = step.select("*", *[bits.alias(f"_bits{k}") for k, bits in enumerate(gates.bits(F.col("_found")))])
+    step = step.select("*", *[_guarded(c, gates).alias(f"_g{i}") for i, c in enumerate(checks)])
     shared = []
     for name, build in SHARED.items():
         needed = F.lit(False)
@@ -188,8 +253,29 @@ def score(
     """Long results: the ``keep`` columns plus ``eval_id, pattern, applied, passed``.
 
     ``passed`` is null where the check did not apply; such rows appear only with
-    ``fired_only=False``.
+    ``fired_only=False``.  Checks with a ``vector_test`` are scored in a pass of their own.
     """
+    native = [c for c in checks if c.vector_test is None]
+    parts = [_score_native(df, text, keep, native, fired_only)] if native else []
+    parts += [_score_vector(df, text, keep, c, fired_only) for c in checks if c.vector_test is not None]
+    return reduce(DataFrame.union, parts)
+
+
+def _score_vector(df: DataFrame, text: str, keep: Sequence[str], check: CheckSpec, fired_only: bool) -> DataFrame:
+    """Only texts on which the gate fired reach Python."""
+    staged = _staged(df, text, keep, [check])
+    named = [F.lit(check.eval_id).alias("eval_id"), F.lit(check.pattern).alias("pattern")]
+    passed = F.pandas_udf(check.vector_test, "boolean")(F.col("_text"))
+    for name in check.evidence:
+        passed = passed | F.col(f"_{name}")
+    fired = staged.where("_g0").select(*keep, *named, F.lit(True).alias("applied"), passed.alias("passed"))
+    if fired_only:
+        return fired
+    quiet = staged.where("NOT _g0").select(*keep, *named, F.lit(False).alias("applied"), F.lit(None).cast("boolean").alias("passed"))
+    return fired.union(quiet)
+
+
+def _score_native(df: DataFrame, text: str, keep: Sequence[str], checks: Sequence[CheckSpec], fired_only: bool) -> DataFrame:
     rows = []
     for i, c in enumerate(checks):
         gate = F.col(f"_g{i}")
@@ -207,7 +293,9 @@ def score(
 
 
 def score_map(df: DataFrame, text: str, checks: Sequence[CheckSpec] = CHECKS, name: str = "scored") -> DataFrame:
-    """Add a map from every check id to struct(applied, passed)."""
+    """Add a map from every check id to struct(applied, passed); checks with a ``vector_test`` need ``score``."""
+    if any(c.vector_test is not None for c in checks):
+        raise ValueError("score_map takes native checks only")
     entries = []
     for i, c in enumerate(checks):
         gate = F.col(f"_g{i}")

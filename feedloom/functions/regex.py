@@ -6,8 +6,6 @@ stop-time and capture rules use ASCII ones.  Both let ``.`` stop at ``\\n`` only
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,37 +70,3 @@ def folded(text: Column) -> Column:
     for letter in _FOLD_FROM:
         special = special | text.contains(letter)
     return F.lower(F.when(special, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
-
-
-def required_words(pattern: str) -> list[str]:
-    """Lower-case strings of which every match contains at least one; empty if unknown.
-
-    A literal search over these is far cheaper than the expression itself, so it goes
-    first and most rows never reach the expression.
-    """
-    parser = re._parser  # type: ignore[attr-defined]
-    ops = re._constants  # type: ignore[attr-defined]
-
-    def words(items) -> set[str]:
-        found: list[set[str]] = []
-        run = ""
-        for op, value in items:
-            if op is ops.LITERAL:
-                run += chr(value).lower()
-                continue
-            if run:
-                found.append({run})
-                run = ""
-            if op is ops.SUBPATTERN:
-                found.append(words(value[3]))
-            elif op is ops.BRANCH:
-                arms = [words(arm) for arm in value[1]]
-                found.append(set().union(*arms) if all(arms) else set())
-            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and value[0] >= 1:
-                found.append(words(value[2]))
-        if run:
-            found.append({run})
-        found = [f for f in found if f]
-        return max(found, key=lambda f: (min(map(len, f)), -len(f))) if found else set()
-
-    return sorted(words(parser.parse(pattern)))

@@ -44,7 +44,9 @@ def _steps(gap: int, bucket: int):
 
 def _carry(gap: int):
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        last, out = _FREE, []
+        known = rows["_b"].isna()  # a row without bucket holds the last allowed time before all others
+        last, out = int(rows.loc[known, "end"].max()) if known.any() else _FREE, []
+        rows = rows[~known]
         for bucket, steps in rows.sort_values(["_b", "upto"]).groupby("_b", sort=True):
             out.append((key[0], bucket, last))
             usable = steps[steps["upto"] >= last + gap] if last != _FREE else steps
@@ -72,6 +74,24 @@ def _allowed(gap: int):
     return mark
 
 
+def allowed_marks(marks: DataFrame, gap: int, bucket: int, clocks: DataFrame | None = None) -> DataFrame:
+    """(_key, _t) of the allowed ones of distinct ``marks`` (_key, _t), after the last allowed times ``clocks``
+    (_key, _last) of keys before them.
+
+    A group holds one time bucket of a key, or one short step function per bucket.
+    """
+    slots = marks.select("_key", F.floor(F.col("_t") / bucket).cast("long").alias("_b"), "_t")
+    key_type = dict(slots.dtypes)["_key"]
+    steps = slots.groupBy("_key", "_b").applyInPandas(
+        _steps(gap, bucket), f"_key {key_type}, _b long, upto long, end long"
+    )
+    if clocks is not None:
+        none = F.lit(None).cast("long")
+        steps = steps.union(clocks.select("_key", none.alias("_b"), none.alias("upto"), F.col("_last").alias("end")))
+    entries = steps.groupBy("_key").applyInPandas(_carry(gap), f"_key {key_type}, _b long, entry long")
+    return slots.join(entries, ["_key", "_b"]).groupBy("_key", "_b").applyInPandas(_allowed(gap), f"_key {key_type}, _t long")
+
+
 def rate_limited(
     df: DataFrame, key: str, time: str, tie: str, gap: int, bucket: int = 3600
 ) -> DataFrame:
@@ -84,22 +104,8 @@ def rate_limited(
     """
     if bucket < gap:
         raise ValueError("bucket must be at least gap")
-    marks = (
-        df.groupBy(F.col(key).alias("_key"), F.col(time).cast("long").alias("_t"))
-        .agg(F.min(tie).alias("_tie"))
-        .withColumn("_b", F.floor(F.col("_t") / bucket).cast("long"))
-    )
-    key_type = dict(marks.dtypes)["_key"]
-    slots = marks.select("_key", "_b", "_t")
-    steps = slots.groupBy("_key", "_b").applyInPandas(
-        _steps(gap, bucket), f"_key {key_type}, _b long, upto long, end long"
-    )
-    entries = steps.groupBy("_key").applyInPandas(_carry(gap), f"_key {key_type}, _b long, entry long")
-    passed = (
-        slots.join(entries, ["_key", "_b"])
-        .groupBy("_key", "_b")
-        .applyInPandas(_allowed(gap), f"_key {key_type}, _t long")
-    )
+    marks = df.groupBy(F.col(key).alias("_key"), F.col(time).cast("long").alias("_t")).agg(F.min(tie).alias("_tie"))
+    passed = allowed_marks(marks, gap, bucket)
     winners = passed.join(marks, ["_key", "_t"]).select("_key", "_t", "_tie", F.lit(True).alias("_ok"))
     on = (F.col(key) == F.col("_key")) & (F.col(time) == F.col("_t")) & (F.col(tie) == F.col("_tie"))
     return df.join(winners, on, "left").select(*df.columns, F.coalesce("_ok", F.lit(False)).alias("allowed"))

@@ -31,6 +31,10 @@ def stream_view(spark: SparkSession, sf: str, sql: str, table: str) -> DataFrame
     return spark.sql(sql, **{table: stream(spark, sf, table)})
 
 
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def late_slices(view: DataFrame, order: str, salt: str, last: str, units: int = 1) -> tuple[DataFrame, str]:
     """(stream, lateness): the view in slices of ``order``, every tenth row one slice late, then one
     row that moves the watermark past all others and is itself never decided.
@@ -114,7 +118,7 @@ def stream_rate_limited(spark, sf):
         "host", "event_id", (F.col("at_s") + _DAY).alias("ts_seconds"), F.lit("gh pr review 1 --approve").alias("command")
     )
     arriving, lateness = late_slices(calls, "ts_seconds", "event_id", "-end-")
-    passed = streams.run_available(streams.approval_rate_limit(arriving.fillna("gh pr review 1 --approve", "command"), lateness))
+    passed = streams.approval_rate_limit(arriving.fillna("gh pr review 1 --approve", "command"), new_folder(spark, "approvals"), lateness)
     marked = passed.select("event_id", F.lit(True).alias("allowed"))
     return calls.join(marked, "event_id", "left").select("event_id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
@@ -217,4 +221,16 @@ SELECT event_id FROM w WHERE allowed""",
 def stream_reminders(spark, sf):
     prompts = A.view(spark, sf, _REMINDERS).select("host", "event_id", (F.col("at_ms") + 1000 * _DAY).alias("ts_millis"), "prompt")
     arriving, lateness = late_slices(prompts, "ts_millis", "event_id", "-end-", 1000)
-    return streams.run_available(streams.reminder_cooldown(arriving.fillna("end", "prompt"), lateness)).select("event_id")
+    return streams.reminder_cooldown(arriving.fillna("end", "prompt"), new_folder(spark, "reminders"), lateness).select("event_id")
+
+
+_SOURCES = """
+SELECT concat('source ', CAST(CAST(floor(event_id / 700) AS BIGINT) AS STRING)) AS source, event_id, 86400 + event_id * 600 + CAST(floor(value) AS BIGINT) % 60 AS seconds FROM {events}
+"""
+
+
+@query("stream_flatline", f"SELECT source, max(seconds) * 1000 AS newest_ms FROM ({_SOURCES}) GROUP BY source")
+def stream_flatline(spark, sf):
+    """Every source falls silent in turn, while the next ones go on."""
+    arriving, lateness = late_slices(A.view(spark, sf, _SOURCES), "seconds", "event_id", "-end-")
+    return streams.run_available(streams.flatline(arriving.withColumn("ts", F.timestamp_seconds("seconds")), 30, lateness))

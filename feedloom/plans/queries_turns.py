@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import (
     ALWAYS_ON,
     APPROVAL_COMMAND,
+    CHECK_PATTERNS,
     DETECTOR_DEFAULT_MODES,
     DURABLE_CLAIM,
     ENV_PREFIX,
@@ -70,6 +71,23 @@ def check_report(spark, sf):
     return report(checks.score(responses(spark, sf), "text", ["session", "seq"]))
 
 
+def two_sentences(texts):
+    """A vectorised test: at least two full stops."""
+    return texts.str.count(r"\.") >= 2
+
+
+BRIEF_CLAIM = checks.CheckSpec("brief_claim", "unverified_completion", checks.says("claim"), vector_test=two_sentences)
+
+
+@query(
+    "vector_checks",
+    f"""WITH {_RESPONSES} SELECT session, seq, 'brief_claim' AS eval_id, 'unverified_completion' AS pattern,
+ length(text) - length(replace(text, '.', '')) >= 2 AS passed FROM resp WHERE {K.re(K.fold('text'), CHECK_PATTERNS['claim'])}""",
+)
+def vector_checks(spark, sf):
+    return checks.score(responses(spark, sf), "text", ["session", "seq"], [BRIEF_CLAIM]).drop("applied")
+
+
 _ARMED = {p: m for p, m in DETECTOR_DEFAULT_MODES.items() if p in ALWAYS_ON or p in ("blind_retry", "duplicate_approval")}
 _ARMED["blind_retry"] = "block"
 _ARMED.pop("guardrail_bypass")

@@ -28,7 +28,7 @@ from feedloom.fixed_values import (
 from feedloom.functions import capture, checks, detectors
 from feedloom.functions.regex import strip
 from feedloom.functions.text import content_hash
-from feedloom.operators import policy
+from feedloom.operators import policy, ratelimit
 from feedloom.session import ensure_checkpoint_dir
 
 
@@ -214,26 +214,76 @@ def min_gap(
     )
 
 
-def approval_rate_limit(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """The approvals of each host that are let through; any other within ten seconds after one is denied.
+def spaced(
+    events: DataFrame, gap: int, folder: str, unit_ms: int = 1000, bucket: int | None = None, lateness: str = "10 minutes"
+) -> DataFrame:
+    """``min_gap`` for keys that may hold most of the stream: run what is available, give all that passed so far.
 
-    ``calls``: host, event_id, ts_seconds, command.
+    A native aggregation on (key, time bucket, time) keeps the lowest id of each time until the watermark is past the
+    bucket, so the rows of a hot key lie in many partitions.  Each micro-batch of closed buckets is then reduced to a step
+    function per bucket, the functions are chained per key from the last allowed time, and the times are marked in the
+    buckets again: no task holds a key's events.  ``folder``, which all executors share, holds the results
+    (``passed``), the last allowed times after each batch (``clocks``) and the stream's checkpoint.  A batch writes
+    folders of its own number, so a replay changes nothing, and a later call goes on where this one ended.
+
+    ``at`` counts units of ``unit_ms`` milliseconds, ``bucket`` (ten gaps unless given) as many units.  A decision comes when
+    its bucket has closed.  A key's last time goes once no open bucket can lie within the gap.
     """
-    approvals = policy.tool_event_flags(
+    bucket = bucket or 10 * gap
+    spark = events.sparkSession
+    timed = events.withColumn("ts", F.timestamp_millis(F.col("at") * unit_ms)).withWatermark("ts", lateness)
+    span = F.window("ts", f"{bucket * unit_ms} milliseconds")
+    marks = timed.groupBy(span, F.col("key").alias("_key"), F.col("at").alias("_t")).agg(F.min("event_id").alias("_tie"))
+    marks = marks.select("_key", "_t", "_tie")
+    clock_type = f"_key {dict(marks.dtypes)['_key']}, _last long"
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        session, closed = batch.sparkSession, batch.persist()
+        known = session.read.schema(clock_type).parquet(f"{folder}/clocks/batch={batch_id - 1}") if batch_id else None
+        allowed = ratelimit.allowed_marks(closed, gap, bucket, known).join(closed, ["_key", "_t"])
+        result = f"{folder}/passed/batch={batch_id}"
+        allowed.select(F.col("_key").alias("key"), F.col("_tie").alias("event_id"), F.col("_t").alias("at")).write.mode("overwrite").parquet(result)
+        passed = session.read.schema(schema).parquet(result).select(F.col("key").alias("_key"), F.col("at").alias("_last"))
+        last = (passed if known is None else passed.unionByName(known)).groupBy("_key").agg(F.max("_last").alias("_last"))
+        newest = closed.agg(F.max(F.floor(F.col("_t") / bucket) * bucket)).first()[0]
+        if newest is not None:
+            last = last.where(F.col("_last") + gap > newest)
+        last.write.mode("overwrite").parquet(f"{folder}/clocks/batch={batch_id}")
+        closed.unpersist()
+
+    types = dict(marks.dtypes)
+    schema = f"key {types['_key']}, event_id {types['_tie']}, at {types['_t']}"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/passed/batch=-1")  # there from the start
+    started = marks.writeStream.outputMode("append").foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint")
+    started.trigger(availableNow=True).start().awaitTermination()
+    passed = spark.read.schema(schema).option("basePath", f"{folder}/passed").parquet(f"{folder}/passed")
+    return passed.select("key", "event_id", "at")
+
+
+def approvals(calls: DataFrame) -> DataFrame:
+    """key, event_id, at (seconds) of the approvals among ``calls`` (host, event_id, ts_seconds, command)."""
+    flagged = policy.tool_event_flags(
         calls.withColumn("file_path", F.lit("")).withColumn("content", F.lit("")).withColumn("tool_name", F.lit("Bash"))
     ).where("is_approval")
-    keyed = approvals.select(F.col("host").alias("key"), "event_id", F.col("ts_seconds").cast("long").alias("at"))
-    return min_gap(keyed, APPROVAL_GAP_SECONDS, 1000, lateness)
+    return flagged.select(F.col("host").alias("key"), "event_id", F.col("ts_seconds").cast("long").alias("at"))
+
+
+def approval_rate_limit(calls: DataFrame, folder: str, lateness: str = "10 minutes") -> DataFrame:
+    """The approvals of each host that are let through; any other within ten seconds after one is denied.
+
+    ``calls``: host, event_id, ts_seconds, command.
+    """
+    return spaced(approvals(calls), APPROVAL_GAP_SECONDS, folder, 1000, lateness=lateness)
 
 
-def reminder_cooldown(prompts: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def reminder_cooldown(prompts: DataFrame, folder: str, lateness: str = "10 minutes") -> DataFrame:
     """Prompts that get a reminder: not blank, not the reminder itself, thirty seconds apart.
 
     ``prompts``: host, event_id, ts_millis, prompt.
     """
     usable = prompts.where((strip(F.col("prompt")) != "") & ~F.col("prompt").contains(SELF_MARKER))
     keyed = usable.select(F.col("host").alias("key"), "event_id", F.col("ts_millis").cast("long").alias("at"))
-    return min_gap(keyed, REMINDER_GAP_SECONDS * 1000, 1, lateness)
+    return spaced(keyed, REMINDER_GAP_SECONDS * 1000, folder, 1, lateness=lateness)
 
 
 def stream_dedupe(

@@ -1,10 +1,15 @@
 """Golden cases for the response checks: what fires and whether it passes."""
 
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis.strategies import from_regex
+from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHECK_PATTERNS
 from feedloom.functions import checks
-from feedloom.functions.regex import required_words
+from feedloom.functions.gates import WordGates, tree_regex
 from feedloom.plans.adapters import PHRASES
 from feedloom.plans.queries_ledger import GOLDEN
 
@@ -99,24 +104,56 @@ def test_custom_check(spark):
     assert got == {"HELLO": False, "HELLO sorry": True}
 
 
-@pytest.mark.parametrize("pattern,words", [
-    (r"\b(alpha|beta)\b", ["alpha", "beta"]),
-    (r"x?longer\s+\d+", ["longer"]),
-    (r"\d+", []),
-    (r"(a|\d)", []),
-])
-def test_required_words(pattern, words):
-    assert required_words(pattern) == words
+def low_of(text):
+    return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").replace("\u212a", "k").lower()
+
+
+@pytest.mark.parametrize("name", sorted({**checks.GATE_WORDS, **checks.GATE_PARTS}))
+def test_gate_words_never_hide_a_match(name):
+    """Whatever an expression matches holds one of its gate words."""
+    lists = [w[name] for w in (checks.GATE_WORDS, checks.GATE_ALSO) if name in w]
+    words = [re.compile("(?<![a-z0-9_])" + tree_regex(w) + "(?![a-z_])") for w in lists]
+    parts = checks.GATE_PARTS.get(name, ())
+
+    @settings(max_examples=400, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(from_regex(re.compile(CHECK_PATTERNS[name], re.I)))
+    def hold(text):
+        low = low_of(text)
+        assert all(w.search(low) for w in words)
+        assert not parts or any(p in low for p in parts)
+
+    hold()
+    assert {n for c in checks.CHECKS for n in CHECK_PATTERNS if getattr(c.gate, "words", getattr(c.gate, "parts", []))}
+
+
+def test_every_gate_is_behind_words():
+    assert all(getattr(c.gate, "words", None) or getattr(c.gate, "parts", None) for c in checks.CHECKS)
+
+
+def test_bits_of_words(spark):
+    lists = [("a", "ab"), ("ab", "abc"), *[(f"w{k}x",) for k in range(70)], ("x_y",)]
+    gates = WordGates(lists)
+    texts = ["a", "xab", "ab1 c", "abc. w3x", "w69x_ w68x-", "x_y", "", "ABC"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", gates.found(F.col("t")))
+    df = df.select("t", *[b.alias(f"b{k}") for k, b in enumerate(gates.bits(F.col("f")))])
+    got = df.select("t", *[gates.test(w, "b").alias(str(k)) for k, w in enumerate(lists)]).collect()
+    for r in got:
+        found = set(re.findall(r"(?<![a-z0-9_])[a-z_][a-z0-9_]*?x?(?=\d*(?:$|[^a-z0-9_]))", r.t))
+        tokens = {t.rstrip("0123456789") for t in re.findall(r"[a-z0-9_]+", r.t)} | set(re.findall(r"[a-z0-9_]+", r.t))
+        assert [r[str(k)] for k in range(len(lists))] == [bool(tokens & set(w)) for w in lists], (r.t, found)
 
 
-def test_required_words_never_hide_a_match():
-    """A text that matches an expression always holds one of its required words."""
-    import re
+def test_vector_test_gets_only_fired_texts(spark):
+    def calm(texts):
+        assert texts.str.contains("done").all()
+        return ~texts.str.isupper() & (texts.str.count("!") < 2)
 
-    texts = [c[0] for c in CASES] + PHRASES
-    for name, pattern in CHECK_PATTERNS.items():
-        words = required_words(pattern)
-        for text in texts:
-            if re.search(pattern, text, re.I) and words:
-                low = text.replace("ı", "i").lower()
-                assert any(w in low for w in words), (name, text)
+    spec = checks.CheckSpec("calm", "tone", checks.says("claim"), vector_test=calm)
+    native = checks.CheckSpec("hedge", "tone", checks.says("hedge"))
+    df = spark.createDataFrame([("done!! probably", 1), ("done", 2), ("quiet", 3), (None, 4)], "text string, id int")
+    got = {(r.id, r.eval_id): r.passed for r in checks.score(df, "text", ["id"], [spec, native]).collect()}
+    assert got == {(1, "calm"): False, (2, "calm"): True, (1, "hedge"): False}
+    full = checks.score(df, "text", ["id"], [spec], fired_only=False).collect()
+    assert sorted((r.id, r.applied, r.passed) for r in full) == [(1, True, False), (2, True, True), (3, False, None), (4, False, None)]
+    with pytest.raises(ValueError):
+        checks.score_map(df, "text", [spec])

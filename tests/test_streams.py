@@ -57,7 +57,7 @@ def test_rate_limit_does_not_depend_on_arrival(spark, tmp_path):
     for i in range(4):
         base.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(str(out))
     calls = arrive(spark, out, CALLS, [("-", -1, 10**9, OK)])
-    live = streams.run_available(streams.approval_rate_limit(calls, "1 day"))
+    live = streams.approval_rate_limit(calls, str(tmp_path / "out"), "1 day")
     batch = ratelimit.rate_limited(base, "host", "ts_seconds", "event_id", 10, 600).where("allowed")
     assert rows(live, "event_id") == rows(batch, "event_id")
 
@@ -65,15 +65,40 @@ def test_rate_limit_does_not_depend_on_arrival(spark, tmp_path):
 def test_rate_limit_drops_what_is_behind_the_watermark(spark, tmp_path):
     first, later = [("h", 1, 100, OK), ("h", 2, 5_000, OK)], [("h", 3, 50, OK), ("h", 4, 5_005, OK), ("h", 5, 5_010, OK)]
     calls = arrive(spark, tmp_path / "c", CALLS, first, [("h", 6, 6_000, OK)], later, [("-", 7, 10**9, OK)])
-    live = streams.run_available(streams.approval_rate_limit(calls, "20 minutes"))
+    live = streams.approval_rate_limit(calls, str(tmp_path / "out"), "20 minutes")
     assert sorted(r["event_id"] for r in live.collect()) == [1, 2, 5, 6]
 
 
+def test_spacing_goes_on_after_a_restart_and_is_replay_safe(spark, tmp_path):
+    """A key whose chain crosses batches, calls and many buckets; a replayed batch changes nothing."""
+    schema = "key string, event_id long, at long"
+    data = [("hot", k, 100_000 + 7 * k) for k in range(3000)] + [("b", 5000 + k, 100_000 + 1000 * k) for k in range(20)]
+    out, folder = tmp_path / "in", str(tmp_path / "out")
+    third = len(data) // 3
+    for part in (data[:third], data[third : 2 * third]):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(str(out))
+    streams.spaced(follow(spark, str(out), 2), 10, folder, lateness="2 days")
+    spark.createDataFrame(data[2 * third :], schema).repartition(3).write.mode("append").parquet(str(out))
+    spark.createDataFrame([("-", -1, 10**8)], schema).write.mode("append").parquet(str(out))
+    live = streams.spaced(follow(spark, str(out), 2), 10, folder, lateness="2 days")
+    batch = ratelimit.rate_limited(spark.createDataFrame(data, schema), "key", "at", "event_id", 10, 100).where("allowed")
+    want = rows(batch, "event_id")
+    assert rows(live, "event_id") == want and len(want) == 1520
+    again = streams.spaced(follow(spark, str(out), 2), 10, folder, lateness="2 days")
+    assert rows(again, "event_id") == want
+
+
+def test_spacing_of_an_empty_stream(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    source = spark.readStream.schema("key string, event_id long, at long").parquet(str(tmp_path / "none"))
+    assert streams.spaced(source, 10, str(tmp_path / "out")).count() == 0
+
+
 def test_reminder_cooldown(spark, tmp_path):
     data = [("h", 1, 1, "a"), ("h", 2, 10_000, "b"), ("h", 3, 20_000, " "), ("h", 4, 30_001, "c"), ("h", 5, 70_000, "FAILURE PATTERN REMINDER x"), ("h", 6, 70_001, "d")]
     schema = "host string, event_id long, ts_millis long, prompt string"
     prompts = arrive(spark, tmp_path / "p", schema, data[3:], data[:3], [("-", 9, 10**12, "z")])
-    assert sorted(r["event_id"] for r in streams.run_available(streams.reminder_cooldown(prompts)).collect()) == [1, 4, 6]
+    assert sorted(r["event_id"] for r in streams.reminder_cooldown(prompts, str(tmp_path / "out")).collect()) == [1, 4, 6]
 
 
 def test_turns_close_on_the_next_prompt_or_when_idle(spark, tmp_path):
