@@ -53,7 +53,8 @@ def _table_patterns(texts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(_sig, _found) for distinct texts (_sig, _text): patterns with a keyword in the text, by their first ``ord``.
 
     Text and keyword meet on one gram of the keyword, the one that fewest keywords hold; a keyword
-    shorter than a gram is met on all of itself.
+    shorter than a gram is met on all of itself.  A gram row holds the text's digest alone; the text is joined back, once,
+    for the keywords it may hold.
     """
     order = taxonomy.groupBy("pattern").agg(F.min("ord").alias("_place"))
     words = taxonomy.where("keyword <> ''").select("pattern", "keyword").distinct()
@@ -65,8 +66,9 @@ def _table_patterns(texts: DataFrame, taxonomy: DataFrame) -> DataFrame:
         common = spelled.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
         rare = F.min_by("gram", F.struct("df", "gram")).alias("gram")
         keyed = spelled.join(common, "gram").groupBy("pattern", "keyword").agg(rare)
-        sought = texts.select("_sig", "_text", F.explode(_grams(F.col("_text"), n)).alias("gram"))
-        hits = sought.join(keyed, "gram").where(F.contains("_text", "keyword")).select("_sig", "pattern")
+        sought = texts.select("_sig", F.explode(_grams(F.col("_text"), n)).alias("gram"))
+        near = sought.join(keyed, "gram").select("_sig", "pattern", "keyword")
+        hits = near.join(texts, "_sig").where(F.contains("_text", "keyword")).select("_sig", "pattern")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = texts.where("false").select("_sig", F.lit("").alias("pattern"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -359,30 +360,38 @@ def prior_failed(edits: DataFrame, k: int = 5) -> DataFrame:
 # --- judge ------------------------------------------------------------------------------------
 
 
+_WORD = 62  # passes held by one long
+
+
 def judge_quorum(votes: DataFrame, patterns: Sequence[str], quorum: int) -> DataFrame:
     """Full (turn, pattern) matrix by majority over ``quorum`` passes.
 
-    One aggregate per turn gathers the distinct flagging passes, at most ``quorum``, of
-    every pattern, and no turn x pattern join is needed.
+    One aggregate per turn keeps the flagging passes of every pattern as bits, ``_WORD`` passes in a long,
+    and no turn x pattern join is needed.
     """
     need = quorum // 2 + 1
-    flag = F.col("flagged") & (F.col("pass_no") < quorum)
+    flag = F.col("flagged") & F.col("pass_no").between(0, quorum - 1)
+    words = -(-quorum // _WORD)
+    bit = F.expr(f"shiftleft(1L, CAST(pass_no % {_WORD} AS INT))")
     aggs = []
     for i, p in enumerate(patterns):
         mine = flag & (F.col("pattern") == p)
-        aggs.append(F.size(F.collect_set(F.when(mine, F.col("pass_no")))).alias(f"_v{i}"))
+        for w in range(words):
+            own = mine & F.col("pass_no").between(w * _WORD, (w + 1) * _WORD - 1)
+            aggs.append(F.bit_or(F.when(own, bit)).alias(f"_w{i}_{w}"))
         aggs.append(
             F.min_by(
                 F.when(mine, F.substring("evidence", 1, 160)),
                 F.when(mine, F.struct("pass_no", "evidence")),
             ).alias(f"_e{i}")
         )
+    passes = lambda i: reduce(Column.__add__, [F.coalesce(F.bit_count(f"_w{i}_{w}"), F.lit(0)) for w in range(words)])
     per_turn = votes.groupBy("timestamp", "session_id").agg(*aggs)
     rows = [
         F.struct(
             F.lit(p).alias("pattern"),
-            (F.col(f"_v{i}") < need).alias("passed"),
-            F.when(F.col(f"_v{i}") >= need, F.col(f"_e{i}")).otherwise("").alias("evidence"),
+            (passes(i) < need).alias("passed"),
+            F.when(passes(i) >= need, F.col(f"_e{i}")).otherwise("").alias("evidence"),
         )
         for i, p in enumerate(patterns)
     ]

@@ -16,7 +16,7 @@ from feedloom.fixed_values import (
 from feedloom.functions.lessons import injection_section
 from feedloom.functions.text import bullet_id, tokens
 from feedloom.operators.similarity import bullet_groups, greedy_survivors
-from feedloom.scale import top_k
+from feedloom.scale import prefix_sums, top_k
 from feedloom.session import cut_lineage
 
 
@@ -89,44 +89,70 @@ def dedupe_signal() -> Column:
     )
 
 
+def one_per_pattern(rows: DataFrame) -> DataFrame:
+    """The rows with ``_id``, ``_rank`` and ``_merged`` after the rule for bullets of the same pattern.
+
+    In order of rank, a bullet that is no seed gives way to the first one of its pattern; where it has the better
+    quality and the first one is no seed, the first one takes over all its fields but not its place.  Seeds stay
+    bullets of their own.  Counters of bullets that give way are not added.
+    """
+    seed = F.coalesce(F.col("seed"), F.lit(False))
+    place = F.struct((-dedupe_signal()).alias("s"), F.col("pattern").alias("p"), F.col("description").alias("d"))
+    row = F.struct(*rows.columns)
+    own = rows.select("pattern", seed.alias("_seed"), place.alias("_rank"), row.alias("_row"), (-F.col("quality")).alias("_q"))
+    plain = ~F.col("_seed")
+    first = own.groupBy("pattern").agg(
+        F.min_by(F.struct("_row", "_seed", "_rank"), F.struct("_rank", plain)).alias("_first"),
+        F.min_by(F.when(plain, F.col("_row")), F.when(plain, F.struct("_q", "_rank"))).alias("_best"),
+        F.count_if(plain).alias("_plain"),
+    )
+    taken = F.when(F.col("_best.quality") > F.col("_first._row.quality"), F.col("_best")).otherwise(F.col("_first._row"))
+    leading = first.where(~F.col("_first._seed")).select(
+        F.col("pattern").alias("_id"), F.col("_first._rank").alias("_rank"), (F.col("_plain") - 1).alias("_merged"), taken.alias("_row")
+    )
+    seeds = prefix_sums(own.where("_seed").select("pattern", "_rank", "_row"), ["pattern"], ["_rank"], {"_n": F.lit(1).cast("long")})
+    given_way = first.where("_first._seed").select(F.col("pattern").alias("_of"), "_plain")
+    seeds = seeds.join(given_way, (F.col("pattern") == F.col("_of")) & (F.col("_n") == 1), "left").select(
+        F.concat("pattern", F.lit("\u0000"), F.col("_n").cast("string")).alias("_id"),
+        "_rank", F.coalesce("_plain", F.lit(0)).alias("_merged"), "_row",
+    )
+    return leading.unionByName(seeds).select("_id", "_rank", "_merged", "_row.*")
+
+
 def dedupe_bullets(rows: DataFrame) -> DataFrame:
     """Merge similar bullets into the strongest one; counters add up.
 
-    A survivor takes over the wording of a better bullet it absorbs.  Similarity is taken
-    on the original wording and not compared again after that.  ``rows`` hold one bullet per pattern.
+    Bullets of one pattern are settled first (``one_per_pattern``).  A survivor takes over the wording of a better bullet it
+    absorbs.  Similarity is taken on the original wording and not compared again after that.
     """
-    signal = rows.withColumn("_signal", dedupe_signal())
-    ranked = signal.select(
-        F.col("pattern").alias("id"), F.struct((-F.col("_signal")).alias("s"), F.col("pattern").alias("p")).alias("rank")
-    )
-    members, edges = bullet_groups(rows.join(ranked.withColumnRenamed("id", "pattern"), "pattern"))
+    signal = cut_lineage(one_per_pattern(rows))
+    ranked = signal.select(F.col("_id").alias("id"), F.col("_rank").alias("rank"))
+    members, edges = bullet_groups(signal.select(F.col("_id").alias("id"), "pattern", "description", F.col("_rank").alias("rank")))
     members = cut_lineage(members)
     leaders = ranked.join(members.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
-    survivor = members.join(
-        greedy_survivors(leaders, edges).withColumnRenamed("id", "leader"), "leader"
-    ).select("pattern", "survivor")
-    joined = signal.join(survivor, "pattern")
-    own = F.col("pattern") == F.col("survivor")
+    survivor = members.join(greedy_survivors(leaders, edges).withColumnRenamed("id", "leader"), "leader").select(
+        F.col("id").alias("_id"), F.col("survivor").alias("_survivor")
+    )
+    joined = signal.join(survivor, "_id")
+    own = F.col("_id") == F.col("_survivor")
     best = F.min_by(
-        F.struct("description", "quality", own.alias("own")),
-        F.struct((-F.col("quality")).alias("q"), (~own).alias("o"), (-F.col("_signal")).alias("s"), F.col("pattern").alias("p")),
+        F.struct("description", "quality", own.alias("own")), F.struct((-F.col("quality")).alias("q"), (~own).alias("o"), F.col("_rank").alias("r"))
     )
-    merged = joined.groupBy("survivor").agg(
+    merged = joined.groupBy("_survivor").agg(
         F.sum("helpful").alias("helpful"),
         F.sum("harmful").alias("harmful"),
-        (F.count(F.lit(1)) - 1).alias("merged"),
+        (F.count(F.lit(1)) - 1 + F.sum("_merged")).alias("merged"),
         best.alias("_best"),
     )
-    keep = rows.drop("helpful", "harmful").withColumnRenamed("pattern", "survivor")
+    keep = signal.drop("helpful", "harmful", "_rank", "_merged").withColumnRenamed("_id", "_survivor")
     # The strongest wording of the group is kept, except that a seed keeps its own.
     swap = ~F.coalesce(F.col("seed"), F.lit(False)) & ~F.col("_best.own")
     return (
-        keep.join(merged, "survivor")
+        keep.join(merged, "_survivor")
         .withColumn("description", F.when(swap, F.col("_best.description")).otherwise(F.col("description")))
         .withColumn("quality", F.when(swap, F.col("_best.quality")).otherwise(F.col("quality")))
-        .withColumnRenamed("survivor", "pattern")
         .withColumn("id", bullet_id(F.col("pattern"), F.col("description")))
-        .drop("_best")
+        .drop("_best", "_survivor")
     )
 
 

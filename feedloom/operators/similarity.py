@@ -193,27 +193,27 @@ def name_overlap(generated: DataFrame, written: DataFrame, shared: int = 2) -> D
 
 
 def bullet_groups(bullets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, edges) for the greedy merge of ``pattern, description, rank``.
+    """(members, edges) for the greedy merge of ``id, pattern, description, rank``.
 
     Bullets with the same words and the same name family are linked to the same others,
-    so the best-ranked one leads and the rest follow it: ``members`` map pattern to
-    leader.  ``edges`` link leaders alike enough to merge; one family needs less overlap.
+    so the best-ranked one leads and the rest follow it: ``members`` map id to
+    leader.  ``edges`` link leaders alike enough to merge; two patterns of one family need less overlap.
     """
     words = tokens(F.col("description"), STOPWORDS_PLAYBOOK)
     keyed = bullets.select(
-        "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), F.sort_array(words).alias("tokens")
+        "id", "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), F.sort_array(words).alias("tokens")
     ).withColumn(
-        "_sig", F.when(F.size("tokens") > 0, F.sha2(F.concat_ws(" ", "tokens"), 256)).otherwise(F.concat(F.lit("-"), "pattern"))
+        "_sig", F.when(F.size("tokens") > 0, F.sha2(F.concat_ws(" ", "tokens"), 256)).otherwise(F.concat(F.lit("-"), "id"))
     )
     keyed = cut_lineage(keyed)
-    leaders = keyed.groupBy("_sig", "family").agg(F.min_by("pattern", "rank").alias("leader"))
-    members = keyed.join(leaders, ["_sig", "family"]).select("pattern", "leader")
+    leaders = keyed.groupBy("_sig", "family").agg(F.min_by("id", "rank").alias("leader"), F.min_by("pattern", "rank").alias("lead_pattern"))
+    members = keyed.join(leaders, ["_sig", "family"]).select("id", "leader")
     sets = keyed.where(F.size("tokens") > 0).groupBy("_sig").agg(F.any_value("tokens").alias("tokens"))
     low = BULLET_THRESHOLD - FAMILY_DISCOUNT
     across = similar_pairs(sets.select(F.col("_sig").alias("id"), "tokens"), low)
-    la = leaders.select(F.col("_sig").alias("a"), F.col("leader").alias("_la"), F.col("family").alias("_fa"))
-    lb = leaders.select(F.col("_sig").alias("b"), F.col("leader").alias("_lb"), F.col("family").alias("_fb"))
-    same_family = (F.col("_fa") == F.col("_fb")) & (F.length("_fa") >= 4)
+    side = lambda x: leaders.select(F.col("_sig").alias(x), F.col("leader").alias(f"_l{x}"), F.col("family").alias(f"_f{x}"), F.col("lead_pattern").alias(f"_p{x}"))
+    la, lb = side("a"), side("b")
+    same_family = (F.col("_fa") == F.col("_fb")) & (F.length("_fa") >= 4) & (F.col("_pa") != F.col("_pb"))
     bar = F.when(same_family, F.lit(low)).otherwise(F.lit(BULLET_THRESHOLD))
     linked = across.join(la, "a").join(lb, "b").where(F.col("score") >= bar).select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
     # Equal words under different family names.

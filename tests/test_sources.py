@@ -179,13 +179,45 @@ def test_session_end(spark, tmp_path):
     ).withColumn("eval_results", F.create_map().cast("map<string, struct<passed: boolean, pattern: string>>"))
     queue = adapters.view(spark, sf, adapters.QUEUE)
     prior = spark.sql("SELECT 'x' AS pattern, 'flat' AS verdict")
+    lessons = queries_measure.lessons(spark, sf).withColumns(
+        {
+            "rule": F.when(F.col("pattern").isin("blind_retry", "tool_misuse"), "Read the failing log before you retry any command at all").otherwise(F.regexp_replace(F.translate(F.sha2("pattern", 256), "0123456789", "ghijklmnop"), "(.{6})", "$1 ")),
+            "occurrence_count": F.length("pattern"),
+        }
+    )
     paths = session_end.run(
         session_end.Inputs(
-            ratings, queries_measure.lessons(spark, sf), queries_measure.judged(spark, sf), queue, prior,
-            queries_ledger.edits(spark, sf), adapters.TAXONOMY,
+            ratings, lessons, queries_measure.judged(spark, sf), queue, prior, queries_ledger.edits(spark, sf), adapters.TAXONOMY,
+            labels=queries_ledger._unique_labels(spark, sf),
+            enforcement_log=adapters.view(spark, sf, adapters.ENFORCEMENT),
+            enforceable=spark.sql("SELECT * FROM VALUES ('click'), ('view') AS t(pattern)"),
+            overrides=spark.sql("SELECT * FROM VALUES ('click', 'block'), ('view', 'warn') AS t(pattern, mode)"),
+            variants=adapters.view(spark, sf, queries_ledger._VARIANTS),
+            cases=queries_ledger.cases(spark, sf),
+            baseline=spark.sql(queries_ledger._BASE),
+            audit=adapters.view(spark, sf, queries_ledger._AUDIT),
+            snapshots=adapters.view(spark, sf, queries_ledger._CHRONIC_SNAPS),
         ),
         str(tmp_path / "out"), queries_measure.AS_OF,
     )
+    read = lambda name: spark.read.parquet(paths[name])
+    merged = {tuple(r) for r in read("merges").select("survivor", "loser").collect()}
+    assert merged == {("blind_retry", "tool_misuse")} or merged == {("tool_misuse", "blind_retry")}
+    (survivor, loser), = merged
+    kept = {r.pattern: r.occurrence_count for r in read("lessons").collect()}
+    assert loser not in kept and kept[survivor] == len("blind_retry") + len("tool_misuse") and len(kept) == lessons.count() - 1
+    new = read("queue_new").collect()
+    assert {r.source for r in new} >= {"lesson_dedup"} and len({r.record_id for r in new}) == len(new)
+    after = read("queue")
+    assert after.count() == queue.count() + len(new)
+    assert after.where("status = 'pending' AND source = 'lesson_dedup'").count() == 0
+    moved = queue.unionByName(read("queue_new"), allowMissingColumns=True).where("status = 'pending'").count() - after.where("status = 'pending'").count()
+    assert read("queue_audit").count() == moved > 0
+    assert read("ratings_clean").count() + read("ratings_junk").count() == ratings.count()
+    assert read("suite_gate").where("split = 'gate'").count() == 1
+    assert read("playbook").count() <= read("bullets").count() <= len(kept)
+    for name in ("promotion_candidates", "enforcement_candidates", "evolve_eligible", "retired_lessons", "chronic_failures", "burn_in", "hygiene"):
+        assert name in paths and read(name).columns
     got = {tuple(r) for r in spark.read.parquet(paths["effectiveness"]).select("pattern", "verdict", "obj_verdict").collect()}
     want = {tuple(r) for r in queries_measure.scores(spark, sf).select("pattern", "verdict", "obj_verdict").collect()}
     assert got == want
