@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -132,8 +133,8 @@ def fit(docs: DataFrame, labelled: Column, rows: int = FIT_ROWS) -> dict[str, np
     return found
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], row: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with lang_pred and score.  The text is column ``text``, or that field of the struct column ``row``."""
     names = sorted(prototypes)
     held = np.array([prototypes[n] for n in names], dtype=np.float32).reshape(len(names), DIMENSIONS)
     shared = held.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS, dtype=np.float32)
@@ -144,7 +145,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                vectors = text_vectors(texts_of(batch.column(batch.schema.get_field_index("text"))))
+                column = batch.column(batch.schema.get_field_index(row or "text"))
+                vectors = text_vectors(texts_of(pc.struct_field(column, "text") if row else column))
                 if names:
                     best = (vectors @ apart.T).argmax(axis=1)
                     score = np.clip((vectors * held[best]).sum(axis=1, dtype=np.float64), 0, 1)

@@ -473,4 +473,4 @@ def test_pipeline_language_without_labels(spark):
     for lang in (None, "en"):
         docs = spark.createDataFrame([(held, "the cat and the dog", lang), (200, "der Hund", None), (201, None, None), (202, "12 ?!", None)], DOCS + ", lang string")
         kept = corpus_pipeline.language(spark, docs, SF)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {held, 200}
+        assert kept.columns == docs.columns and {r.doc_id: r.lang for r in kept.collect()} == {held: lang, 200: lang}
