@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences.
 
-    language      documents without any letter, for which no language can be told, go; scores and labels play no part
+    language      documents without any letter go; a missing language is filled in, by the greatest cosine, and none is overwritten
     near_dedup    of documents linked by five-word shingles at 0.8 similarity, the smallest id stays
     decontaminate documents that hold a benchmark passage go
     personal      personal data is replaced by tags, terms that reveal it are generalised or removed
@@ -28,11 +28,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prototypes = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    known = docs.select("doc_id", "text", "lang")
+    prototypes = fit(known, F.lit(True))
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes)
-    return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    rows = predict(docs.select(F.struct(*docs.columns).alias("row")), prototypes, "row").where(F.col("lang_pred") != UNKNOWN)
+    return rows.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
