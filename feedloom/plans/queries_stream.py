@@ -234,3 +234,28 @@ def stream_flatline(spark, sf):
     """Every source falls silent in turn, while the next ones go on."""
     arriving, lateness = late_slices(A.view(spark, sf, _SOURCES), "seconds", "event_id", "-end-")
     return streams.run_available(streams.flatline(arriving.withColumn("ts", F.timestamp_seconds("seconds")), 30, lateness))
+
+
+_LOGGED = """
+SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 17 = 3 THEN '{broken' WHEN event_id % 29 = 5 THEN '[1, 2' END AS odd FROM {events}
+"""
+
+
+@query(
+    "drained_log",
+    f"""WITH e AS ({_LOGGED}) SELECT 'clean' AS sink, event_id, user_id, event_type, value, NULL AS line FROM e WHERE odd IS NULL
+ UNION ALL SELECT 'quarantine', NULL, NULL, NULL, NULL, odd FROM e WHERE odd IS NOT NULL""",
+)
+def drained_log(spark, sf):
+    """All events as JSON lines with broken ones among them, drained in two calls: half of the files come in between."""
+    view = A.view(spark, sf, _LOGGED)
+    base = new_folder(spark, "log")
+    line = F.coalesce("odd", F.to_json(F.struct("event_id", "user_id", "event_type", "value")))
+    for half in (0, 1):
+        own = view.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).select(line.alias("value"))
+        own.repartition(spark.sparkContext.defaultParallelism).write.mode("append").text(f"{base}/in")
+        clean, broken = streams.drain_log(spark, f"{base}/in", "event_id long, user_id long, event_type string, value double", f"{base}/out", 5)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = clean.select(F.lit("clean").alias("sink"), "event_id", "user_id", "event_type", "value", none("string", "line"))
+    gone = broken.select(F.lit("quarantine").alias("sink"), none("long", "event_id"), none("long", "user_id"), none("string", "event_type"), none("double", "value"), "line")
+    return rows.union(gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ from feedloom.operators import policy, ratelimit, turns
 from feedloom.plans import adapters as A
 from feedloom.plans import checker as K
 from feedloom.plans.registry import query
+from feedloom.scale import prefix_sums
+from feedloom.session import ensure_checkpoint_dir
+from feedloom.sources import readers
 
 
 def transcript(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,3 +426,26 @@ SELECT event_id, allowed FROM w""",
 def rate_limited(spark, sf):
     df = A.view(spark, sf, _APPROVALS)
     return ratelimit.rate_limited(df, "host", "at_s", "event_id", gap=10, bucket=21600).select("event_id", "allowed")
+
+
+_LINES = """
+SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM {conversations}
+"""
+
+
+@query(
+    "transcript_lines",
+    f"""SELECT line AS seq, role AS type, concat('/c', CAST(conv_id AS VARCHAR)) AS cwd, text FROM ({_LINES}) WHERE line % 13 <> 4""",
+)
+def transcript_lines(spark, sf):
+    """All conversations written as one transcript file of odd lines (plain texts, blocks, broken ones) and read back."""
+    view = A.view(spark, sf, "SELECT conv_id, turn, role, text FROM {conversations}")
+    placed = prefix_sums(view, [], ["conv_id", "turn"], {"line": F.lit(1).cast("long")}).withColumn("line", F.col("line") - 1)
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    common = [F.col("role").alias("type"), F.concat(F.lit("/c"), F.col("conv_id").cast("string")).alias("cwd")]
+    plain = F.to_json(F.struct(*common, F.struct(F.col("text").alias("content")).alias("message")))
+    blocks = F.to_json(F.struct(*common, F.struct(block.alias("content")).alias("message")))
+    line = F.when(F.col("line") % 13 == 4, F.concat(F.lit("{broken "), F.col("role"))).when(F.col("line") % 3 == 0, blocks).otherwise(plain)
+    path = f"{ensure_checkpoint_dir(spark)}/transcript-{uuid.uuid4().hex}"
+    placed.orderBy("line").coalesce(1).select(line.alias("value")).write.text(path)
+    return readers.read_transcripts(spark, path).select("seq", "type", "cwd", "text")

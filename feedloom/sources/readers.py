@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import FILE_KINDS
@@ -129,21 +129,36 @@ def read_failures(spark: SparkSession, path: str, domain: str = "all") -> DataFr
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines ``file, line, value``; ``line`` counts from 0 in each file, whatever the splits are.
+
+    Lines of a split come in order, so a line's place in its split is its row number less the first one there; the number
+    of lines in the splits before it comes from a prefix sum over one row per split.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")
+    )
+    splits = lines.groupBy("file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(placed, ["file", "_start"]).select("file", (F.col("_before") + F.col("_row") - F.col("_first")).alias("line"), "value")
+
+
+def parsed_lines(lines: DataFrame, schema: str, text: str = "value") -> DataFrame:
+    """Add the fields of JSON lines and ``_corrupt``: the text of a line that is no object of the schema, else null."""
+    row = F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.withColumn("_row", row).select(*lines.columns, "_row.*")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Transcript rows ``session, seq, type, cwd, text, tools, blocks``.
 
-    Content may be a string or an array of blocks.  ``seq`` orders the rows of a file:
-    the split they came from, then their position in it.
+    Content may be a string or an array of blocks.  ``seq`` is the line's number in its file; malformed lines
+    keep their number and give no row (``transcript_quarantine`` lists them).
     """
-    raw = spark.read.schema(schemas.TRANSCRIPT_LINE).option("mode", "DROPMALFORMED").json(path)
-    placed = raw.select(
-        "*",
-        _file_stem(F.col("_metadata.file_path")).alias("session"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    seq = F.shiftleft(F.floor(F.col("_start") / 65536).cast("long"), 33) + within
+    lines = parsed_lines(numbered_lines(spark, path).where(strip(F.col("value")) != ""), schemas.TRANSCRIPT_LINE)
+    placed = lines.where("_corrupt IS NULL").select("*", _file_stem(F.col("file")).alias("session"))
+    seq = F.col("line")
     content = F.col("message.content")
     blocks = F.when(content.startswith("["), F.from_json(content, schemas.BLOCKS))
     step = placed.select("session", seq.alias("seq"), "type", "cwd", content.alias("_content"), blocks.alias("blocks"))
@@ -166,6 +181,12 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def transcript_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """``session, seq, value`` of the lines that ``read_transcripts`` can't read."""
+    lines = parsed_lines(numbered_lines(spark, path).where(strip(F.col("value")) != ""), schemas.TRANSCRIPT_LINE)
+    return lines.where("_corrupt IS NOT NULL").select(_file_stem(F.col("file")).alias("session"), F.col("line").alias("seq"), "value")
+
+
 def transcript_blocks(transcript: DataFrame) -> DataFrame:
     """One row per content block; plain text rows count as one text block."""
     plain = F.array(

@@ -30,6 +30,7 @@ from feedloom.functions.regex import strip
 from feedloom.functions.text import content_hash
 from feedloom.operators import policy, ratelimit
 from feedloom.session import ensure_checkpoint_dir
+from feedloom.sources.readers import parsed_lines
 
 
 # --- running ---------------------------------------------------------------------------------
@@ -63,6 +64,33 @@ def tail_log(spark: SparkSession, path: str, schema: StructType | str, files_per
     return rows.where(some)
 
 
+def drain_log(spark: SparkSession, path: str, schema: str, folder: str, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Take in what a directory of JSON lines holds now: (clean rows so far, quarantined lines so far).
+
+    A line that is no object of the schema goes to quarantine with its file.  ``folder`` holds both tables and the checkpoint;
+    a batch writes folders of its own number, so a replay after a failure leaves no duplicates, and a later call
+    takes in the files that came since.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    lines = reader.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file")).where(strip(F.col("_line")) != "")
+    parsed = parsed_lines(lines, schema, "_line")
+    fields = [c for c in parsed.columns if c not in ("_line", "_file", "_corrupt")]
+    clean, broken = f"{folder}/clean", f"{folder}/quarantine"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.where("_corrupt IS NULL").select(*fields).write.mode("overwrite").parquet(f"{clean}/batch={batch_id}")
+        batch.where("_corrupt IS NOT NULL").select("_file", "_line").write.mode("overwrite").parquet(f"{broken}/batch={batch_id}")
+        batch.unpersist()
+
+    empty = spark.createDataFrame([], parsed.schema)
+    save(empty, -1)  # there from the start
+    query = parsed.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = lambda at, columns: spark.read.schema(empty.select(*columns).schema).option("basePath", at).parquet(at).select(*columns)
+    return read(clean, fields), read(broken, ["_file", "_line"]).toDF("file", "line")
+
+
 # --- stateless ---------------------------------------------------------------------------------
 
 

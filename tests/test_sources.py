@@ -222,3 +222,22 @@ def test_session_end(spark, tmp_path):
     want = {tuple(r) for r in queries_measure.scores(spark, sf).select("pattern", "verdict", "obj_verdict").collect()}
     assert got == want
     assert spark.read.parquet(paths["health"]).count() == 6
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    rng_lines = [json.dumps({"type": "user", "cwd": f"/{k}", "message": {"content": "x" * (k * 37 % 400)}}) if k % 11 else "{odd" for k in range(900)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rng_lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(rng_lines[:50]))
+    seen = []
+    for size in ("4k", "64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        rows = readers.read_transcripts(spark, str(tmp_path)).select("session", "seq", "cwd").collect()
+        odd = readers.transcript_quarantine(spark, str(tmp_path)).select("session", "seq", "value").collect()
+        seen.append((sorted(rows), sorted(odd)))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == seen[1] == seen[2]
+    rows, odd = seen[0]
+    assert [tuple(r) for r in rows if r.session == "a"] == [("a", k, f"/{k}") for k in range(900) if k % 11]
+    assert [tuple(r) for r in odd if r.session == "b"] == [("b", k, "{odd") for k in range(50) if k % 11 == 0]
