@@ -237,7 +237,7 @@ def stream_flatline(spark, sf):
 
 
 _LOGGED = """
-SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 17 = 3 THEN '{broken' WHEN event_id % 29 = 5 THEN '[1, 2' END AS odd FROM {events}
+SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 17 = 3 THEN 'not json' WHEN event_id % 29 = 5 THEN '[1, 2' END AS odd FROM {events}
 """
 
 
