@@ -7,6 +7,8 @@ skew handling because they sit on the larger side of an equi-join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,42 @@ def merge_edges(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def incidences(hyperedges: DataFrame) -> DataFrame:
+    """(id, label, member) rows of hyperedges with a ``members`` array."""
+    return hyperedges.select("id", "label", F.explode("members").alias("member")).distinct()
+
+
+def member_sets(rows: DataFrame) -> DataFrame:
+    """Incidences (id, member and more) reduced to (id, set_key): equal for hyperedges over the same members.
+
+    The key is the number of distinct members with two sums of their hashes, so a hyperedge with very many members is
+    summed where its rows lie and never gathered.
+    """
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("member")).cast("decimal(38,0)"))
+    sums = rows.select("id", "member").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b"))
+    return sums.select("id", F.concat_ws(":", "n", "a", "b").alias("set_key"))
+
+
+def merge_hyperedges(*tables: DataFrame) -> DataFrame:
+    """(id, label, member) of all extractions, given as incidences; of hyperedges over the same members the
+    one of the first table stays, of one table the one with the lowest id.  An id that comes again with
+    other members in a later table is dropped there."""
+    tagged = [t.select(F.lit(i).alias("_src"), "id", "label", "member") for i, t in enumerate(tables)]
+    union = cut_lineage(reduce(DataFrame.unionByName, tagged).distinct())
+    first = union.groupBy("id").agg(F.min("_src").alias("_src"))
+    own = union.join(first, ["id", "_src"])
+    keyed = member_sets(own).join(first, "id")
+    chosen = keyed.groupBy("set_key").agg(F.min_by("id", F.struct("_src", "id")).alias("id")).select("id")
+    return own.join(chosen, "id", "left_semi").select("id", "label", "member")
+
+
+def prune_hyperedges(rows: DataFrame, kept: DataFrame, least: int = 2) -> DataFrame:
+    """Incidences of members that are still nodes (``kept``: id), of hyperedges that keep at least ``least`` of them."""
+    held = rows.join(kept.select(F.col("id").alias("member")).distinct(), "member", "left_semi")
+    enough = held.groupBy("id").agg(F.count_distinct("member").alias("n")).where(F.col("n") >= least).select("id")
+    return held.join(enough, "id", "left_semi").select("id", "label", "member")
+
+
 def edge_errors(edges: DataFrame) -> DataFrame:
     """Edges that break the confidence ranges or the id format, with the reason."""
     score = F.col("confidence_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import STOPWORDS_LESSONS, STOPWORDS_REMINDER, TEMPLATE_RULE, VERDICT_WEIGHT
@@ -285,6 +286,40 @@ def merged_edges(spark, sf):
     return graph.merge_edges(e.where("relation = 'buys_from'"), e.where("relation <> 'buys_from'"))
 
 
+_HYPER_OLD = """
+SELECT concat('nation_', CAST(s_nationkey AS STRING)) AS id, 'suppliers of a nation' AS label, concat('supplier_', CAST(s_suppkey AS STRING)) AS member FROM {supplier}
+"""
+_HYPER_NEW = """
+SELECT concat('again_', CAST(s_nationkey AS STRING)) AS id, 'found again' AS label, concat('supplier_', CAST(s_suppkey AS STRING)) AS member FROM {supplier} WHERE s_nationkey % 2 = 0
+UNION ALL SELECT concat('balance_', CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS STRING)), 'alike in balance', concat('supplier_', CAST(s_suppkey AS STRING)) FROM {supplier}
+UNION ALL SELECT concat('nation_', CAST(s_nationkey AS STRING)), 'changed', 'supplier_1' FROM {supplier}
+"""
+_HYPER_MERGED = f"""h AS (SELECT 0 AS src, * FROM ({_HYPER_OLD}) UNION SELECT 1, * FROM ({_HYPER_NEW})),
+o AS (SELECT * FROM h QUALIFY src = min(src) OVER (PARTITION BY id)),
+k AS (SELECT id, min(src) AS src, string_agg(DISTINCT member, ',' ORDER BY member) AS members FROM o GROUP BY id),
+c AS (SELECT id FROM k QUALIFY row_number() OVER (PARTITION BY members ORDER BY src, id) = 1),
+m AS (SELECT id, label, member FROM o WHERE id IN (SELECT id FROM c))"""
+
+
+def _hyperedges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.merge_hyperedges(A.view(spark, sf, _HYPER_OLD).distinct(), A.view(spark, sf, _HYPER_NEW).distinct())
+
+
+@query("merged_hyperedges", f"WITH {_HYPER_MERGED} SELECT * FROM m")
+def merged_hyperedges(spark, sf):
+    return _hyperedges(spark, sf)
+
+
+@query(
+    "pruned_hyperedges",
+    f"""WITH {_HYPER_MERGED}, p AS (SELECT m.* FROM m JOIN {{supplier}} s ON m.member = concat('supplier_', CAST(s_suppkey AS STRING)) WHERE s_acctbal >= 2000)
+SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY id) >= 2""",
+)
+def pruned_hyperedges(spark, sf):
+    kept = A.view(spark, sf, "SELECT concat('supplier_', CAST(s_suppkey AS STRING)) AS id FROM {supplier} WHERE s_acctbal >= 2000")
+    return graph.prune_hyperedges(_hyperedges(spark, sf), kept)
+
+
 @query(
     "upserted_graph",
     f"WITH {N}, m AS ({_NEW_NODES}) SELECT * FROM m UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM m)",
@@ -388,6 +423,18 @@ def shortest_path(spark, sf):
     return graph.shortest_path(edges(spark, sf), "nation_0", "nation_20")
 
 
+@query(
+    "path_relations",
+    f"""WITH sp AS ({CHECKS["shortest_path"]}), {E}, both_ways AS (SELECT source, target, relation, confidence FROM e UNION ALL SELECT target, source, relation, confidence FROM e),
+hops AS (SELECT sp.hop, sp.id, nx.id AS next_id FROM sp LEFT JOIN sp nx ON nx.hop = sp.hop + 1)
+SELECT hop, id, min(relation) AS relation, arg_min(confidence, relation) AS confidence FROM hops LEFT JOIN both_ways ON source = id AND target = next_id GROUP BY hop, id""",
+)
+def path_relations(spark, sf):
+    """The path with the relation of each hop."""
+    e = edges(spark, sf)
+    return graph.path_relations(graph.shortest_path(e, "nation_0", "nation_20"), e)
+
+
 @query(
     "explained_node",
     f"""WITH {N}, {E}, x AS (SELECT target AS id, relation, confidence FROM e WHERE source = 'nation_3' UNION SELECT source, relation, confidence FROM e WHERE target = 'nation_3')
