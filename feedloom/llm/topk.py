@@ -14,12 +14,14 @@ Search: a query first reads the annuli nearest to it until they hold ``FIRST`` v
 best score so far is its threshold; by the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) an
 annulus whose bound on the score is below the threshold can't hold a better vector, and the search
 stops there.  All other annuli are read.  Queries that visit a chunk of an annulus are dealt to blocks of about
-``BLOCK`` by id; a group is one chunk and one block, so it does not grow with the table.
+``BLOCK`` by id; a group is one chunk and one block, so it does not grow with the table.  A visit row holds up to ``QUERIES``
+queries of one chunk and block, as packed integers of the smallest width that fits; rows are given out in batches of about
+``OUT_BYTES``.
 
-Vectors that are null or empty, hold null or non-finite components or have no id take no part.  Of rows that
-share an id the smallest vector counts.  Shorter vectors are extended by zeros.  Equal scores go to the
+Vectors that are null, hold null or non-finite components or have no id take no part.  Of rows that
+share an id the smallest vector counts.  Shorter vectors, empty ones too, are extended by zeros.  Equal scores go to the
 smaller id.  Scores are exact; one beyond 64 bits raises an error.  Without queries or vectors the
-result is empty.
+result is empty.  Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from feedloom.llm.common import table, written
 
 PIVOTS, RINGS = 1024, 64
 CHUNK, QUERIES, BLOCK, FIRST = 2048, 256, 4096, 512
+OUT_BYTES = 1 << 23
 SLACK = 1e-9
 _EXACT = float(1 << 53)
 
@@ -43,7 +46,7 @@ _EXACT = float(1 << 53)
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and floor(scale * x) of the vectors that take part, one row per id."""
     x = F.col("embedding")
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    usable = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         vectors.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
         .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
@@ -106,10 +109,12 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
     spark = vectors.sparkSession
     base = written(integers(vectors, scale), "vectors")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    total, norm2, width = base.agg(F.count("*"), F.max(norm2), F.max(F.size("v"))).first()
+    largest = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))
+    total, norm2, width, largest = base.agg(F.count("*"), F.max(norm2), F.greatest(F.max(F.size("v")), F.lit(1)), F.max(largest)).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not total:
         return spark.createDataFrame([], result)
+    packed = next((t for t in ("<i2", "<i4") if largest <= np.iinfo(t).max), "<i8")
     n_pivots = int(min(PIVOTS, max(16, total**0.5 / 2)))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("v").collect()
     pivots = np.array([r.v + [0] * (width - len(r.v)) for r in chosen], dtype=np.int64)
@@ -169,20 +174,31 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
         return run
 
     def visits(first: bool, blocks: np.ndarray):
+        names = ["cell", "chunk", "block", "ids", "floors", "vectors"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
             for whole in batches:
                 for at in range(0, whole.num_rows, QUERIES):
                     batch = whole.slice(at, QUERIES)
-                    row, cell = np.nonzero(taken(batch, first))
-                    times = chunks[cell]
-                    rows = np.repeat(row, times)
-                    chunk = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-                    block = np.asarray(batch.column(3))[rows] % np.repeat(blocks[cell], times)
-                    out = batch.take(pa.array(rows))
-                    yield pa.record_batch(
-                        [out.column(0), out.column(1), out.column(2), pa.array(np.repeat(number[cell], times)), pa.array(chunk.astype(np.int64)), pa.array(block)],
-                        ["query_id", "q", "floor", "cell", "chunk", "block"],
-                    )
+                    seen = taken(batch, first)
+                    ids, floors, deal = (np.asarray(batch.column(k), dtype="<i8") for k in (0, 2, 3))
+                    vectors = matrix(batch.column(1), width).astype(packed)
+                    for c in np.flatnonzero(seen.any(axis=0)).tolist():
+                        own = np.flatnonzero(seen[:, c])
+                        of = deal[own] % blocks[c]
+                        for block in np.unique(of).tolist():
+                            part = own[of == block]
+                            held = ids[part].tobytes(), floors[part].tobytes(), vectors[part].tobytes()
+                            for chunk in range(int(chunks[c])):
+                                rows.append((int(number[c]), chunk, block, *held))
+                                size += sum(map(len, held))
+                                if size >= OUT_BYTES:
+                                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                                    rows, size = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
         return run
 
@@ -195,11 +211,11 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
         if len(queries) and len(own):
             x = np.stack([np.pad(v, (0, width - len(v))) for v in own["v"]]).astype(np.int64)
             ids = own["vec_id"].to_numpy()
-            for at in range(0, len(queries), QUERIES):
-                part = queries.iloc[at : at + QUERIES]
-                q = np.stack([np.pad(v, (0, width - len(v))) for v in part["q"]]).astype(np.int64)
+            for asking, least, vectors in zip(queries["ids"], queries["floors"], queries["vectors"]):
+                asking, least = np.frombuffer(asking, "<i8"), np.frombuffer(least, "<i8")
+                q = np.frombuffer(vectors, packed).reshape(-1, width).astype(np.int64)
                 scores = products(q, x)
-                for qid, floor, s in zip(part["query_id"], part["floor"], scores):
+                for qid, floor, s in zip(asking.tolist(), least.tolist(), scores):
                     ok = (ids != qid) & (s >= floor)
                     rows, s = ids[ok], s[ok]
                     by = np.lexsort((rows, -s))[:k]
@@ -217,7 +233,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
             blocks = np.array([max(1, -(-n.get(c, 0) // BLOCK)) for c in number.tolist()], dtype=np.int64)
             many = spark.createDataFrame(list(zip(number.tolist(), blocks.tolist())), "cell long, blocks long")
             copies = stored.join(many, "cell").select("cell", "chunk", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        pairs = asked.mapInArrow(visits(first, blocks), "query_id long, q array<long>, floor long, cell long, chunk long, block long")
+        pairs = asked.mapInArrow(visits(first, blocks), "cell long, chunk long, block long, ids binary, floors binary, vectors binary")
         right = copies.select("cell", "chunk", "block", "vec_id", "v").toDF("cell", "chunk", "block", "vec_id", "v")
         keys = ("cell", "chunk", "block")
         return pairs.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score long")
@@ -245,7 +261,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id
 ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10

@@ -133,9 +133,9 @@ def test_search_with_gaps_ties_and_copies(spark):
     rng = random.Random(4)
     data = [(k, [float(rng.randint(-2, 2)) for _ in range(4)]) for k in range(300)]
     data += [(k, [1.0, 1.0, 0.0, 0.0]) for k in range(300, 420)]
-    data += [(500, None), (501, [1.0, None, 1.0, 1.0]), (502, [float("nan")] * 4), (503, [float("inf")] * 4), (None, [1.0] * 4), (504, []), (600, [2.0])]
+    data += [(500, None), (501, [1.0, None, 1.0, 1.0]), (502, [float("nan")] * 4), (503, [float("inf")] * 4), (None, [1.0] * 4), (504, []), (600, [2.0]), (700, [])]
     df = spark.createDataFrame([(k, v, 1) for k, v in data], "vec_id long, embedding array<float>, score int")
-    good = {k: np.array([int(np.floor(1024 * x)) for x in v] + [0] * (4 - len(v))) for k, v in data if k is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    good = {k: np.array([int(np.floor(1024 * x)) for x in v] + [0] * (4 - len(v)), dtype=int) for k, v in data if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in (k for k in good if k % 100 == 0):
         best = sorted((-int(good[q] @ v), k) for k, v in good.items() if k != q)[:10]
@@ -144,8 +144,11 @@ def test_search_with_gaps_ties_and_copies(spark):
     assert rows(topk.search(df.where("false"), F.col("vec_id") % 100 == 0)) == []
 
 
-def test_search_in_query_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("scale", [1, 40_000, 1 << 40])
+def test_search_in_query_blocks(spark, monkeypatch, scale):
+    """Small blocks, small batches of visits, and components of two, four and eight bytes."""
     monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "OUT_BYTES", 300)
     rng = random.Random(14)
     data = {k: np.array([rng.randint(-2, 2) for _ in range(4)]) for k in range(300)}
     df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in data.items()], "vec_id long, embedding array<float>")
@@ -153,7 +156,17 @@ def test_search_in_query_blocks(spark, monkeypatch):
     for q in range(0, 300, 3):
         best = sorted((-int(data[q] @ v), k) for k, v in data.items() if k != q)[:10]
         want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
-    assert sorted(rows(topk.search(df, F.col("vec_id") % 3 == 0, scale=1))) == sorted(want)
+    scaled = [(q, r, k, s * scale * scale) for q, r, k, s in want]
+    if scale < 1 << 40:
+        assert sorted(rows(topk.search(df, F.col("vec_id") % 3 == 0, scale=scale))) == sorted(scaled)
+    else:
+        with pytest.raises(Exception, match="64 bits"):
+            topk.search(df, F.col("vec_id") % 3 == 0, scale=scale).collect()
+
+
+def test_search_of_empty_vectors_alone(spark):
+    df = spark.createDataFrame([(0, []), (1, []), (2, None)], "vec_id long, embedding array<float>")
+    assert sorted(rows(topk.search(df, F.col("vec_id") % 100 == 0))) == [(0, 1, 1, 0)]
 
 
 # --- personal data --------------------------------------------------------------------------
