@@ -30,6 +30,21 @@ def check_report(results: DataFrame) -> DataFrame:
     )
 
 
+def check_cube(results: DataFrame) -> DataFrame:
+    """Fired, failed and fail rate of every check by agent and skill, with subtotals (``level`` as grouping id).
+
+    ``results``: eval_id, passed, agent, skill.
+    """
+    failed = F.count_if(~F.coalesce(F.col("passed"), F.lit(False)))
+    sets = [["eval_id", "agent", "skill"], ["eval_id", "agent"], ["eval_id", "skill"], ["eval_id"]]
+    return results.groupingSets(sets, "eval_id", "agent", "skill").agg(
+        F.grouping_id().alias("level"),
+        F.count(F.lit(1)).alias("fired"),
+        failed.alias("failed"),
+        F.round(failed / F.count(F.lit(1)), 4).alias("fail_rate"),
+    )
+
+
 def pattern_stats(ratings: DataFrame, min_occurrences: int = 2) -> DataFrame:
     """Per pattern over low ratings: count, average, share and the action it leads to.
 

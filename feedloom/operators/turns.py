@@ -163,6 +163,13 @@ def turn_evidence(numbered: DataFrame, per_result: int = 2000, max_chars: int =
     )
 
 
+def turns_with_evidence(numbered: DataFrame, per_result: int = 2000, max_chars: int = 12000) -> DataFrame:
+    """Every answered turn with its response, tool counts and the tool results it stands on ('' where there are none)."""
+    evidence = turn_evidence(numbered, per_result, max_chars)
+    joined = summarize_turns(numbered).join(evidence, ["session", "turn_no"], "left")
+    return joined.withColumn("evidence", F.coalesce("evidence", F.lit("")))
+
+
 def cost_proxy(events: DataFrame, top: int = 10) -> DataFrame:
     """Most expensive sessions by messages, tool calls and text, with the tool ratio.
 

@@ -375,6 +375,14 @@ def incremental_files(spark, sf):
     return graph.incremental_files(A.view(spark, sf, A.FILES_BEFORE), A.view(spark, sf, A.FILES_NOW))
 
 
+@query(
+    "code_only",
+    f"SELECT count(*) AS files, coalesce(bool_and(is_code), true) AS code_only FROM ({CHECKS['incremental_files']}) WHERE status IN ('new', 'changed')",
+)
+def code_only(spark, sf):
+    return graph.code_only(incremental_files(spark, sf))
+
+
 @query(
     "matched_nodes",
     f"""WITH {N} SELECT id, CAST(contains(lower(label), 'customer') AS INT) + CAST(contains(lower(label), '0042') AS INT) + CAST(contains(lower(label), '9') AS INT) AS score

@@ -13,6 +13,7 @@ from feedloom.plans.queries_measure import AS_OF, EFFECTIVENESS, ratings, scores
 from feedloom.plans.queries_reports import full_ratings
 from feedloom.plans.queries_measure import worst_side_effect
 from feedloom.plans.registry import CHECKS, query
+from feedloom.scale import prefix_sums
 
 Q = f"q AS ({A.QUEUE})"
 _AGE = f"CAST(date_diff('day', CAST(detected_at AS DATE), DATE '{A.QUEUE_AS_OF}') AS INT)"
@@ -307,9 +308,8 @@ def rubric_summary(spark, sf):
     return ledger.rubric_summary(ledger.expectation_errors(cases(spark, sf)))
 
 
-_TRIALS = """
-SELECT CAST(user_id AS STRING) AS task, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS trial_no, value > 2 AS ok FROM {events}
-"""
+_RUNS = "SELECT CAST(user_id AS STRING) AS task, event_id, value > 2 AS ok FROM {events}"
+_TRIALS = f"SELECT task, CAST(row_number() OVER (PARTITION BY task ORDER BY event_id) - 1 AS INT) AS trial_no, ok FROM ({_RUNS})"
 
 
 @query(
@@ -318,7 +318,8 @@ SELECT CAST(user_id AS STRING) AS task, CAST(row_number() OVER (PARTITION BY use
 SELECT count(*) AS tasks, round(avg(CAST(e AS INT)), 4) AS pass_hat_k, round(avg(CAST(s AS INT)), 4) AS pass_at_k FROM p""",
 )
 def pass_hat_k(spark, sf):
-    return ledger.pass_k(A.view(spark, sf, _TRIALS), 4)
+    placed = prefix_sums(A.view(spark, sf, _RUNS), ["task"], ["event_id"], {"place": F.lit(1).cast("long")})
+    return ledger.pass_k(placed.select("task", (F.col("place") - 1).cast("int").alias("trial_no"), "ok"), 4)
 
 
 # --- promotion --------------------------------------------------------------------------------
@@ -586,3 +587,39 @@ def queued_side_effects(spark, sf):
 )
 def queued_promotions(spark, sf):
     return ledger.queue_promotions(promotion_candidates(spark, sf), queue(spark, sf), A.QUEUE_AS_OF)
+
+
+# --- what was tried, what is registered ---------------------------------------------------------
+
+_TRIED = """
+SELECT concat('skill_', CAST(p_size % 7 AS STRING)) AS skill, concat('pattern_', CAST(p_partkey AS STRING)) AS pattern, p_brand AS applied,
+ CASE WHEN p_partkey % 3 = 0 THEN 'active' ELSE 'reverted' END AS status FROM {part}
+"""
+
+
+@query(
+    "prior_failed",
+    f"SELECT skill, pattern, applied, row_number() OVER (PARTITION BY skill ORDER BY applied DESC, pattern) AS rank FROM ({_TRIED}) WHERE status = 'reverted' QUALIFY rank <= 5",
+)
+def prior_failed(spark, sf):
+    return ledger.prior_failed(A.view(spark, sf, _TRIED)).select("skill", "pattern", "applied", "rank")
+
+
+_IN_CODE = "SELECT concat('check_', CAST(p_partkey AS STRING)) AS eval_id, CAST(p_size % 3 AS INT) AS version FROM {part} WHERE p_partkey % 3 <> 0"
+_REGISTRY = f"""
+SELECT concat('check_', CAST(p_partkey AS STRING)) AS eval_id, CAST((p_size + p_partkey % 2) % 3 AS INT) AS version,
+ {A.case("p_partkey % 5", ["active", "active", "retired", "orphaned", "active"])} AS status FROM {{part}} WHERE p_partkey % 4 <> 1
+"""
+
+
+@query(
+    "reconciled_registry",
+    f"""WITH c AS ({_IN_CODE}), r AS ({_REGISTRY}), j AS (SELECT coalesce(c.eval_id, r.eval_id) AS eval_id, c.eval_id IS NOT NULL AS in_code, c.version AS cv, r.version AS rv, r.status AS st
+ FROM c FULL JOIN r ON c.eval_id = r.eval_id)
+SELECT eval_id, coalesce(cv, rv) AS version, CASE WHEN in_code THEN 'active' WHEN st = 'active' THEN 'orphaned' ELSE st END AS status,
+ concat_ws(',', CASE WHEN in_code AND st IS NULL THEN 'added' END, CASE WHEN in_code AND st IS NOT NULL AND cv <> rv THEN 'version' END, CASE WHEN in_code AND st = 'retired' THEN 'reactivated' END,
+ CASE WHEN in_code AND st = 'orphaned' THEN 'un-orphaned' END, CASE WHEN NOT in_code AND st = 'active' THEN 'orphaned' END) AS changes FROM j""",
+)
+def reconciled_registry(spark, sf):
+    out = ledger.reconcile_registry(A.view(spark, sf, _IN_CODE), A.view(spark, sf, _REGISTRY))
+    return out.withColumn("changes", F.array_join("changes", ","))

@@ -23,6 +23,7 @@ from feedloom.fixed_values import (
     STOPWORDS_LESSONS,
     SYSTEM_WORDS,
 )
+from feedloom.functions import checks
 from feedloom.functions import lessons as lesson_text
 from feedloom.functions import text as T
 from feedloom.operators import classify, reports
@@ -229,6 +230,16 @@ def attribution_cube(spark, sf):
     return reports.attribution_cube(A.view(spark, sf, A.RATINGS))
 
 
+@query(
+    "check_cube",
+    f"""WITH r AS ({A.RATINGS}), f AS {K.fired('r', 'response_preview', 'agent, skill')}
+SELECT eval_id, agent, skill, grouping(eval_id, agent, skill) AS level, count(*) AS fired, count(*) FILTER (NOT passed) AS failed,
+ round(count(*) FILTER (NOT passed) / count(*), 4) AS fail_rate FROM f GROUP BY GROUPING SETS ((eval_id, agent, skill), (eval_id, agent), (eval_id, skill), (eval_id))""",
+)
+def check_cube(spark, sf):
+    return reports.check_cube(checks.score(A.view(spark, sf, A.RATINGS), "response_preview", ["agent", "skill"]))
+
+
 @query(
     "learning_routes",
     f"""WITH r AS ({A.RATINGS}), t AS (SELECT *, lower(concat(response_preview, ' ', sentiment_summary)) AS c FROM r WHERE rating < 5 AND trim(response_preview) <> '')

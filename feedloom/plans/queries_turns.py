@@ -199,6 +199,17 @@ def turn_evidence(spark, sf):
     return turns.turn_evidence(turns.number_turns(transcript(spark, sf)))
 
 
+@query(
+    "turns_with_evidence",
+    f"""WITH {_TURN_TABLE}, ev AS (SELECT session, turn_no, right(string_agg(substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY seq), 12000) AS evidence
+ FROM nt WHERE type = 'tool_result' GROUP BY ALL)
+SELECT session, turn_no, response, n_tools, coalesce(evidence, '') AS evidence FROM tt LEFT JOIN ev USING (session, turn_no) WHERE turn_no > 0""",
+)
+def turns_with_evidence(spark, sf):
+    numbered = turns.number_turns(transcript(spark, sf))
+    return turns.turns_with_evidence(numbered).select("session", "turn_no", "response", "n_tools", "evidence")
+
+
 @query(
     "cost_proxy",
     f"""WITH tr AS ({A.TRANSCRIPT}), p AS (SELECT session, count(*) FILTER (text <> '') AS messages, {_TOOL('', '')} AS tool_calls,
