@@ -294,6 +294,35 @@ def budgeted_context(nodes: DataFrame, reached: DataFrame, terms: list[str], tok
     )
 
 
+def context_lines(nodes: DataFrame, edges: DataFrame, reached: DataFrame, terms: list[str], tokens: int = 2000) -> DataFrame:
+    """The subgraph as text within the budget: lines of nodes by relevance, then lines of the steps between layers.
+
+    A node line names file and location (empty where the nodes have none), an edge line the relation, the lowest one of
+    parallel edges, and its confidence.  (``place``, ``line``, ``used``).
+    """
+    budget = tokens * 4
+    location = F.coalesce(F.col("source_location"), F.lit("")) if "source_location" in nodes.columns else F.lit("")
+    label = F.coalesce("label", "id")
+    inside = nodes.join(reached.select("id"), "id", "left_semi").withColumn("_label", label).withColumn("_loc", location)
+    of_node = F.concat(F.lit("NODE "), "_label", F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" loc="), "_loc", F.lit("]"))
+    lines = inside.select(F.lit(0).alias("kind"), (-_hits(F.col("label"), terms)).alias("rank"), F.col("id").alias("place"), of_node.alias("line"))
+    # Only lines that can still fit matter: a line takes two characters at least.
+    lines = lines.orderBy("rank", "place").limit(budget)
+    there = edges.select("source", "target", "relation", "confidence")
+    both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "confidence"))
+    known = both.groupBy("source", "target").agg(F.min("relation").alias("relation"), F.min_by("confidence", F.struct("relation", "confidence")).alias("confidence"))
+    named = inside.select("id", "_label")
+    steps = bfs_edges(edges, reached).orderBy("source", "target").limit(budget).join(known, ["source", "target"])
+    steps = steps.join(named.select(F.col("id").alias("source"), F.col("_label").alias("_from")), "source")
+    steps = steps.join(named.select(F.col("id").alias("target"), F.col("_label").alias("_to")), "target")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    of_edge = F.concat(F.lit("EDGE "), "_from", F.lit(" --"), text("relation"), F.lit(" ["), text("confidence"), F.lit("]--> "), "_to")
+    steps = steps.select(F.lit(1).alias("kind"), F.lit(0).alias("rank"), F.concat("source", F.lit(">"), "target").alias("place"), of_edge.alias("line"))
+    first = lines.unionByName(steps).orderBy("kind", "rank", "place").limit(budget)
+    order = Window.orderBy("kind", "rank", "place").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("used", F.sum(F.length("line") + 1).over(order)).where(F.col("used") <= budget).select("place", "line", "used")
+
+
 # --- analysis ---------------------------------------------------------------------------------
 
 

@@ -463,6 +463,22 @@ def budgeted_context(spark, sf):
     return graph.budgeted_context(nodes(spark, sf), reached, ["supplier"])
 
 
+@query(
+    "context_lines",
+    f"""WITH RECURSIVE {N}, {_UND}, rr(id, depth) AS (SELECT 'supplier_1', 0 UNION SELECT dst, depth + 1 FROM rr JOIN u ON u.src = rr.id WHERE depth < 3),
+r AS (SELECT id, min(depth) AS depth FROM rr GROUP BY id),
+bw AS (SELECT source, target, relation, confidence FROM e UNION ALL SELECT target, source, relation, confidence FROM e),
+k AS (SELECT source, target, min(relation) AS relation, arg_min(confidence, (relation, confidence)) AS confidence FROM bw GROUP BY ALL),
+l AS (SELECT 0 AS kind, -CAST(contains(lower(label), 'customer') AS INT) AS rank, id AS place, concat('NODE ', label, ' [src=', source_file, ' loc=]') AS line FROM n WHERE id IN (SELECT id FROM r)
+ UNION ALL SELECT 1, 0, concat(a.id, '>', b.id), concat('EDGE ', x.label, ' --', k.relation, ' [', k.confidence, ']--> ', y.label)
+ FROM r a JOIN k ON k.source = a.id JOIN r b ON b.id = k.target AND b.depth = a.depth + 1 JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id),
+c AS (SELECT *, CAST(sum(length(line) + 1) OVER (ORDER BY kind, rank, place) AS BIGINT) AS used FROM l) SELECT place, line, used FROM c WHERE used <= 400000""",
+)
+def context_lines(spark, sf):
+    e = edges(spark, sf)
+    return graph.context_lines(nodes(spark, sf), e, graph.reach(e, _start(spark, sf), 3), ["customer"], 100_000)
+
+
 _DEG = "d AS (SELECT src AS id, count(*) AS degree FROM u GROUP BY src)"
 
 
