@@ -164,3 +164,68 @@ def test_chat_keeps_to_its_own_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", "p", 5), (1, 1, "assistant", "b" * 200_000, "p", 5)], "conv_id long, turn long, role string, text string, piece string, seq int")
     back = chat.read_back(chat.formatted(df)).first()
     assert (back.n_turns, back.loss_chars) == (2, 200_000)
+
+
+# --- packing ---------------------------------------------------------------------------------
+
+
+def test_every_column_of_the_packing_against_the_library(spark):
+    import zlib
+
+    import duckdb
+
+    from feedloom.llm.queries import QUERIES
+    from feedloom.llm.tokens import ByteLevelIds
+
+    sf = "/root/testdata/sf0.001"
+    tokenizer = ByteLevelIds("byte_bpe_50k.json").tokenizer
+    docs = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf}/documents.parquet'").fetchall()
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in docs}
+    pieces, sequences = {}, {}
+    for r in QUERIES["op4_packing"](spark, sf).collect():
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.length > 0
+        assert r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for k, own in ids.items():
+        at = 0
+        for start, length in sorted(pieces[k]):
+            assert start == at
+            at += length
+        assert at == len(own)
+    total = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        total += at
+    assert total == sum(map(len, ids.values())) and len(sequences) <= -(-total // 1024) + 8
+
+
+# --- added spans of secrets ---------------------------------------------------------------------
+
+
+def test_discoveries_by_a_direct_loop():
+    """The Benjamini-Hochberg rule over binned p-values, per stratum, against the rule over all p-values."""
+    rng = random.Random(9)
+    for _ in range(20):
+        runs = [(rng.randrange(5), min(secrets.BINS, int(rng.expovariate(0.2) * rng.choice([1, 1, 8])))) for _ in range(400)]
+        counts = {}
+        for r in runs:
+            counts[r] = counts.get(r, 0) + 1
+        least = secrets.thresholds(counts)
+        for s in range(5):
+            p = sorted(10 ** (-b / secrets.PER_DECADE) for k, b in runs if k == s)
+            passing = [x for i, x in enumerate(p, 1) if x * len(p) <= secrets.RATE * i]
+            want = sum(x <= passing[-1] for x in p) if passing else 0
+            assert sum(k == s and b >= least[s] for k, b in runs) == want
+
+
+def test_battery_tells_random_from_text_and_patterns():
+    rng = random.Random(10)
+    passed = [secrets.battery([rng.randrange(62) for _ in range(48)], 62) > secrets.ALPHA for _ in range(300)]
+    assert sum(passed) >= 290
+    assert secrets.battery(list(range(48)), 62) < secrets.ALPHA and secrets.battery([1, 60] * 24, 62) < secrets.ALPHA
