@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labelled: Column, rows: int = FIT_ROWS) -> dict[str, np
             vectors = text_vectors(texts_of(batch.column(0)))
             for lang in np.unique(langs):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
+        grams.cache_clear()  # workers outlive the stage
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     sums = usable.select("text", "lang").mapInArrow(bundle, "lang string, v array<double>")
@@ -156,6 +157,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], row: str | None
                 pred = [UNKNOWN if e else names[b] for e, b in zip(empty, best)]
                 out = batch.append_column("lang_pred", pa.array(pred, pa.string()))
                 yield out.append_column("score", pa.array(np.where(empty, 0.0, score), pa.float64()))
+        grams.cache_clear()  # workers outlive the stage
 
     kept = docs.drop("lang_pred", "score")
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
