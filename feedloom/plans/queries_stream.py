@@ -22,9 +22,10 @@ _DAY = 86_400  # a watermark starts at the epoch, so the times here start a day
 
 
 def stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    """The table's file as a stream."""
+    """The table as a stream, be it one file or a folder of files."""
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    # As a pattern: a plain path to a file would be taken for the folder of the stream.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
 
 
 def stream_view(spark: SparkSession, sf: str, sql: str, table: str) -> DataFrame:

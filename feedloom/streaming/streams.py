@@ -155,6 +155,7 @@ def write_routes(routed: DataFrame, ratings_path: str, judge_path: str, checkpoi
         batch.where("route = 'judge'").write.mode("overwrite").parquet(f"{judge_path}/batch={batch_id}")
         batch.unpersist()
 
+    save(routed.sparkSession.createDataFrame([], routed.schema), -1)  # there from the start
     return (
         routed.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)

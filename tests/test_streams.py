@@ -165,3 +165,28 @@ def test_tail_log(spark, tmp_path):
     (d / "a.jsonl").write_text(json.dumps({"pattern": "p", "mode": "warn"}) + "\n{broken\n")
     got = streams.run_available(streams.tail_log(spark, str(d), "pattern string, mode string"))
     assert [r["pattern"] for r in got.collect()] == ["p"]
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    """Tables that are folders of files, as a writer other than the test data's leaves them."""
+    base = tmp_path_factory.mktemp("tables")
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(str(base / f"{t}.parquet"))
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["stream_prompt_sinks", "stream_prompt_routes", "stream_policy"])
+def test_streams_read_tables_that_are_folders(spark, folder_tables, name):
+    from feedloom.plans.catalog import QUERIES
+
+    got, want = QUERIES[name](spark, folder_tables), QUERIES[name](spark, SF)
+    assert rows(got, *want.columns) == rows(want, *want.columns) != []
+
+
+def test_routes_of_an_empty_stream(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    source = spark.readStream.schema("prompt string, sentiment_rating int, sentiment_confidence double, response string").parquet(str(tmp_path / "none"))
+    kept, judged = str(tmp_path / "kept"), str(tmp_path / "judged")
+    streams.write_routes(streams.route_prompts(source), kept, judged, str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(kept).count() == spark.read.parquet(judged).count() == 0
