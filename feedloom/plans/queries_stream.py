@@ -52,7 +52,8 @@ def late_slices(view: DataFrame, order: str, salt: str, last: str, units: int =
     for k in range(SLICES + 1):
         view.where(slice_no == k).repartition(files).write.mode("append").parquet(path)
     first = view.columns[0]
-    values = {order: F.lit(high + 1000 * 86_400 * units), first: F.lit(last)}
+    # The watermark stays a lateness behind that row, and the lateness grows with the span of the view.
+    values = {order: F.lit(high + 3 * width + 1000 * 86_400 * units), first: F.lit(last)}
     end = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in view.schema])
     end.write.mode("append").parquet(path)
     stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -190,3 +190,26 @@ def test_routes_of_an_empty_stream(spark, tmp_path):
     kept, judged = str(tmp_path / "kept"), str(tmp_path / "judged")
     streams.write_routes(streams.route_prompts(source), kept, judged, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(kept).count() == spark.read.parquet(judged).count() == 0
+
+
+@pytest.fixture(scope="module")
+def far_events(spark, tmp_path_factory):
+    """Events whose ids, which stand in for their times, span fifty times as many years."""
+    base = tmp_path_factory.mktemp("far")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    copies = [events.withColumn("event_id", F.col("event_id") + k * 1_000_000) for k in (0, 1, 2, 6)]
+    for c in copies:
+        c.coalesce(1).write.mode("append").parquet(str(base / "events.parquet"))
+    return str(base)
+
+
+def test_the_last_row_ends_a_stream_of_many_years(spark, far_events):
+    from feedloom.plans import queries_stream
+    from feedloom.plans.catalog import QUERIES
+
+    want = adapters.view(spark, far_events, queries_stream._SOURCES).groupBy("source").agg((F.max("seconds") * 1000).alias("newest_ms"))
+    assert rows(QUERIES["stream_flatline"](spark, far_events), "source", "newest_ms") == rows(want, "source", "newest_ms")
+    kept = adapters.view(spark, far_events, queries_stream._EPISODES)
+    for key in ("episode_body", "name"):
+        kept = ratelimit.rate_limited(kept, key, "ts_seconds", "event_id", 7 * 86_400, 10**8).where("allowed").drop("allowed")
+    assert rows(QUERIES["stream_dedupe"](spark, far_events), "event_id") == rows(kept, "event_id")
