@@ -27,13 +27,13 @@ def _chain_end(times: np.ndarray, gap: int) -> np.ndarray:
     return end
 
 
-def _steps(gap: int, bucket: int):
+def _steps(gap: int):
     def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows["_t"].to_numpy())
-        start = key[1] * bucket
         ends = times[_chain_end(times, gap)]
-        # Only an entry within the first gap, or the first event after it, can start the chain.
-        n = min(len(times), int(np.searchsorted(times, start + gap, side="left")) + 1)
+        # The last allowed time lies before all of these, be it in this bucket, so only an event within
+        # a gap of the first one, or the first event after that, can start the chain.
+        n = min(len(times), int(np.searchsorted(times, times[0] + gap, side="left")) + 1)
         last_of_run = np.append(ends[1:n] != ends[: n - 1], True)
         return pd.DataFrame(
             {"_key": key[0], "_b": key[1], "upto": times[:n][last_of_run], "end": ends[:n][last_of_run]}
@@ -76,14 +76,14 @@ def _allowed(gap: int):
 
 def allowed_marks(marks: DataFrame, gap: int, bucket: int, clocks: DataFrame | None = None) -> DataFrame:
     """(_key, _t) of the allowed ones of distinct ``marks`` (_key, _t), after the last allowed times ``clocks``
-    (_key, _last) of keys before them.
+    (_key, _last) of keys before them.  A clock may lie in the bucket of a key's first marks, but before these.
 
     A group holds one time bucket of a key, or one short step function per bucket.
     """
     slots = marks.select("_key", F.floor(F.col("_t") / bucket).cast("long").alias("_b"), "_t")
     key_type = dict(slots.dtypes)["_key"]
     steps = slots.groupBy("_key", "_b").applyInPandas(
-        _steps(gap, bucket), f"_key {key_type}, _b long, upto long, end long"
+        _steps(gap), f"_key {key_type}, _b long, upto long, end long"
     )
     if clocks is not None:
         none = F.lit(None).cast("long")

@@ -8,6 +8,7 @@ past them, state is one small record per key, and idle keys leave it.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,6 +34,9 @@ from feedloom.session import ensure_checkpoint_dir
 from feedloom.sources.readers import parsed_lines
 
 
+CHAIN_ROWS = 50_000  # at most so many times of a key in a group of ``spaced``, or one bucket of them
+
+
 # --- running ---------------------------------------------------------------------------------
 
 
@@ -183,37 +187,38 @@ def fires_window(
 # --- stateful -----------------------------------------------------------------------------------------
 
 
-def _waiting(held: Sequence, names: Sequence[str], chunks: Iterator[pd.DataFrame], order: list[str], same: list[str]) -> pd.DataFrame:
-    """Rows held so far (a list per column) and new ones in order, one of those that are the same."""
-    rows = pd.DataFrame({n: list(c) for n, c in zip(names, held)}, columns=list(names), dtype=object)
+def _waiting(held: Sequence, names: Sequence[str], chunks: Iterator[pd.DataFrame], same: int) -> list[tuple]:
+    """Rows held so far (a list per column) and new ones in the order of their first two columns, one of those whose
+    first ``same`` columns are equal.  Plain tuples: a key has few rows, for which a frame costs more than its rows."""
+    rows = list(zip(*held))
     for chunk in chunks:
-        rows = pd.concat([rows, chunk[list(names)].astype(object)]).sort_values(order, kind="stable").drop_duplicates(same)
-    return rows.reset_index(drop=True)
+        rows += zip(*(chunk[n].tolist() for n in names))
+    rows.sort(key=lambda r: (r[0], r[1] is None, r[1]))
+    return [r for i, r in enumerate(rows) if i == 0 or r[:same] != rows[i - 1][:same]]
 
 
-def _columns(rows: pd.DataFrame) -> list[list]:
-    return [rows[c].tolist() for c in rows.columns]
+def _columns(rows: list[tuple], names: Sequence[str]) -> list[list]:
+    return [list(c) for c in zip(*rows)] if rows else [[] for _ in names]
 
 
 def _gap_filter(gap: int, unit_ms: int, names: Sequence[str]):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, *held = state.get if state.exists else (None, *([] for _ in names))
         now = state.getCurrentWatermarkMs()
-        rows = _waiting(held, names, () if state.hasTimedOut else chunks, ["at", "event_id"], ["at"])
-        at = rows["at"].to_numpy(dtype="int64")
+        rows = _waiting(held, names, () if state.hasTimedOut else chunks, 1)
+        at = np.array([r[0] for r in rows], dtype="int64")
         ready, passed = int(np.searchsorted(at, now // unit_ms, side="right")), []
         while (i := 0 if last is None else int(np.searchsorted(at[:ready], last + gap))) < ready:
             passed.append(i)
             last = int(at[i])
         open_at = int(at[ready]) if ready < len(at) else last + gap
         if open_at * unit_ms > now:
-            state.update((last, *_columns(rows.iloc[ready:])))
+            state.update((last, *_columns(rows[ready:], names)))
             state.setTimeoutTimestamp(open_at * unit_ms)
         elif state.exists:
             state.remove()
-        out = rows.iloc[passed]
-        out.insert(0, "key", key[0])
-        yield out
+        if passed:
+            yield pd.DataFrame([(key[0], *rows[i]) for i in passed], columns=["key", *names])
 
     return step
 
@@ -269,7 +274,10 @@ def spaced(
     def decide(batch: DataFrame, batch_id: int) -> None:
         session, closed = batch.sparkSession, batch.persist()
         known = session.read.schema(clock_type).parquet(f"{folder}/clocks/batch={batch_id - 1}") if batch_id else None
-        allowed = ratelimit.allowed_marks(closed, gap, bucket, known).join(closed, ["_key", "_t"])
+        # Sparse buckets go together, so that a group of the chain is worth its fixed cost.
+        most = closed.groupBy("_key", F.floor(F.col("_t") / bucket)).count().agg(F.max("count")).first()[0]
+        together = max(1, CHAIN_ROWS // (most or 1))
+        allowed = ratelimit.allowed_marks(closed, gap, together * bucket, known).join(closed, ["_key", "_t"])
         result = f"{folder}/passed/batch={batch_id}"
         allowed.select(F.col("_key").alias("key"), F.col("_tie").alias("event_id"), F.col("_t").alias("at")).write.mode("overwrite").parquet(result)
         passed = session.read.schema(schema).parquet(result).select(F.col("key").alias("_key"), F.col("at").alias("_last"))
@@ -369,39 +377,40 @@ def _turns(idle_ms: int):
         turn, n_tools, tools, evidence, last, *held = state.get if state.exists else (0, 0, [], [], None, *([] for _ in _TURN_COLUMNS))
         tools, evidence, done = list(tools), list(evidence), []
         now = state.getCurrentWatermarkMs()
-        rows = _waiting(held, _TURN_COLUMNS, () if state.hasTimedOut else chunks, ["ms", "seq"], ["ms", "seq"])
-        ready = int(np.searchsorted(rows["ms"].to_numpy(dtype="int64"), now, side="right"))
+        rows = _waiting(held, _TURN_COLUMNS, () if state.hasTimedOut else chunks, 2)
+        ready = bisect_right(rows, now, key=lambda r: r[0])
 
         def close() -> None:
             if turn > 0:
                 done.append((key[0], turn, n_tools, ",".join(tools), "\n---\n".join(evidence)[-EVIDENCE_CHARS:]))
 
-        for row in rows.iloc[:ready].itertuples():
-            if last is not None and row.ms - last >= idle_ms:
+        for ms, _seq, kind, text, called in rows[:ready]:
+            if last is not None and ms - last >= idle_ms:
                 close()
                 turn, n_tools, tools, evidence = 0, 0, [], []
-            last = int(row.ms)
-            if row.kind == "prompt":
+            last = ms
+            if kind == "prompt":
                 close()
                 turn, n_tools, tools, evidence = turn + 1, 0, [], []
-            elif row.kind == "tools":
-                named = row.tools.split(",")
+            elif kind == "tools":
+                named = called.split(",")
                 n_tools += len(named)
                 tools += [t for t in dict.fromkeys(named) if t not in tools]
             else:
-                evidence = [*evidence, row.text][-EVIDENCE_ITEMS:]
-        rest = rows.iloc[ready:]
+                evidence = [*evidence, text][-EVIDENCE_ITEMS:]
+        rest = rows[ready:]
         if last is not None and last + idle_ms <= now:
             close()
             turn, n_tools, tools, evidence, last = 0, 0, [], [], None
-        ends = [int(rest["ms"].iloc[0])] if len(rest) else []
+        ends = [rest[0][0]] if rest else []
         ends += [last + idle_ms] if last is not None else []
         if ends:
-            state.update((turn, n_tools, tools, evidence, last, *_columns(rest)))
+            state.update((turn, n_tools, tools, evidence, last, *_columns(rest, _TURN_COLUMNS)))
             state.setTimeoutTimestamp(min(ends))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(done, columns=["session", "turn_no", "n_tools", "tools", "evidence"])
+        if done:
+            yield pd.DataFrame(done, columns=["session", "turn_no", "n_tools", "tools", "evidence"])
 
     return step
 

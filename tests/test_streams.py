@@ -213,3 +213,28 @@ def test_the_last_row_ends_a_stream_of_many_years(spark, far_events):
     for key in ("episode_body", "name"):
         kept = ratelimit.rate_limited(kept, key, "ts_seconds", "event_id", 7 * 86_400, 10**8).where("allowed").drop("allowed")
     assert rows(QUERIES["stream_dedupe"](spark, far_events), "event_id") == rows(kept, "event_id")
+
+
+def test_spacing_with_buckets_taken_together(spark, tmp_path, monkeypatch):
+    """Whole chains in one group, across batches that end inside such a group; ten times as few groups as buckets."""
+    from feedloom.operators import ratelimit as operator
+
+    schema = "key string, event_id long, at long"
+    data = [("a", k, 100_000 + 3 * k + k % 2) for k in range(2000)] + [("b", 5000 + k, 100_000 + 11 * k) for k in range(500)]
+    out, groups = tmp_path / "in", []
+    real = operator.allowed_marks
+
+    def seen(marks, gap, bucket, clocks=None):
+        groups.append((bucket, marks.count()))
+        return real(marks, gap, bucket, clocks)
+
+    monkeypatch.setattr(operator, "allowed_marks", seen)
+    data.sort(key=lambda r: r[2])
+    for i in range(4):
+        spark.createDataFrame(data[i * 625 : (i + 1) * 625], schema).coalesce(1).write.mode("append").parquet(str(out))
+    spark.createDataFrame([("-", -1, 10**8)], schema).write.mode("append").parquet(str(out))
+    live = streams.spaced(follow(spark, str(out), 1), 10, str(tmp_path / "out"), lateness="30 seconds")
+    chains = [bucket for bucket, n in groups if n]
+    assert len(chains) > 2 and min(chains) >= 1000
+    batch = ratelimit.rate_limited(spark.createDataFrame(data, schema), "key", "at", "event_id", 10, 100).where("allowed")
+    assert rows(live, "event_id") == rows(batch, "event_id")
