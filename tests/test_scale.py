@@ -272,3 +272,14 @@ def test_prefix_sums_spread_one_key_and_equal_rows(spark):
     assert sorted(r.place for r in got.collect()) == list(range(1, 4001))
     assert prefix_sums(same.where("false"), ["k"], ["at"], {"place": F.lit(1).cast("long")}).count() == 0
     assert prefix_sums(same, [], ["at"], {"place": F.lit(1).cast("long")}).agg(F.max("place")).first()[0] == 4000
+
+
+def test_size_estimates_do_not_grow_along_rounds(spark):
+    """A table joined to itself round by round: its estimate follows the data, not the squares of the rounds before."""
+    from feedloom.session import cut_lineage
+
+    table = cut_lineage(spark.range(50).selectExpr("id", "id % 7 AS label"))
+    for _ in range(6):
+        table = cut_lineage(table.join(table.withColumnRenamed("label", "other"), "id").groupBy("id").agg(F.min("label").alias("label")))
+    estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert table.count() == 50 and estimate < 10**6
