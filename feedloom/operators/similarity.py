@@ -59,8 +59,10 @@ def _rare_first(distinct: DataFrame) -> DataFrame:
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score), a < b.  Copies appear once, against the lowest id of their group."""
     distinct, members = collapse_copies(sets)
+    # Written once: tokens are shuffled once for it, and a number stands for an id, often a long text, in each row below.
+    numbered = cut_lineage(distinct.withColumn("no", F.monotonically_increasing_id()))
     # Read several times below; writing it once saves tokenizing again.
-    ordered = cut_lineage(_rare_first(distinct))
+    ordered = cut_lineage(_rare_first(numbered.select(F.col("no").alias("rep"), "tokens")))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - _SLACK).cast("int") + 1
     prefix = ordered.select("rep", "n", F.posexplode(F.slice("ids", 1, keep)).alias("pos", "token"))
     a = prefix.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
@@ -89,7 +91,10 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
     # The generator keeps the filter above it, so the overlap is computed once per pair.
     score = F.col("_shared") / (F.col("na") + F.col("nb") - F.col("_shared"))
-    scored = overlap.select("a", "b", F.explode(F.array(score)).alias("score")).where(F.col("score") >= threshold)
+    alike = overlap.select("a", "b", F.explode(F.array(score)).alias("score")).where(F.col("score") >= threshold)
+    name = lambda x: numbered.select(F.col("no").alias(x), F.col("rep").alias(f"_{x}"))
+    named = alike.join(name("a"), "a").join(name("b"), "b")
+    scored = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
     copies = members.where(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")
     )

@@ -283,3 +283,14 @@ def test_size_estimates_do_not_grow_along_rounds(spark):
         table = cut_lineage(table.join(table.withColumnRenamed("label", "other"), "id").groupBy("id").agg(F.min("label").alias("label")))
     estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert table.count() == 50 and estimate < 10**6
+
+
+def test_joins_of_similar_sets_carry_numbers(spark, monkeypatch):
+    """Long ids are not repeated in the rows that are shuffled per token and per candidate."""
+    types, real = [], similarity._rare_first
+    monkeypatch.setattr(similarity, "_rare_first", lambda sets: types.append(dict(sets.dtypes)["rep"]) or real(sets))
+    long_id = lambda k: f"{39 - k:03d}" + "x" * 200
+    sets = [(long_id(k), [f"{c}{k // 2}" for c in "abcdefghi"] + [f"own{k}"]) for k in range(40)]
+    got = similarity.similar_pairs(spark.createDataFrame(sets, "id string, tokens array<string>"), 0.8)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((long_id(k + 1), long_id(k)) for k in range(0, 40, 2))
+    assert types == ["bigint"]
