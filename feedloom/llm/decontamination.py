@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,19 +241,22 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RA
     return found.join(named, "passage").select("doc_id", "item_id", "start", "end", "edits")
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no passage is found."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    for passages in passage_blocks(items, q, rate):
+def _clean(passages):
+    """Whether a text holds none of the broadcast passages."""
 
-        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
-            known = passages.value
-            for batch in batches:
-                keep = [not known.within(folded(t)[0]) for t in texts_of(batch.column(1))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = passages.value
+        for texts in columns:
+            yield pd.Series([not known.within(folded(t)[0]) for t in texts], dtype=bool)
 
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.select("row.*")
+    return F.pandas_udf(run, "boolean")
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """The rows of docs in which no passage is found.  Only the text goes to Python, and only the answer comes back."""
+    for passages in passage_blocks(items, q, rate):
+        docs = docs.where(_clean(passages)(F.coalesce("text", F.lit(""))))
+    return docs
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

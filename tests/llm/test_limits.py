@@ -124,6 +124,19 @@ def test_blocks_copies_and_long_texts_of_decontamination(spark, monkeypatch):
     assert decontamination.contaminated(df.where("false"), benchmark).count() == 0
 
 
+def test_rows_stay_in_spark_when_passages_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 30)  # several blocks
+    passage = ["the first passage of the benchmark", "a second passage of the benchmark"]
+    items = spark.createDataFrame(list(enumerate(passage)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {passage[0]}"), (2, f"{passage[1]} y"), (3, "nothing of it"), (4, None), (None, passage[0])], DOCS)
+    docs = docs.withColumn("waited", F.make_interval(days=F.lit(3)))  # a type that can't go to Python
+    left = decontamination.uncontaminated(docs, items)
+    assert left.schema == docs.schema
+    got = left.select("doc_id", "text", F.col("waited").cast("string").alias("waited")).collect()
+    assert sorted(map(tuple, got)) == [(3, "nothing of it", "3 days"), (4, None, "3 days")]
+
+
+
 # --- chat ------------------------------------------------------------------------------------
 
 
