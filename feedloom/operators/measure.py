@@ -74,6 +74,15 @@ def daily_low_hits(ratings: DataFrame) -> DataFrame:
     )
 
 
+def texts_by_key(ratings: DataFrame, text: str = "response_preview") -> DataFrame:
+    """(timestamp, session_id, text): all that ``failed_checks`` of scored ratings needs, equal texts of a key once.
+
+    Scoring the few columns behind a shuffle also spreads it over all cores, however few splits the ratings have.
+    """
+    session = F.when(F.col("timestamp") != "", "").otherwise(F.col("session_id"))
+    return ratings.select("timestamp", session.alias("session_id"), text).distinct()
+
+
 def failed_checks(results: DataFrame) -> DataFrame:
     """(key, pattern, failed): any failed check of a pattern at that key."""
     key = F.coalesce(

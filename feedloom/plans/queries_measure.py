@@ -23,8 +23,8 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_results(spark: SparkSession, sf: str) -> DataFrame:
-    df = A.view(spark, sf, A.RATINGS)
-    return checks.score(df, "response_preview", ["timestamp", "session_id", "rating", "event_id"])
+    texts = measure.texts_by_key(A.view(spark, sf, A.RATINGS))
+    return checks.score(texts, "response_preview", ["timestamp", "session_id"])
 
 
 def lessons(spark: SparkSession, sf: str) -> DataFrame:

@@ -294,3 +294,17 @@ def test_joins_of_similar_sets_carry_numbers(spark, monkeypatch):
     got = similarity.similar_pairs(spark.createDataFrame(sets, "id string, tokens array<string>"), 0.8)
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((long_id(k + 1), long_id(k)) for k in range(0, 40, 2))
     assert types == ["bigint"]
+
+
+def test_texts_of_a_key_are_scored_once_with_the_same_failures(spark):
+    from feedloom.functions import checks
+    from feedloom.operators import measure
+
+    done, fine = "All work is done and the fix is deployed.", "Here is a plan for tomorrow."
+    rows = [("t1", f"s{k}", done) for k in range(50)] + [("t1", "s1", fine), ("", "s1", done), ("", "s2", done), (None, "s1", done), (None, None, None), ("t2", "s3", fine)]
+    df = spark.createDataFrame(rows, "timestamp string, session_id string, response_preview string")
+    texts = measure.texts_by_key(df)
+    assert texts.count() == 7
+    scored = [measure.failed_checks(checks.score(x, "response_preview", ["timestamp", "session_id"])) for x in (df, texts)]
+    want, got = (sorted(map(tuple, x.collect())) for x in scored)
+    assert got == want and want
