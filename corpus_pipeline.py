@@ -54,7 +54,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, TOKENIZER)
+    return pack_documents(docs, TOKENIZER, forget=True)
 
 
 STAGES = [

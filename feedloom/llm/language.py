@@ -32,6 +32,7 @@ from feedloom.llm.common import table, texts_of
 DIMENSIONS = 2048
 GRAM = 3
 FIT_ROWS = 12_000
+PART = 512  # n-grams whose vectors are multiplied at once; the C library keeps freed blocks of the largest size met
 UNKNOWN = "und"
 _CODES = 0x110000
 
@@ -39,7 +40,7 @@ _CODES = 0x110000
 @cache
 def folded_codes() -> np.ndarray:
     """Code of each code point: itself for a letter, 0 for anything else."""
-    return np.array([k if chr(k).isalpha() else 0 for k in range(_CODES)], dtype=np.int64)
+    return np.fromiter((k if chr(k).isalpha() else 0 for k in range(_CODES)), dtype=np.int32, count=_CODES)
 
 
 @cache
@@ -79,7 +80,7 @@ def grams() -> Grams:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct letter n-grams of a text and how often each occurs."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = folded_codes()[points]
+    codes = folded_codes()[points].astype(np.int64)
     codes = np.concatenate([[0], codes, [0]])
     codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
     if len(codes) < GRAM:
@@ -97,8 +98,8 @@ def text_vectors(texts: list[str]) -> np.ndarray:
     for at in range(0, len(texts), 64):
         own = counted[at : at + 64]
         codes = np.unique(np.concatenate([c for c, _ in own])) if own else np.zeros(0, np.int64)
-        for low in range(0, len(codes), 2048):
-            part = codes[low : low + 2048]
+        for low in range(0, len(codes), PART):
+            part = codes[low : low + PART]
             weights = np.zeros((len(own), len(part)), dtype=np.float32)
             for row, (c, n) in enumerate(own):
                 inside = slice(*np.searchsorted(c, [part[0], part[-1] + 1]))

@@ -48,7 +48,7 @@ _B = _SEED.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _PLACE = _SEED.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
-_words = Remembered(xxhash.xxh3_64_intdigest)
+_words = Remembered(xxhash.xxh3_64_intdigest, limit=50_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -117,6 +117,7 @@ def _prints(words: int):
                     [batch.column(0), longs([len(s) for s in sets]), pa.array(own, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
+        _words.clear()  # workers outlive the stage
 
     return run
 
@@ -136,6 +137,7 @@ def _facts(words: int):
                 short = signatures(sets).astype(np.uint16)
                 columns = ([r[:BRIEF].tobytes() for r in short], [r.tobytes() for r in short], [x.tobytes() for x in sets])
                 yield pa.record_batch([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["node", "brief", "signature", "shingles"])
+        _words.clear()  # workers outlive the stage
 
     return run
 

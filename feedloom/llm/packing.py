@@ -122,8 +122,8 @@ def pack(lengths: list[int], window: int = WINDOW, cut: bool = True) -> list[tup
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, batch_tokens: int = BATCH) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text)."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, batch_tokens: int = BATCH, forget: bool = False) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text).  ``forget``: workers give back the words they met, for the stages that follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(tokenizer)
@@ -152,6 +152,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window
                     yield packed()
         if held:
             yield packed()
+        if forget:
+            encoder.clear()  # workers outlive the stage
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -171,7 +171,7 @@ def disclosing(docs: DataFrame, own: DataFrame, terms: DataFrame, values: DataFr
     by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n_te")) for k in range(4)]))
     joint = terms.groupBy("term").agg(F.count("*").alias("texts"), *n_kinds).where(F.col("texts") >= support)
     joint = written(joint.join(counts, "term"), "joint")
-    sizes = terms.sparkSession.createDataFrame([(k, n) for k, n in enumerate(own.agg(*n_kinds).first())], "kind int, n_e long")
+    sizes = own.agg(*n_kinds).select(by_kind.alias("k")).select("k.kind", F.col("k.n_te").alias("n_e"))  # rows of the driver would start Python workers
     kinds = joint.select("term", "n", by_kind.alias("k")).select("term", "n", "k.*").where(F.col("n_te") >= support)
     kinds = disclosures(kinds.join(F.broadcast(sizes), "kind"), total, least).select("kind", "term", "disclosure")
     often = values.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)

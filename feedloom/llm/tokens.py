@@ -63,6 +63,9 @@ class Remembered:
             values = [self[k] if v is None else v for k, v in zip(keys, values)]
         return values
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def byte_alphabet() -> dict[int, str]:
     """Printable stand-ins of the 256 bytes in byte-level vocabularies: printable Latin-1 bytes
@@ -120,6 +123,11 @@ class ByteLevelIds:
         first, *rest = text.split(" ")
         return self.first[first] + b"".join(self.spaced.all(rest))
 
+    def clear(self) -> None:
+        """Forget the words met; the tokenizer stays."""
+        for held in (self.words, self.first, self.spaced):
+            held.clear()
+
 
 class WordCounts:
     """Number of tokens of a tokenizer that lower-cases, drops white space and encodes words.

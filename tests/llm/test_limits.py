@@ -6,11 +6,14 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontamination, pii, secrets
+import corpus_pipeline
+from feedloom.llm import chat, decontamination, language, minhash, packing, pii, secrets
 from feedloom.llm.arrays import bound, running, with_parts
+from feedloom.llm.tokens import byte_level
 
 DOCS = "doc_id long, text string"
 
@@ -242,3 +245,64 @@ def test_battery_tells_random_from_text_and_patterns():
     passed = [secrets.battery([rng.randrange(62) for _ in range(48)], 62) > secrets.ALPHA for _ in range(300)]
     assert sum(passed) >= 290
     assert secrets.battery(list(range(48)), 62) < secrets.ALPHA and secrets.battery([1, 60] * 24, 62) < secrets.ALPHA
+
+
+# --- memory of Python workers -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("step", [minhash._prints, minhash._facts])
+def test_words_of_a_task_are_given_back(step):
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    most = 0
+    for out in step(5)(iter([batch])):
+        most = max(most, len(minhash._words.young))
+    assert 0 < most <= 50_000 and not minhash._words.young and not minhash._words.old
+
+
+def test_chunks_of_a_packing_task_are_given_back(monkeypatch):
+    class Plan:
+        """Gives the function of the worker instead of a table."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(packing, "F", type("Columns", (), {"col": staticmethod(lambda name: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())}))
+    run = corpus_pipeline.packing(None, Plan(), "")
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words here", "more words there"])], ["doc_id", "text"])
+    first, again = (pa.Table.from_batches(run(iter([batch]))).to_pylist() for _ in range(2))
+    encoder = byte_level("byte_bpe_50k.json")
+    assert first == again and {r["doc_id"] for r in first} == {1, 2}
+    assert not any(held.young or held.old for held in (encoder.words, encoder.first, encoder.spaced))
+
+
+def test_text_vectors_need_few_n_grams_at_once(monkeypatch):
+    """The vectors multiplied at once stay small, and the parts make no difference."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü ") for _ in range(400)) for _ in range(80)]
+    sizes, of = [], language.Grams.of
+    monkeypatch.setattr(language.Grams, "of", lambda self, codes: sizes.append(len(codes)) or of(self, codes))
+    got = language.text_vectors(texts)
+    assert max(sizes) <= 512 < sum(sizes)
+    monkeypatch.setattr(language, "PART", 1 << 20)
+    assert np.array_equal(got, language.text_vectors(texts))
+
+
+def test_personal_data_starts_no_python_workers(spark, monkeypatch):
+    rows = [(i, f"write to user{i}@example.com about reference blue{i % 2}") for i in range(12)] + [(20 + i, "nothing here") for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows of the driver are read by Python workers")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    texts = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert texts[20] == "nothing here" and all("@" not in texts[i] and "[EMAIL]" in texts[i] for i in range(12)) and len(texts) == 24
