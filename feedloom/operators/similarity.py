@@ -1,13 +1,19 @@
 """Exact token-set similarity at scale.
 
 All pairs with Jaccard similarity of at least ``threshold`` are found without comparing
-all pairs: identical sets are collapsed first (a group of copies costs one row), tokens
-are ordered rare first, and only the short prefix in which two similar sets must share a
-token is joined, with the length and position bounds in the join condition.
+all pairs: identical sets are collapsed first (a group of copies costs one row), sets meet
+under keys of which two similar ones must share one (``setkeys``), pairs whose signatures
+differ in too many bits go, and the rest is compared on whole sets.
+
+A job's shuffle files go when its table is written, and sets meet a few sizes at a time, so the
+disk in use follows the sets and the largest step, not the sum of all steps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +28,12 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions.lessons import is_template_rule
 from feedloom.functions.text import tokens
-from feedloom.session import cut_lineage
+from feedloom.operators import setkeys
+from feedloom.session import cut_lineage, lean, passing, written
 
-_SLACK = 1e-9  # keeps ceil() from being pushed up by rounding
+SLICE_TOKENS = 5_000_000  # sets with fewer tokens in all meet in one go
+_SLACK = setkeys.SLACK
+_GAP = "\u0001"  # between the tokens of a set that is held as one text
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -35,70 +44,119 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct sets, members): ``sets`` are ``id, tokens``; the lowest id represents copies."""
-    keyed = sets.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens"))
-    keyed = cut_lineage(keyed.withColumn("_sig", F.sha2(F.concat_ws(" ", "tokens"), 256)))
-    distinct = keyed.groupBy("_sig").agg(F.min("id").alias("rep"), F.any_value("tokens").alias("tokens"))
-    members = keyed.select("id", "_sig").join(distinct.select("_sig", "rep"), "_sig").select("id", "rep")
-    return distinct.select("rep", "tokens"), members
+    distinct, members = _numbered(sets)
+    return distinct.select("rep", F.split("text", _GAP).alias("tokens")), members
+
+
+def _numbered(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct, members): distinct sets as ``no, rep, n, text, bits``, ``text`` the joined tokens; members as ``id, rep``."""
+    ordered = sets.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens"))
+    keyed = ordered.select("id", F.size("tokens").alias("n"), F.concat_ws(_GAP, "tokens").alias("text"))
+    with lean(sets.sparkSession):
+        keyed, drop = passing(keyed.withColumn("_sig", F.unhex(F.sha2("text", 256))), "sets")
+        distinct = keyed.groupBy("_sig").agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "text")).alias("_set"))
+        hashed = distinct.select(
+            F.monotonically_increasing_id().alias("no"), "_sig", "rep", "_set.*", _hashes(F.col("_set.text")).alias("hashes")
+        )
+        rep = dict(distinct.dtypes)["rep"]
+        distinct = written(
+            hashed.mapInArrow(setkeys.signed, f"no long, _sig binary, rep {rep}, n int, text string, bits binary"), "distinct"
+        )
+        members = cut_lineage(keyed.select("id", "_sig").join(distinct.select("_sig", "rep"), "_sig").select("id", "rep"))
+    drop()
+    return distinct.drop("_sig"), members
 
 
-def _rare_first(distinct: DataFrame) -> DataFrame:
-    """(rep, n, ids): each set as numbers that rise with document frequency.
+def _hashes(text: Column) -> Column:
+    return F.transform(F.split(text, _GAP), lambda t: F.xxhash64(t))
 
-    The vocabulary is range-sorted, so the row numbers Spark hands out follow the order
-    without a global window; it is written once because those numbers must not change.
+
+def _rare_first(distinct: DataFrame) -> np.ndarray:
+    """The order of tokens in sets (``rep, text``), rare ones first: the place of each bucket of their hashes.
+
+    Sets are counted by bucket, so the table has the same size for any vocabulary.
     """
-    exploded = distinct.select("rep", F.explode("tokens").alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    numbered = frequency.orderBy("df", "token").select("token", F.monotonically_increasing_id().alias("number"))
-    vocabulary = cut_lineage(numbered)
-    listed = exploded.join(vocabulary, "token").groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("ids"))
-    return listed.select("rep", F.size("ids").alias("n"), "ids")
+    buckets = distinct.select(F.explode(_hashes(F.col("text"))).alias("hash")).select(
+        F.col("hash").bitwiseAND(setkeys.BUCKETS - 1).cast("int").alias("bucket")
+    )
+    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(setkeys.BUCKETS, np.int64)
+    counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
+    return setkeys.order_of(counts, setkeys.RARE)
+
+
+def _slices(distinct: DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Levels (first, last) that meet in one go: about a third of all tokens, or one level that holds more."""
+    if not setkeys.levels(threshold):
+        return [(0, 0)]
+    level = F.floor(F.log2("n") + _SLACK)
+    held = {r.level: r.tokens for r in distinct.groupBy(level.alias("level")).agg(F.sum("n").alias("tokens")).collect()}
+    most, out, sum_ = max(sum(held.values()) / 3, SLICE_TOKENS), [], 0
+    for k in range(max(held, default=-1) + 2):  # the largest sets give out keys one level up, where no one waits
+        tokens_ = held.get(k, 0)
+        if out and sum_ + tokens_ <= most:
+            out[-1], sum_ = (out[-1][0], k), sum_ + tokens_
+        else:
+            out, sum_ = [*out, (k, k)], tokens_
+    return out
+
+
+def _candidates(distinct: DataFrame, place: np.ndarray, threshold: float, low: int, high: int) -> DataFrame:
+    """(a, b): pairs of the levels ``low`` to ``high`` that share a key early enough and have signatures close enough."""
+    sized = distinct
+    if setkeys.levels(threshold):
+        sized = distinct.where((F.col("n") >= 2 ** max(low - 1, 0)) & (F.col("n") < 2 ** (high + 1)))
+    rows = sized.select("no", _hashes(F.col("text")).alias("hashes")).mapInArrow(
+        setkeys.key_rows(place, threshold, low, high), "key long, prior long, no long, n int, before int, up boolean"
+    )
+    side = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("prior", "no", "n", "before", "up")])
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - _SLACK)
+    met = (
+        side("a")
+        .join(side("b"), "key")
+        # Equal keys before this one: there the pair has met already.
+        .where((F.col("no_a") < F.col("no_b")) & (F.col("prior_a") != F.col("prior_b")) & ~(F.col("up_a") & F.col("up_b")))
+        .where((F.col("before_a") <= F.col("n_a") - need) & (F.col("before_b") <= F.col("n_b") - need))
+        .select(F.col("no_a").alias("a"), F.col("no_b").alias("b"))
+        .distinct()
+    )
+    bits = lambda x: sized.select(F.col("no").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    return met.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(
+        setkeys.maybe_alike(threshold), "a long, b long"
+    )
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score), a < b.  Copies appear once, against the lowest id of their group."""
-    distinct, members = collapse_copies(sets)
-    # Written once: tokens are shuffled once for it, and a number stands for an id, often a long text, in each row below.
-    numbered = cut_lineage(distinct.withColumn("no", F.monotonically_increasing_id()))
-    # Read several times below; writing it once saves tokenizing again.
-    ordered = cut_lineage(_rare_first(numbered.select(F.col("no").alias("rep"), "tokens")))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - _SLACK).cast("int") + 1
-    prefix = ordered.select("rep", "n", F.posexplode(F.slice("ids", 1, keep)).alias("pos", "token"))
-    a = prefix.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - _SLACK)
-    # Shared prefix tokens plus what can still follow the last of them bounds the overlap.
-    possible = F.col("_c") + F.least(F.col("na") - F.col("_pa") - 1, F.col("nb") - F.col("_pb") - 1)
-    candidates = (
-        a.join(b, "token")
-        .where(
-            (F.col("a") < F.col("b"))
-            & (F.col("na") * threshold - _SLACK <= F.col("nb"))
-            & (F.col("nb") * threshold - _SLACK <= F.col("na"))
-        )
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb"))
-        .where(possible >= need)
-    )
-    left = ordered.select(F.col("rep").alias("a"), F.col("ids").alias("_ia"))
-    right = ordered.select(F.col("rep").alias("b"), F.col("ids").alias("_ib"))
-    overlap = (
-        candidates.select("a", "b", "na", "nb")
-        .join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("_ia", "_ib")).alias("_shared"))
+    distinct, members = _numbered(sets)
+    return _scored(distinct, threshold).unionByName(
+        members.where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     )
-    # The generator keeps the filter above it, so the overlap is computed once per pair.
-    score = F.col("_shared") / (F.col("na") + F.col("nb") - F.col("_shared"))
-    alike = overlap.select("a", "b", F.explode(F.array(score)).alias("score")).where(F.col("score") >= threshold)
-    name = lambda x: numbered.select(F.col("no").alias(x), F.col("rep").alias(f"_{x}"))
+
+
+def _scored(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of numbered distinct sets, a and b their representatives."""
+    # A number stands for an id, often a long text, in each row below.
+    place = _rare_first(distinct.select(F.col("no").alias("rep"), "text"))
+    with lean(distinct.sparkSession):
+        parts = [passing(_candidates(distinct, place, threshold, *levels), "candidates") for levels in _slices(distinct, threshold)]
+        candidates = reduce(DataFrame.unionByName, [table for table, _ in parts])
+        left = distinct.select(F.col("no").alias("a"), F.col("text").alias("_ta"))
+        right = distinct.select(F.col("no").alias("b"), F.col("text").alias("_tb"))
+        words = lambda x: F.split(x, _GAP)
+        # Generators keep the filter above them, so a set is split and the overlap computed once per pair.
+        both = candidates.join(left, "a").join(right, "b").select(
+            "a", "b", F.explode(F.array(F.struct(words("_ta").alias("a"), words("_tb").alias("b")))).alias("_s")
+        )
+        shared = F.size(F.array_intersect("_s.a", "_s.b"))
+        counted = both.select("a", "b", F.explode(F.array(F.struct(shared.alias("c"), (F.size("_s.a") + F.size("_s.b")).alias("n")))).alias("_o"))
+        score = F.col("_o.c") / (F.col("_o.n") - F.col("_o.c"))
+        alike = cut_lineage(counted.select("a", "b", score.alias("score")).where(F.col("score") >= threshold))
+    for _, drop in parts:
+        drop()
+    name = lambda x: distinct.select(F.col("no").alias(x), F.col("rep").alias(f"_{x}"))
     named = alike.join(name("a"), "a").join(name("b"), "b")
-    scored = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
-    copies = members.where(F.col("id") != F.col("rep")).select(
-        F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")
-    )
-    return scored.unionByName(copies)
+    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
 
 
 def _oriented(pairs: DataFrame, weights: DataFrame) -> DataFrame:

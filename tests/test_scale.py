@@ -296,6 +296,46 @@ def test_joins_of_similar_sets_carry_numbers(spark, monkeypatch):
     assert types == ["bigint"]
 
 
+@pytest.mark.parametrize(("threshold", "rare"), [(0.5, 3), (0.55, 0), (0.75, 3), (0.8, 0), (0.8, 16), (1.0, 0)])
+def test_similar_pairs_of_common_words_in_several_slices(spark, monkeypatch, threshold, rare):
+    """Pairs of words as keys, sets that meet a few sizes at a time: each pair once, none lost."""
+    monkeypatch.setattr(similarity.setkeys, "RARE", rare)
+    monkeypatch.setattr(similarity, "SLICE_TOKENS", 1)
+    rng = random.Random(int(threshold * 100) + rare)
+    words = [f"w{i}" for i in range(400)]
+    sets = []
+    for _ in range(40):
+        base = rng.sample(words, rng.choice([2, 5, 9, 15, 17, 33, 60, 64, 120]))
+        for _ in range(5):
+            kept = [w for w in base if rng.random() > 0.12] or base
+            sets.append((len(sets), sorted({*kept, *rng.sample(words, rng.randrange(1 + len(base) // 5))})))
+    frame = spark.createDataFrame(sets, "id long, tokens array<string>")
+    got = [(r["a"], r["b"], round(r["score"], 6)) for r in similarity.similar_pairs(frame, threshold).collect()]
+    rep = {}
+    for i, t in sets:
+        rep.setdefault(tuple(t), i)
+    want = [(rep[tuple(t)], i, 1.0) for i, t in sets if rep[tuple(t)] != i]
+    for t, a in rep.items():
+        for u, b in rep.items():
+            j = len(set(t) & set(u)) / len(set(t) | set(u))
+            if a < b and j >= threshold:
+                want.append((a, b, round(j, 6)))
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_similar_pairs_leave_no_shuffle_files_of_their_steps(spark, tmp_path):
+    """Shuffle files of a step go when its table is written, not when the driver happens to collect its garbage."""
+    from pathlib import Path
+
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: {p for p in local.rglob("shuffle_*") if p.suffix == ".data"}
+    sets = spark.createDataFrame([(k, [f"{c}{k // 2}" for c in "abcdefghi"] + [f"own{k}"]) for k in range(400)], "id long, tokens array<string>")
+    before = held()
+    pairs = similarity.similar_pairs(sets, 0.8)
+    assert sum(p.stat().st_size for p in held() - before) < 20_000
+    assert pairs.count() == 200
+
+
 def test_texts_of_a_key_are_scored_once_with_the_same_failures(spark):
     from feedloom.functions import checks
     from feedloom.operators import measure
