@@ -17,7 +17,7 @@ from feedloom.functions.lessons import injection_section
 from feedloom.functions.text import bullet_id, tokens
 from feedloom.operators.similarity import bullet_groups, greedy_survivors
 from feedloom.scale import prefix_sums, top_k
-from feedloom.session import cut_lineage
+from feedloom.session import cut_lineage, lean
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -90,33 +90,37 @@ def dedupe_signal() -> Column:
 
 
 def one_per_pattern(rows: DataFrame) -> DataFrame:
-    """The rows with ``_id``, ``_rank`` and ``_merged`` after the rule for bullets of the same pattern.
+    """The rows with ``_id``, ``_rank`` and ``_merged`` after the rule for bullets of the same pattern, read from written tables.
 
     In order of rank, a bullet that is no seed gives way to the first one of its pattern; where it has the better
     quality and the first one is no seed, the first one takes over all its fields but not its place.  Seeds stay
-    bullets of their own.  Counters of bullets that give way are not added.
+    bullets of their own.  Counters of bullets that give way are not added.  ``_rank`` is the signal, the pattern and the place in the
+    pattern, which stands for the description: ranks are shuffled often.
     """
     seed = F.coalesce(F.col("seed"), F.lit(False))
-    place = F.struct((-dedupe_signal()).alias("s"), F.col("pattern").alias("p"), F.col("description").alias("d"))
-    row = F.struct(*rows.columns)
-    own = rows.select("pattern", seed.alias("_seed"), place.alias("_rank"), row.alias("_row"), (-F.col("quality")).alias("_q"))
+    # In one pattern, the signal and the description decide.
+    place = F.struct((-dedupe_signal()).alias("s"), F.col("description").alias("d"))
+    own = rows.select("pattern", seed.alias("_seed"), place.alias("_place"), F.struct(*rows.columns).alias("_row"), (-F.col("quality")).alias("_q"))
     plain = ~F.col("_seed")
     first = own.groupBy("pattern").agg(
-        F.min_by(F.struct("_row", "_seed", "_rank"), F.struct("_rank", plain)).alias("_first"),
-        F.min_by(F.when(plain, F.col("_row")), F.when(plain, F.struct("_q", "_rank"))).alias("_best"),
+        F.min_by(F.struct("_row", "_seed", F.col("_place.s").alias("_s")), F.struct("_place", plain)).alias("_first"),
+        F.min_by(F.when(plain, F.col("_row")), F.when(plain, F.struct("_q", "_place"))).alias("_best"),
         F.count_if(plain).alias("_plain"),
     )
     taken = F.when(F.col("_best.quality") > F.col("_first._row.quality"), F.col("_best")).otherwise(F.col("_first._row"))
-    leading = first.where(~F.col("_first._seed")).select(
-        F.col("pattern").alias("_id"), F.col("_first._rank").alias("_rank"), (F.col("_plain") - 1).alias("_merged"), taken.alias("_row")
-    )
-    seeds = prefix_sums(own.where("_seed").select("pattern", "_rank", "_row"), ["pattern"], ["_rank"], {"_n": F.lit(1).cast("long")})
-    given_way = first.where("_first._seed").select(F.col("pattern").alias("_of"), "_plain")
+    # Written once, the texts last: each use below reads only its columns.
+    row = F.when(~F.col("_first._seed"), taken).alias("_row")
+    first = cut_lineage(first.select(F.col("pattern").alias("_id"), "_first._seed", "_first._s", "_plain", row).select("_id", "_seed", "_s", "_plain", "_row.*"))
+    rank = lambda s, n: F.struct(F.col(s).alias("s"), F.col("pattern").alias("p"), n.cast("long").alias("n")).alias("_rank")
+    leading = first.where(~F.col("_seed")).select("_id", rank("_s", F.lit(0)), (F.col("_plain") - 1).alias("_merged"), *rows.columns)
+    seeds = prefix_sums(own.where("_seed").select("pattern", "_place", "_row"), ["pattern"], ["_place"], {"_n": F.lit(1).cast("long")})
+    given_way = first.where("_seed").select(F.col("_id").alias("_of"), "_plain")
     seeds = seeds.join(given_way, (F.col("pattern") == F.col("_of")) & (F.col("_n") == 1), "left").select(
-        F.concat("pattern", F.lit("\u0000"), F.col("_n").cast("string")).alias("_id"),
-        "_rank", F.coalesce("_plain", F.lit(0)).alias("_merged"), "_row",
+        F.concat("pattern", F.lit("\u0000"), F.col("_n").cast("string")).alias("_id"), F.col("_place.s").alias("_s"), "_n",
+        F.coalesce("_plain", F.lit(0)).alias("_merged"), "_row.*",
     )
-    return leading.unionByName(seeds).select("_id", "_rank", "_merged", "_row.*")
+    seeds = cut_lineage(seeds).select("_id", rank("_s", F.col("_n")), "_merged", *rows.columns)
+    return leading.unionByName(seeds)
 
 
 def dedupe_bullets(rows: DataFrame) -> DataFrame:
@@ -125,10 +129,13 @@ def dedupe_bullets(rows: DataFrame) -> DataFrame:
     Bullets of one pattern are settled first (``one_per_pattern``).  A survivor takes over the wording of a better bullet it
     absorbs.  Similarity is taken on the original wording and not compared again after that.
     """
-    signal = cut_lineage(one_per_pattern(rows))
+    with lean(rows.sparkSession):
+        return _merged(one_per_pattern(rows))
+
+
+def _merged(signal: DataFrame) -> DataFrame:
     ranked = signal.select(F.col("_id").alias("id"), F.col("_rank").alias("rank"))
     members, edges = bullet_groups(signal.select(F.col("_id").alias("id"), "pattern", "description", F.col("_rank").alias("rank")))
-    members = cut_lineage(members)
     leaders = ranked.join(members.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
     survivor = members.join(greedy_survivors(leaders, edges).withColumnRenamed("id", "leader"), "leader").select(
         F.col("id").alias("_id"), F.col("survivor").alias("_survivor")

@@ -48,25 +48,31 @@ def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct.select("rep", F.split("text", _GAP).alias("tokens")), members
 
 
+def _as_text(tokens_: Column) -> list[Column]:
+    """(n, text) of a set: the number of its tokens and the tokens in order, as one text."""
+    return [F.size(tokens_).alias("n"), F.concat_ws(_GAP, F.sort_array(tokens_)).alias("text")]
+
+
 def _numbered(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct, members): distinct sets as ``no, rep, n, text, bits``, ``text`` the joined tokens; members as ``id, rep``."""
-    ordered = sets.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens"))
-    keyed = ordered.select("id", F.size("tokens").alias("n"), F.concat_ws(_GAP, "tokens").alias("text"))
+    """(distinct, members): distinct sets as ``no, rep, n, text, bits``; members as ``id, rep``."""
+    keyed = sets.where(F.size("tokens") > 0).select("id", *_as_text(F.col("tokens")))
     with lean(sets.sparkSession):
         keyed, drop = passing(keyed.withColumn("_sig", F.unhex(F.sha2("text", 256))), "sets")
-        distinct = keyed.groupBy("_sig").agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "text")).alias("_set"))
-        hashed = distinct.select(
-            F.monotonically_increasing_id().alias("no"), "_sig", "rep", "_set.*", _hashes(F.col("_set.text")).alias("hashes")
-        )
-        rep = dict(distinct.dtypes)["rep"]
-        distinct = written(
-            hashed.mapInArrow(setkeys.signed, f"no long, _sig binary, rep {rep}, n int, text string, bits binary"), "distinct"
-        )
+        distinct = _distinct(keyed)
         members = cut_lineage(keyed.select("id", "_sig").join(distinct.select("_sig", "rep"), "_sig").select("id", "rep"))
     drop()
     return distinct.drop("_sig"), members
 
 
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """Distinct sets of ``id, n, text, _sig`` as ``no, _sig, rep, n, text, bits``, written; the lowest id is ``rep``."""
+    one = keyed.groupBy("_sig").agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "text")).alias("_set"))
+    hashed = one.select(F.monotonically_increasing_id().alias("no"), "_sig", "rep", "_set.*", _hashes(F.col("_set.text")).alias("hashes"))
+    types = dict(one.dtypes)
+    schema = f"no long, _sig {types['_sig']}, rep {types['rep']}, n int, text string, bits binary"
+    return written(hashed.mapInArrow(setkeys.signed, schema), "distinct")
+
+
 def _hashes(text: Column) -> Column:
     return F.transform(F.split(text, _GAP), lambda t: F.xxhash64(t))
 
@@ -263,17 +269,18 @@ def bullet_groups(bullets: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader.  ``edges`` link leaders alike enough to merge; two patterns of one family need less overlap.
     """
     words = tokens(F.col("description"), STOPWORDS_PLAYBOOK)
-    keyed = bullets.select(
-        "id", "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), F.sort_array(words).alias("tokens")
-    ).withColumn(
-        "_sig", F.when(F.size("tokens") > 0, F.sha2(F.concat_ws(" ", "tokens"), 256)).otherwise(F.concat(F.lit("-"), "id"))
-    )
-    keyed = cut_lineage(keyed)
-    leaders = keyed.groupBy("_sig", "family").agg(F.min_by("id", "rank").alias("leader"), F.min_by("pattern", "rank").alias("lead_pattern"))
-    members = keyed.join(leaders, ["_sig", "family"]).select("id", "leader")
-    sets = keyed.where(F.size("tokens") > 0).groupBy("_sig").agg(F.any_value("tokens").alias("tokens"))
+    keyed = bullets.select("id", "pattern", "rank", F.element_at(F.split("pattern", "_"), 1).alias("family"), *_as_text(words))
+    sig = F.when(F.col("n") > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), "id"))
     low = BULLET_THRESHOLD - FAMILY_DISCOUNT
-    across = similar_pairs(sets.select(F.col("_sig").alias("id"), "tokens"), low)
+    with lean(bullets.sparkSession):
+        keyed, drop = passing(keyed.withColumn("_sig", sig), "bullets")
+        leaders = cut_lineage(
+            keyed.groupBy("_sig", "family").agg(F.min_by("id", "rank").alias("leader"), F.min_by("pattern", "rank").alias("lead_pattern"))
+        )
+        members = cut_lineage(keyed.select("id", "_sig", "family").join(leaders, ["_sig", "family"]).select("id", "leader"))
+        distinct = _distinct(keyed.where(F.col("n") > 0).select(F.col("_sig").alias("id"), "n", "text", "_sig"))
+        drop()
+        across = _scored(distinct, low)
     side = lambda x: leaders.select(F.col("_sig").alias(x), F.col("leader").alias(f"_l{x}"), F.col("family").alias(f"_f{x}"), F.col("lead_pattern").alias(f"_p{x}"))
     la, lb = side("a"), side("b")
     same_family = (F.col("_fa") == F.col("_fb")) & (F.length("_fa") >= 4) & (F.col("_pa") != F.col("_pb"))

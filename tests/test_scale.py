@@ -348,3 +348,16 @@ def test_texts_of_a_key_are_scored_once_with_the_same_failures(spark):
     scored = [measure.failed_checks(checks.score(x, "response_preview", ["timestamp", "session_id"])) for x in (df, texts)]
     want, got = (sorted(map(tuple, x.collect())) for x in scored)
     assert got == want and want
+
+
+def test_bullet_ranks_hold_no_texts(spark):
+    """Ranks go through each join and round of the greedy merge; the place in the pattern stands for the description."""
+    from feedloom.operators import playbook
+
+    schema = "pattern string, description string, quality int, helpful long, harmful long, priority int, verdict string, seed boolean"
+    rows = [("tone_1", f"{c} text", 2, 1, 1, 1, "working", seed) for c, seed in (("b", True), ("a", True), ("d", False), ("c", False))]
+    rows += [("tone_2", "seen", 4, 1, 1, 1, "flat", False), ("tone_2", "best", 5, 1, 1, 1, "working", False), ("tone_2", "kept", 1, 0, 0, 0, "working", True)]
+    got = playbook.one_per_pattern(spark.createDataFrame(rows, schema))
+    assert [f.name for f in got.schema["_rank"].dataType.fields] == ["s", "p", "n"]
+    order = [(r.pattern, r.description, r.seed, r._merged) for r in got.orderBy("_rank").collect()]
+    assert order == [("tone_1", "a text", True, 2), ("tone_1", "b text", True, 0), ("tone_2", "best", False, 1), ("tone_2", "kept", True, 0)]
