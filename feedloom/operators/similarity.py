@@ -31,7 +31,7 @@ from feedloom.functions.text import tokens
 from feedloom.operators import setkeys
 from feedloom.session import cut_lineage, lean, passing, written
 
-SLICE_TOKENS = 5_000_000  # sets with fewer tokens in all meet in one go
+SLICE_TOKENS = 1_000_000  # sets with fewer tokens in all meet in one go
 _SLACK = setkeys.SLACK
 _GAP = "\u0001"  # between the tokens of a set that is held as one text
 
@@ -85,7 +85,10 @@ def _rare_first(distinct: DataFrame) -> np.ndarray:
     buckets = distinct.select(F.explode(_hashes(F.col("text"))).alias("hash")).select(
         F.col("hash").bitwiseAND(setkeys.BUCKETS - 1).cast("int").alias("bucket")
     )
-    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    with lean(distinct.sparkSession):
+        table, drop = passing(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+        counted = table.toArrow()
+    drop()
     counts = np.zeros(setkeys.BUCKETS, np.int64)
     counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
     return setkeys.order_of(counts, setkeys.RARE)

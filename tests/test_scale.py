@@ -361,3 +361,17 @@ def test_bullet_ranks_hold_no_texts(spark):
     assert [f.name for f in got.schema["_rank"].dataType.fields] == ["s", "p", "n"]
     order = [(r.pattern, r.description, r.seed, r._merged) for r in got.orderBy("_rank").collect()]
     assert order == [("tone_1", "a text", True, 2), ("tone_1", "b text", True, 0), ("tone_2", "best", False, 1), ("tone_2", "kept", True, 0)]
+
+
+def test_diversity_check_keeps_no_shuffle_files_and_finds_the_top_pairs(spark):
+    from pathlib import Path
+
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: {p for p in local.rglob("shuffle_*") if p.suffix == ".data"}
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05d}")
+    rules = [(f"p{k:03d}", " ".join(word(x) for x in [*range(20 * (k // 2), 20 * (k // 2) + 20), *range(9000 + k, 9000 + k + k % 2 * 3)])) for k in range(300)]
+    lessons = spark.createDataFrame(rules, "pattern string, rule string")
+    before = held()
+    top = similarity.diversity_check(lessons)
+    assert sum(p.stat().st_size for p in held() - before) < 20_000
+    assert [(r.a, r.b, r.jaccard) for r in top.collect()] == [(f"p{2 * k:03d}", f"p{2 * k + 1:03d}", 0.87) for k in range(20)]
